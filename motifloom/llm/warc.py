@@ -75,9 +75,10 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "
     kind = F.when((F.col("size") >= least_bytes) & (F.col("id") != F.col("first.id")), "revisit").otherwise("response")
     header = _header(kind, F.col("uri"), record_name(F.col("id")), F.col("sha1"), F.col("size"), record_name(F.col("first.id")), F.col("first.uri"))
     joined.select(F.col("id").alias("record_id"), header.cast("binary").alias("header"), F.col("address").alias("payload_address")).write.parquet(archive.headers)
+    # ids tell first records apart, so rows that repeat one are dropped where the join has them together
     keep = first.select(F.col("first.id").alias("keep_id"), "held")
     bodies = own.select("id", "payload", F.sha2("payload", 256).alias("address"))
-    bodies.join(keep, (F.col("id") == F.col("keep_id")) & (F.col("address") == F.col("held"))).dropDuplicates(["address"]).select("address", "payload").write.parquet(archive.payloads)
+    bodies.join(keep, (F.col("id") == F.col("keep_id")) & (F.col("address") == F.col("held"))).dropDuplicates(["id", "address"]).select("address", "payload").write.parquet(archive.payloads)
     return archive
 
 
