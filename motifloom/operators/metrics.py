@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from motifloom.operators.pools import best_match
+
 
 def choose2(n: Column) -> Column:
     return n * (n - 1) / 2
@@ -175,3 +177,12 @@ def majority_relabelled(cells: DataFrame) -> DataFrame:
     best = cells.groupBy(F.col("b").alias("c")).agg(F.max("n").alias("most"))
     tops = cells.join(best, F.col("b") == F.col("c")).where("n = most").groupBy("c").agg(F.min("a").alias("label"))
     return cells.join(tops, F.col("b") == F.col("c")).groupBy("a", F.col("label").alias("b")).agg(F.sum("n").alias("n"))
+
+
+def match_error(cells: DataFrame, most: int = 2000) -> float:
+    """1 less the share of members that the best one-to-one match of labels to clusters holds; at most `most` of either are matched."""
+    rows = cells.limit(most * most).toPandas()
+    table = rows.pivot_table(index="a", columns="b", values="n", fill_value=0).to_numpy()
+    if max(table.shape) > most:
+        raise ValueError(f"a match of more than {most} clusters is not computed")
+    return 1 - best_match(table) / table.sum()

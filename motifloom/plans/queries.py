@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from motifloom.functions.alphabet import ALPHABET, dimer_similarity, half_score, residue_similarities, similarity
 from motifloom.functions.scores import terminal_similarity
-from motifloom.operators import candidates, cover, edges, metrics, motifs, nodes, refine, selection
-from motifloom.operators.tables import stored
+from motifloom.operators import candidates, cover, edges, metrics, motifs, nodes, pools, refine, selection
+from motifloom.operators.tables import ranked, stored
 from motifloom.plans import cluster as runs
 from motifloom.plans.config import Config
+from motifloom.sources import exports
 from motifloom.sources import records as sources
 
 #: Settings of the queries on pairs: exact for every node, and few enough pairs to list.
@@ -260,6 +261,14 @@ def prefilter_union(spark: SparkSession, d: str) -> DataFrame:
     return edges.united(first, edges.edges(candidates.within(pairs, scope), known, KMER))
 
 
+@query(PAIRS + "SELECT u * 4294967296 + v AS pair FROM pairs WHERE kmer >= 900")
+def packed_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The trace of scored pairs, packed: those of two searches, each once."""
+    known = node_table(spark, d)
+    found = stored(edges.with_sides(pair_table(known), known).select("u", "v", terminal_similarity(F.col("a.t"), F.col("b.t")).alias("kmer")), "scored")
+    return exports.traced(found.where("kmer >= 900"), found.where("kmer >= 950"))
+
+
 # clusters
 
 
@@ -516,8 +525,8 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 @query(WITH + """, p AS (SELECT DISTINCT sequence AS member, lang AS label FROM rec), pools AS (SELECT DISTINCT source AS pool, lang AS label FROM documents)
 SELECT pool, member, min(label) AS label FROM p JOIN pools USING (label) GROUP BY pool, member HAVING count(*) = 1""")
 def exclusive_members(spark: SparkSession, d: str) -> DataFrame:
-    pools = table(spark, d, "documents").select(F.col("source").alias("pool"), F.col("lang").alias("label"))
-    return selection.exclusive_members(_pairs(spark, d), pools)
+    known = table(spark, d, "documents").select(F.col("source").alias("pool"), F.col("lang").alias("label"))
+    return selection.exclusive_members(_pairs(spark, d), known)
 
 
 @query(WITH + ", p AS (SELECT DISTINCT sequence AS member, lang AS label FROM rec) SELECT member, label FROM p WHERE label IN (SELECT label FROM p GROUP BY label HAVING count(*) >= 1000)")
@@ -577,6 +586,40 @@ def tool_gaps(spark: SparkSession, d: str) -> DataFrame:
     return selection.gaps(g, "source", "lang", "v", ["en", "de", "fr"]).select("source", *rounded("en", "de", "fr", "gap_de", "gap_fr"))
 
 
+@query(WITH + """, p AS (SELECT DISTINCT source AS pool, lang AS label, sequence AS member FROM rec)
+SELECT pool, label, member FROM (SELECT *, row_number() OVER (PARTITION BY pool, label ORDER BY md5('11/' || member), member) AS n FROM p) WHERE n <= 25""")
+def locus_quota_pools(spark: SparkSession, d: str) -> DataFrame:
+    """Of each pool (source) and locus (language) 25 members in drawn order."""
+    rows = good(spark, d).select(F.col("source").alias("pool"), F.col("lang").alias("label"), F.col("sequence").alias("member")).distinct()
+    return pools.quota(rows, ["pool", "label"], "member", 25, seed=11)
+
+
+@query("""WITH s AS (SELECT DISTINCT source, lang FROM documents)
+SELECT source, lang, (row_number() OVER (PARTITION BY lang ORDER BY md5('5/' || source), source) - 1) % 5 AS fold FROM s""")
+def label_folds(spark: SparkSession, d: str) -> DataFrame:
+    """Sources in five folds, dealt within each language."""
+    rows = table(spark, d, "documents").select("source", "lang").distinct()
+    return pools.folds(rows, "source", F.col("lang"), 5, seed=5)
+
+
+@query()
+def balanced_pools(spark: SparkSession, d: str) -> DataFrame:
+    rows = good(spark, d).select(F.col("source").alias("pool"), F.col("sequence").alias("member"), F.col("lang").alias("label")).distinct()
+    return pools.balanced(rows, seed=3)
+
+
+@query()
+def independent_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of which no two share over a tenth of the smaller one's sequences."""
+    held = stored(good(spark, d).select("source", "sequence").distinct(), "held")
+    names = stored(ranked(held.select(F.col("source").alias("label")).distinct(), F.col("label"), to="node_id"), "labels")
+    own = stored(held.join(names, F.col("source") == F.col("label")).select("node_id", "sequence"), "own")
+    sizes = own.groupBy("node_id").agg(F.count("*").alias("n"))
+    shared = own.select(F.col("node_id").alias("u"), "sequence").join(own.select(F.col("node_id").alias("v"), "sequence"), "sequence").where("u < v").groupBy("u", "v").agg(F.count("*").alias("shared"))
+    sized = shared.join(sizes.select(F.col("node_id").alias("u"), F.col("n").alias("nu")), "u").join(sizes.select(F.col("node_id").alias("v"), F.col("n").alias("nv")), "v")
+    return pools.independent_labels(names, stored(sized.where(F.col("shared") > 0.1 * F.least("nu", "nv")).select("u", "v"), "clashes"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

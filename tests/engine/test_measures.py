@@ -9,9 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from motifloom.operators import metrics, motifs, nodes, selection
+from motifloom.operators import metrics, motifs, nodes, pools, selection
 from motifloom.plans import queries
 from motifloom.plans.config import Config
+from motifloom.sources import exports
 from motifloom.streaming import ingest
 
 rng = random.Random(6)
@@ -130,3 +131,37 @@ def test_queries_match_sql(spark):
         assert sorted(names) == sorted(df.columns), name
         want = Counter(tuple(plain(r[names.index(c)]) for c in df.columns) for r in cursor.fetchall())
         assert Counter(tuple(plain(v) for v in r) for r in df.collect()) == want, name
+
+
+def test_pools_and_matches(spark):
+    import itertools
+
+    for _ in range(30):
+        columns = rng.randint(1, 5)
+        t = np.array([[rng.randint(0, 9) for _ in range(columns)] for _ in range(rng.randint(1, 5))])
+        wide = t if t.shape[0] <= t.shape[1] else t.T
+        assert pools.best_match(t) == max(sum(wide[i, c] for i, c in enumerate(p)) for p in itertools.permutations(range(wide.shape[1]), wide.shape[0]))
+    cells = spark.createDataFrame([("a", 1, 5), ("a", 2, 4), ("b", 1, 3)], "a string, b int, n int")
+    assert metrics.match_error(cells) == pytest.approx(1 - 7 / 12)
+    d = np.array([[0, 1, 9, 9], [1, 0, 9, 9], [9, 9, 0, 2], [9, 9, 2, 0]])
+    assert pools.complete_linkage(d, 1).tolist() == [0, 0, 1, 2] and pools.complete_linkage(d, 2).tolist() == [0, 0, 1, 1] and pools.complete_linkage(d, 9).tolist() == [0, 0, 0, 0]
+    assert pools.log_spaced(1, 100, 3) == [1, 10, 100]
+    pairs = spark.createDataFrame([("p", f"m{i}", "A") for i in range(50)] + [("p", f"n{i}", "B") for i in range(20)], "pool string, member string, label string")
+    sizes = {r.label: r["count"] for r in pools.balanced(pairs, seed=1).groupBy("label").count().collect()}
+    assert 19 <= sizes["A"] <= 21 and 19 <= sizes["B"] <= 20
+    labels = spark.createDataFrame([(i, f"l{i}") for i in range(5)], "node_id long, label string")
+    clashes = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "u long, v long")
+    assert sorted(r.label for r in pools.independent_labels(labels, clashes).collect()) in (["l0", "l2", "l4"], ["l0", "l3", "l4"])
+
+
+def test_exchange_tables(spark):
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (3, 3), (2**32 - 2, 5)], "u long, v long")
+    u, v = exports.unpacked(F.col("pair"))
+    assert sorted(tuple(r) for r in exports.traced(pairs).select(u, v).collect()) == [(1, 2), (5, 2**32 - 2)]
+    a, b = spark.createDataFrame([(1, "x")], "k int, p string"), spark.createDataFrame([(1, 2.0), (2, 3.0)], "k int, q double")
+    assert sorted(tuple(r) for r in exports.shards([a, b], ["k"]).collect()) == [(1, "x", None), (2, None, 3.0)]
+    r = spark.createDataFrame([("m", 0.1, 0.9, 0.9), ("n", 0.5, 0.2, 0.1)], "p string, a double, b double, c double")
+    assert {tuple(x) for x in exports.responsibilities(r, "p", ["a", "b", "c"]).collect()} == {("m", 2), ("n", 1)}
+    assert exports.best_group_count(r, "p", ["a", "b"]).first().p == "m"
+    got = exports.with_unassigned(r.select(F.col("p").alias("member")), spark.createDataFrame([("m", 4)], "member string, cluster int"))
+    assert {tuple(x) for x in got.collect()} == {("m", "4"), ("n", "unassigned")}
