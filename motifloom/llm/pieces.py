@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,11 +13,22 @@ from pyspark.sql import DataFrame
 from motifloom.llm.common import columns_of
 from motifloom.llm.tokens import batched, rows
 
-#: Words whose pieces a Python worker keeps, and pairs whose compatibility it keeps; beyond that it starts anew.
-KEPT_WORDS, KEPT_PAIRS = 200_000, 600_000
+#: Words whose pieces a Python worker keeps, besides as many former ones (about 200 MB in all), and pairs whose compatibility it keeps.
+KEPT_WORDS, KEPT_PAIRS = 400_000, 600_000
 _BLANK, _LETTER, _SIGNS = "▁", "[A-Za-zÀ-ÖØ-öø-ÿ]", ".,;:!?|"
 
 
+class _Singles(dict):
+    """The number of a character's own piece, or for a character without one, its code point beyond `none`."""
+
+    def __init__(self, ids: dict[str, int], none: int):
+        super().__init__((p, i) for p, i in ids.items() if len(p) == 1)
+        self._none = none
+
+    def __missing__(self, char: str) -> int:
+        return self._none + 1 + ord(char)
+
+
 class PieceEncoder:
     """Encodes as SentencePieceProcessor(model_file=path).encode(text) does for a BPE model.
 
@@ -41,13 +52,16 @@ class PieceEncoder:
         self._byte = {int(self.sp.id_to_piece(i)[3:5], 16): i for i in range(n) if self.sp.is_byte(i)}
         self._automaton = ahocorasick.Automaton()
         for piece in self._id:
-            self._automaton.add_word(piece, (len(piece), self._id[piece]))
+            if len(piece) > 1:
+                self._automaton.add_word(piece, (len(piece), self._id[piece]))
         self._automaton.make_automaton()
         self._cut = re.compile(self._cuts())
         self._none = n
+        self._text = [str(i) for i in range(n)]
+        self._single = _Singles(self._id, n)
         self._pairs: dict[int, bool] = {}
-        self._words: dict[str, tuple[str, list[int]]] = {}
-        self._former: dict[str, tuple[str, list[int]]] = {}
+        self._words: dict[str, list[int]] = {}
+        self._former: dict[str, list[int]] = {}
 
     def _cuts(self) -> str:
         """A pattern that cuts texts where no piece, and so no merge, crosses: before blanks, around line ends, after letters that a sign follows."""
@@ -77,16 +91,20 @@ class PieceEncoder:
         return self.merged(left + right) == [t for t in (left, right) if t]
 
     def tokens(self, text: str) -> list[int]:
-        """The tokens of a normalised text: numbers of pieces, and for characters outside the vocabulary, `none` and beyond."""
-        n, none, pairs = len(text), self._none, self._pairs
-        number, size_of = [none] * (n + 1), [0] * (n + 1)  # the last token of each prefix, and its length
-        found = self._automaton.iter(text)
-        strange = {i for i, c in enumerate(text) if c not in self._id}
-        if strange:
-            found = sorted([*found, *((i, (1, none + 1 + ord(text[i]))) for i in strange)])
-        for end, (size, token) in found:
-            if size_of[end + 1]:
+        """The tokens of a normalised text: numbers of pieces, and for characters outside the vocabulary, `none` and beyond.
+
+        The automaton holds pieces of two characters or more. Where none of those that end at a
+        place is the last token of the prefix up to there, the single character is.
+        """
+        n, pairs, single = len(text), self._pairs, self._single
+        number, size_of = [self._none] * (n + 1), [0] * (n + 1)  # the last token of each prefix, and its length
+        done = 0  # prefixes that are settled
+        for end, (size, token) in self._automaton.iter(text):
+            if end < done:
                 continue
+            while done < end:
+                number[done + 1], size_of[done + 1] = single[text[done]], 1
+                done += 1
             at = end + 1 - size
             pair = number[at] << 22 | token
             good = pairs.get(pair)
@@ -95,11 +113,12 @@ class PieceEncoder:
                     pairs.clear()
                 good = pairs[pair] = self.compatible(text[at - size_of[at] : at], text[at : end + 1])
             if good:
-                number[end + 1], size_of[end + 1] = token, size
+                done = end + 1
+                number[done], size_of[done] = token, size
+        for at in range(done, n):
+            number[at + 1], size_of[at + 1] = single[text[at]], 1
         out = []
         while n:
-            if not size_of[n]:
-                raise ValueError(f"no token ends at {n} of {text!r}")
             out.append(number[n])
             n -= size_of[n]
         return out[::-1]
@@ -115,13 +134,13 @@ class PieceEncoder:
                 out.append(self.sp.unk_id())
         return out
 
-    def encode_words(self, text: str | None) -> list[tuple[str, list[int]]]:
-        """Each word's ids, as text joined by commas and as a list, in order."""
+    def encode(self, text: str | None) -> list[int]:
+        """The ids of a text; none for null and empty texts."""
         if not text:
             return []
         words, kept = self._cut.findall(self.sp.normalize(text)), self._words
         try:
-            return [kept[w] for w in words]
+            return list(chain.from_iterable(map(kept.__getitem__, words)))
         except KeyError:
             pass
         if len(kept) > KEPT_WORDS:  # start anew; what is still met comes over from the former words
@@ -129,15 +148,13 @@ class PieceEncoder:
             kept = self._words
         for w in set(words).difference(kept):
             found = self._former.get(w)
-            if found is None:
-                ids = self._ids(w)
-                found = ",".join(map(str, ids)), ids
-            kept[w] = found
-        return [kept[w] for w in words]
+            kept[w] = self._ids(w) if found is None else found
+        return list(chain.from_iterable(map(kept.__getitem__, words)))
 
-    def encode(self, text: str | None) -> list[int]:
-        """The ids of a text; none for null and empty texts."""
-        return [i for _, ids in self.encode_words(text) for i in ids]
+    def joined(self, ids: list[int]) -> str:
+        """Ids as decimal numbers joined by commas."""
+        names = self._text
+        return ",".join([names[i] for i in ids])
 
     def decode(self, ids: list[int]) -> str:
         """The library's decoding of ids."""
@@ -175,10 +192,8 @@ def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
         def one():
             for doc, text in rows(batches, "doc_id", "text"):
-                words = e.encode_words(text)
-                ids = [i for _, own in words for i in own]
-                joined = ",".join([w for w, _ in words])
-                yield doc, len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(e.decode(ids).encode()).hexdigest()
+                ids = e.encode(text)
+                yield doc, len(ids), hashlib.sha256(e.joined(ids).encode()).hexdigest(), hashlib.sha256(e.decode(ids).encode()).hexdigest()
 
         yield from batched(one(), schema)
 
