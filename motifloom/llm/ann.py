@@ -58,39 +58,46 @@ class Projections:
         rest = np.sqrt(np.maximum(0.0, top * top - np.einsum("ij,ij->i", vectors, vectors)))
         self.vectors = vectors
         at = np.column_stack((vectors, rest)) / top @ self._axes
-        self._order = np.argsort(at, axis=0, kind="stable").T.astype(np.int32)
-        self._sorted = np.sort(at, axis=0).T.copy()
+        order = np.argsort(at, axis=0, kind="stable")
+        self._sorted = np.take_along_axis(at, order, 0).T.copy()
+        # each vector's place in each sorted array, so that a window is a range of places
+        self._places = np.empty(at.T.shape, np.uint16)
+        np.put_along_axis(self._places, order.T, np.arange(len(at), dtype=np.uint16)[None], 1)
 
     def candidates(self, query: np.ndarray, need: int, share: float, grow: float) -> np.ndarray:
         """The vectors that collide with the query in `share` of the projections or more.
 
-        The windows around the query's projections start at the median distance and grow by
-        `grow` (virtual rehashing) until `need` vectors do, or all. Only what a growth adds is counted.
+        The windows around the query's projections start at 1.22 times the median distance and grow
+        by `grow` (virtual rehashing) until `need` vectors do, or all.
         """
         m, n = self._sorted.shape
         at = np.append(query / np.linalg.norm(query), 0.0) @ self._axes
         least = int(np.ceil(share * m))
-        middle = np.abs(self._sorted[:, :: max(1, n // 64)] - at[:, None])
-        half, counts = float(np.median(middle)), np.zeros(n, np.int64)
-        low = np.array([np.searchsorted(self._sorted[j], at[j]) for j in range(m)])
-        high = low.copy()
-        while True:
-            parts = []
-            for j in range(m):
-                a, b = np.searchsorted(self._sorted[j], (at[j] - half, at[j] + half))
-                a, b = min(a, low[j]), max(b, high[j])
-                parts += [self._order[j, a : low[j]], self._order[j, high[j] : b]]
-                low[j], high[j] = a, b
-            counts += np.bincount(np.concatenate(parts), minlength=n)
+        half = 1.22 * float(np.median(np.abs(self._sorted[:, :: max(1, n // 64)] - at[:, None])))
+        need = min(need, n)
+        shifted, inside = np.empty(n, np.uint16), np.empty(n, bool)
+        hit = inside.view(np.uint8)
+        while half:
+            low = [int(s.searchsorted(a - half)) for s, a in zip(self._sorted, at, strict=True)]
+            high = [int(s.searchsorted(a + half, "right")) for s, a in zip(self._sorted, at, strict=True)]
+            counts = np.zeros(n, np.uint8)
+            for places, a, b in zip(self._places, low, high, strict=True):
+                if a < b:
+                    np.subtract(places, np.uint16(a), out=shifted)  # places before the window wrap around
+                    np.less_equal(shifted, np.uint16(b - a - 1), out=inside)
+                    np.add(counts, hit, out=counts)
             found = np.flatnonzero(counts >= least)
-            if len(found) >= min(need, n) or not half or ((low == 0) & (high == n)).all():
-                return found if len(found) >= min(need, n) else np.arange(n)
+            if len(found) >= need:
+                return found
+            if not any(low) and all(b == n for b in high):
+                break
             half *= grow
+        return np.arange(n)
 
 
 def search(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, m: int = 64, share: float = 0.8, grow: float = 1.1,
-    verify: float = 0.12, seed: int = 17, block: int = 16_384, query_block: int = 2048,
+    verify: float = 0.055, seed: int = 17, block: int = 16_384, query_block: int = 1024,
 ) -> DataFrame:
     """For each vector whose id is divisible by `every` the k other rows with the largest inner product that are found.
 
@@ -114,6 +121,8 @@ def search(
     top = float(np.sqrt(top)) if top else 1.0
     queries = valid.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "vec", "dims").distinct()
     asked = written(queries.select("vec", "dims").distinct(), "query-vectors")
+    if block > 1 << 15 or m > 255:
+        raise ValueError("places in a block are 16-bit numbers, collisions 8-bit ones")
     n_blocks, q_blocks = max(1, -(-n // block)), max(1, -(-asked.count() // query_block))
     spread = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
     data = kinds.select("vec", "dims", "ids", F.pmod(F.xxhash64("vec"), F.lit(n_blocks)).cast("int").alias("b"), spread(q_blocks).alias("q"))
@@ -129,7 +138,7 @@ def search(
             for vec in asking["vec"]:
                 query = np.frombuffer(vec, np.float64)
                 found = index.candidates(query, need, share, grow)
-                scores = np.einsum("ij,j->i", x[found], query)
+                scores = x[found] @ query
                 if len(found) > k + 1:  # all that may be among the k + 1 nearest, ties included
                     keep = scores >= np.partition(scores, -(k + 1))[-(k + 1)]
                     found, scores = found[keep], scores[keep]
