@@ -19,7 +19,8 @@ from motifloom.llm.common import columns_of, fresh, written
 from motifloom.llm.tokens import batched, rows
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
-_KEPT = 400_000
+#: Words whose hashes a Python worker keeps.
+_KEPT = 60_000
 
 
 class _Hashes(dict):

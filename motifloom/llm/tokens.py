@@ -8,8 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Words whose ids a Python worker keeps, besides as many former ones (about 100 MB in all); beyond that it starts anew.
-KEPT_WORDS = 200_000
+#: Words whose ids a Python worker keeps, besides as many former ones (about 50 MB in all); beyond that it starts anew.
+KEPT_WORDS = 120_000
 
 # Fixed values of the word tokenizer's own pre-tokenizer, for texts of these characters only.
 _PLAIN = re.compile("[^\t\n\r -~À-ÖØ-öø-ÿ]")
