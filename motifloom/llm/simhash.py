@@ -154,12 +154,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     quarters = F.explode(F.array(*[
         F.struct(F.lit(2 * i + k).alias("seg"), segment(F.col(f"w{i}"), k, 2).alias("val")) for i in (0, 1) for k in (0, 1)
     ])).alias("q")
-    listed = kinds.select("id", "s0", "s1", quarters).select("id", "s0", "s1", F.col("q.seg").alias("seg"), F.explode(ball(F.col("q.val"), 32)).alias("key"))
-    held = listed.groupBy("seg", "key").agg(F.min(F.struct("id", "s0", "s1")).alias("m"), F.count("*").alias("n")).where("n > 1")
-    held = held.select(F.col("seg").alias("hseg"), F.col("key").alias("hkey"), "m")
-    apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("m.s0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("m.s1")))
-    met = listed.join(held, (F.col("seg") == F.col("hseg")) & (F.col("key") == F.col("hkey")) & (F.col("id") != F.col("m.id")) & (apart <= int(most_share * 128)))
-    joined = components(met.select(F.col("id").alias("a"), F.col("m.id").alias("b")).distinct())
+    # the wide table has a key and an id alone; sketches come back to the few pairs that meet
+    listed = kinds.select("id", quarters).select("id", F.col("q.seg").alias("seg"), F.explode(ball(F.col("q.val"), 32)).alias("key"))
+    listed = listed.select("id", F.xxhash64("seg", "key").alias("key"))
+    held = listed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("held"), "head")
+    pairs = listed.join(written(held, "sketch-keys"), (F.col("key") == F.col("held")) & (F.col("id") != F.col("head"))).select("id", "head").distinct()
+    sketch = lambda of: kinds.select(F.col("id").alias(of), F.col("s0").alias(f"{of}0"), F.col("s1").alias(f"{of}1"))
+    pairs = pairs.join(sketch("x"), F.col("id") == F.col("x")).join(sketch("y"), F.col("head") == F.col("y"))
+    apart = F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))) + F.bit_count(F.col("x1").bitwiseXOR(F.col("y1")))
+    met = pairs.where(apart <= int(most_share * 128))
+    joined = components(met.select(F.col("id").alias("a"), F.col("head").alias("b")))
     named = kinds.join(joined, kinds.id == joined.node, "left").select(*[F.col(c).alias("k" + c) for c in same], F.coalesce("root", "id").alias("component_id"))
     on = [F.col(c) == F.col("k" + c) for c in same]
     return own.join(named, on).select("doc_id", "component_id")
