@@ -158,23 +158,23 @@ def repeated_windows(texts: DataFrame, span: int = 400, q: int = 200) -> DataFra
     schema = pa.schema([(c, pa.int32() if c in ("at", "first", "last") else pa.int64()) for c in names])
     ddl = "k long, at int, first int, last int, gram long, cover long"
     found = written(texts.mapInArrow(lambda b: _pointer_rows(b, span, q, schema), ddl), "pointers")
-    shared = found.groupBy("gram").count().where("count > 1").select(F.col("gram").alias("g"))
-    found = written(found.join(shared, F.col("gram") == F.col("g"), "left_semi"), "pointers-shared")
-    covers = found.groupBy("cover").agg(F.count("*").alias("n"), F.min(F.struct("k", "at")).alias("head"), F.min("gram").alias("of_gram"))
-    covers = written(covers.withColumnRenamed("cover", "c"), "covers")
-    several = covers.groupBy("of_gram").count().where("count > 1").select(F.col("of_gram").alias("g"))
-    heads = covers.join(several, F.col("of_gram") == F.col("g"), "left_semi").select(F.col("head.k").alias("hk"), F.col("head.at").alias("hat"))
-    whole = found.join(covers.where("n > 1").select("c"), F.col("cover") == F.col("c"), "left_semi").select("k", "first", "last")
-    on = found.select("k", "at", "first", "last").join(heads, (F.col("k") == F.col("hk")) & (F.col("at") == F.col("hat")), "left_semi")
-    refs = on.distinct().groupBy(F.col("k").alias("rk")).agg(F.collect_list(F.struct("at", "first", "last")).alias("refs"))
+    # a pointer stands for all that share its cover, so the buckets of q-grams are of covers; heads know where their pointer is
+    covers = found.groupBy("cover", "gram").agg(F.count("*").alias("n"), F.min(F.struct("k", "at", "first", "last")).alias("head"))
+    covers = written(covers.select(F.col("cover").alias("c"), "gram", "n", "head.*"), "covers")
+    several = covers.groupBy("gram").count().where("count > 1").select(F.col("gram").alias("g"))
+    heads = covers.join(written(several, "grams"), F.col("gram") == F.col("g"), "left_semi").select("k", "at", "first", "last")
+    # tables of repeated identifiers are written, so that joins with them have exchanges of their own, whose hot keys can be split
+    repeated = written(covers.where("n > 1").select("c"), "covers-repeated")
+    whole = found.join(repeated, F.col("cover") == F.col("c"), "left_semi").select("k", "first", "last")
+    refs = heads.groupBy(F.col("k").alias("rk")).agg(F.collect_list(F.struct("at", "first", "last")).alias("refs"))
     kinds = pa.schema([("k", pa.int64()), ("core", pa.int64()), ("p", pa.int32()), ("windows", pa.binary())])
     parts = texts.join(refs, F.col("k") == F.col("rk")).select("k", "text", "refs")
     parts = written(parts.mapInArrow(lambda b: batched(_part_rows(b, span), kinds, 1024), "k long, core long, p int, windows binary"), "parts")
-    cores = parts.groupBy("core").count().where("count > 1").select(F.col("core").alias("c"))
+    cores = written(parts.groupBy("core").count().where("count > 1").select(F.col("core").alias("c")), "cores")
     left = parts.join(cores, F.col("core") == F.col("c"), "left_semi").select("k", "p", "windows")
     each = pa.schema([("k", pa.int64()), ("p", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
     windows = written(left.mapInArrow(lambda b: batched(_window_rows(b), each), "k long, p int, a long, b long"), "windows")
-    again = windows.groupBy("a", "b").count().where("count > 1").select(F.col("a").alias("a2"), F.col("b").alias("b2"))
+    again = written(windows.groupBy("a", "b").count().where("count > 1").select(F.col("a").alias("a2"), F.col("b").alias("b2")), "windows-again")
     single = windows.join(again, (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), "left_semi")
     return whole.unionByName(single.select("k", F.col("p").alias("first"), F.col("p").alias("last")))
 
