@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from motifloom.llm.common import columns_of, fresh, written
+from motifloom.llm.common import columns_of, forget, fresh, written
 from motifloom.llm.tokens import batched, rows
 
 #: Windows in one part of round 3.
@@ -152,8 +152,11 @@ def _merged(batches: Iterator, span: int) -> Iterator:
         yield key, out
 
 
-def repeated_windows(texts: DataFrame, span: int = 400, q: int = 200) -> DataFrame:
-    """(k, first, last): windows of `span` bytes of texts(k, text) that also begin anywhere else, as ranges of their first bytes."""
+def repeated_windows(texts: DataFrame, span: int = 400, q: int = 200) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """(k, first, last): windows of `span` bytes of texts(k, text) that also begin anywhere else, as ranges of their first bytes.
+
+    Besides, the scratch tables that it reads.
+    """
     names = ("k", "at", "first", "last", "gram", "cover")
     schema = pa.schema([(c, pa.int32() if c in ("at", "first", "last") else pa.int64()) for c in names])
     ddl = "k long, at int, first int, last int, gram long, cover long"
@@ -162,7 +165,8 @@ def repeated_windows(texts: DataFrame, span: int = 400, q: int = 200) -> DataFra
     covers = found.groupBy("cover", "gram").agg(F.count("*").alias("n"), F.min(F.struct("k", "at", "first", "last")).alias("head"))
     covers = written(covers.select(F.col("cover").alias("c"), "gram", "n", "head.*"), "covers")
     several = covers.groupBy("gram").count().where("count > 1").select(F.col("gram").alias("g"))
-    heads = covers.join(written(several, "grams"), F.col("gram") == F.col("g"), "left_semi").select("k", "at", "first", "last")
+    grams = written(several, "grams")
+    heads = covers.join(grams, F.col("gram") == F.col("g"), "left_semi").select("k", "at", "first", "last")
     # tables of repeated identifiers are written, so that joins with them have exchanges of their own, whose hot keys can be split
     repeated = written(covers.where("n > 1").select("c"), "covers-repeated")
     whole = found.join(repeated, F.col("cover") == F.col("c"), "left_semi").select("k", "first", "last")
@@ -170,13 +174,15 @@ def repeated_windows(texts: DataFrame, span: int = 400, q: int = 200) -> DataFra
     kinds = pa.schema([("k", pa.int64()), ("core", pa.int64()), ("p", pa.int32()), ("windows", pa.binary())])
     parts = texts.join(refs, F.col("k") == F.col("rk")).select("k", "text", "refs")
     parts = written(parts.mapInArrow(lambda b: batched(_part_rows(b, span), kinds, 1024), "k long, core long, p int, windows binary"), "parts")
+    forget(covers, grams)
     cores = written(parts.groupBy("core").count().where("count > 1").select(F.col("core").alias("c")), "cores")
     left = parts.join(cores, F.col("core") == F.col("c"), "left_semi").select("k", "p", "windows")
     each = pa.schema([("k", pa.int64()), ("p", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
     windows = written(left.mapInArrow(lambda b: batched(_window_rows(b), each), "k long, p int, a long, b long"), "windows")
+    forget(parts, cores)
     again = written(windows.groupBy("a", "b").count().where("count > 1").select(F.col("a").alias("a2"), F.col("b").alias("b2")), "windows-again")
     single = windows.join(again, (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), "left_semi")
-    return whole.unionByName(single.select("k", F.col("p").alias("first"), F.col("p").alias("last")))
+    return whole.unionByName(single.select("k", F.col("p").alias("first"), F.col("p").alias("last"))), (found, repeated, windows, again)
 
 
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400, q: int = 200, to: str = "spans") -> DataFrame:
@@ -187,10 +193,12 @@ def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     key = fresh(docs, "span_key")
     own = columns_of(docs, [(id_col, "doc_id"), (text_col, "text")]).where("text is not null").select(F.xxhash64("doc_id", "text").alias("k"), "text")
-    found = repeated_windows(own, span, q).groupBy("k").agg(F.collect_list(F.struct("first", "last")).alias("found"))
+    ranges, scratch = repeated_windows(own, span, q)
+    found = ranges.groupBy("k").agg(F.collect_list(F.struct("first", "last")).alias("found"))
     kinds = pa.schema([("k", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
     spans = found.mapInArrow(lambda b: batched(_merged(b, span), kinds, 512), "k long, spans array<struct<start: int, end: int>>")
     spans = written(spans, "spans").select(F.col("k").alias(key), F.col("spans").alias(to))
+    forget(*scratch)
     return docs.join(spans, F.xxhash64(docs[id_col], docs[text_col]) == F.col(key), "left").drop(key)
 
 
