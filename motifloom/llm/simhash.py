@@ -9,12 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motifloom.llm.common import columns_of, fresh, written
+from motifloom.llm.common import columns_of, forget, fresh, written
 from motifloom.llm.graph import components
+from motifloom.llm.suffixes import Hashes
 from motifloom.llm.tokens import batched, rows
 
 #: Fingerprints that may share one segment value before the bucket is handled by midpoints.
 BUCKET = 64
+#: near_groups: one document of so many is counted for the order of shingles, which has so many common ones at most; rounds of comparisons with one document of a large entry.
+SAMPLE, COMMON, ROUNDS = 8, 100_000, 3
 
 
 def _bits(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -118,55 +121,119 @@ def duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return own.join(of_print, own.fingerprint == of_print.fp, "left").select("doc_id", "fingerprint", "component_id")
 
 
-def _sketches(batches: Iterator, size: int, schema: pa.Schema) -> Iterator:
-    """Two 128-bit SimHashes of each text: of its distinct words (w), and of its shingles (s)."""
-    from xxhash import xxh3_128_digest
+def _shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's shingles, as _shingles() cuts them, in ascending order."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    last = max(1, len(words) - size + 1)
+    return np.unique(Hashes(b" ".join(words)).of(starts[:last], ends[min(size, len(words)) - 1 :]))
 
-    def bits(parts) -> list[int]:
-        found = np.frombuffer(b"".join(map(xxh3_128_digest, parts)), np.uint64).reshape(-1, 2)
-        return [int(x) for x in _bits(np.ascontiguousarray(found), 2)] if len(found) else [0, 0]
 
-    def one():
-        for doc, text in rows(batches, "doc_id", "text"):
-            words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
-            yield doc, *bits(words), *bits(_shingles(text, size))
+def _shingle_rows(batches: Iterator, size: int, schema: pa.Schema) -> Iterator:
+    for _, text in rows(batches, "doc_id", "text"):
+        yield pa.RecordBatch.from_arrays([pa.array(_shingle_hashes(text, size).view(np.int64))], schema=schema)
+
 
-    yield from batched(one(), schema)
+def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many documents of a sample have, ascending, and how many; COMMON of them at most.
 
+    They only tell near_groups which shingles to look up last: any such list gives the same groups.
+    """
+    schema = pa.schema([("h", pa.int64())])
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    counts = sample.mapInArrow(lambda b: _shingle_rows(b, size, schema), "h long").groupBy("h").count().where("count >= 4")
+    found = counts.orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
+    keys, n = found["h"].to_numpy().view(np.uint64), found["count"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, most_share: float = 0.18) -> DataFrame:
-    """(doc_id, component_id) of near duplicates at a shingle similarity of about 0.8 or more, for whole corpora.
 
-    Documents with a Jaccard similarity of 0.8 on `size`-word shingles differ in about 15 % of the
-    bits of a SimHash of shingles, too many to find by segments, but in about 7 % of one of distinct
-    words. So the segments are the four 32-bit quarters of a 128-bit SimHash of words: each document
-    lists the ball of radius 1 around each quarter; documents that list the same value are tied to the
-    smallest that does, if the complete 128-bit SimHashes of shingles differ in at most most_share of
-    the bits. Links go to one document of each table entry, so entries of any size cost what they hold.
-    Texts without words are near nothing but each other; null ids are left out.
+def _sets(batches: Iterator, size: int, common: tuple[np.ndarray, np.ndarray], schema: pa.Schema) -> Iterator:
+    """Of each text a 128-bit name of its set of shingles, and the set, those that few documents have first."""
+    from xxhash import xxh3_128_digest
+
+    keys, counts = common
+
+    def one():
+        for doc, text in rows(batches, "doc_id", "text"):
+            hashes = _shingle_hashes(text, size)
+            name = np.frombuffer(xxh3_128_digest(hashes.tobytes()), "<i8").tolist()
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                hashes = hashes[np.lexsort((hashes, np.where(keys[at] == hashes, counts[at], 0)))]
+            yield doc, *name, len(hashes), hashes.view(np.int64)
+
+    yield from batched(one(), schema, 512)
+
+
+def _similar(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """Of pairs(x, y) of documents those at a Jaccard similarity of 0.8 or more of their shingles, own(doc_id, n, hashes), counted in full."""
+    pairs = written(pairs, "near-pairs")
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    sets = written(own.join(ids, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "n", "hashes"), "near-sets")
+    side = lambda of: sets.select(F.col("doc_id").alias(of + "id"), F.col("n").alias(of + "n"), F.col("hashes").alias(of + "h"))
+    both = pairs.join(side("x"), F.col("x") == F.col("xid")).join(side("y"), F.col("y") == F.col("yid"))
+    met = both.where(9 * F.size(F.array_intersect("xh", "yh")) >= 4 * (F.col("xn") + F.col("yn")))
+    met = written(met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "near-links")
+    forget(pairs, sets)
+    return met
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
+    """(doc_id, component_id) of near duplicates: the components of all pairs at a Jaccard similarity of 0.8 or more on `size`-word shingles.
+
+    Exact, by prefixes: whatever order all shingles have, two sets at 0.8 or more have one in common
+    among the first fifth (and one more) of each. So only those are listed, in an order that puts the
+    shingles of many documents last; documents that list the same one are compared by their complete
+    sets. A table entry with over BUCKET documents is first compared with one of its documents in turn
+    for a few rounds; then all its pairs that are not yet in one component are compared, so an entry
+    of one group costs what it holds.
+    Equal sets count once. Texts without words are near nothing but each other; null ids are left out.
     """
-    schema = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("w0", "w1", "s0", "s1")]])
-    own = columns_of(docs, [(id_col, "doc_id"), (text_col, "text")]).where("doc_id is not null")
-    own = own.mapInArrow(lambda batches: _sketches(batches, size, schema), "doc_id long, w0 long, w1 long, s0 long, s1 long")
-    own = written(own, "sketches")
-    same = ["w0", "w1", "s0", "s1"]
-    kinds = written(own.groupBy(*same).agg(F.min("doc_id").alias("id")), "sketch-kinds")
-    quarters = F.explode(F.array(*[
-        F.struct(F.lit(2 * i + k).alias("seg"), segment(F.col(f"w{i}"), k, 2).alias("val")) for i in (0, 1) for k in (0, 1)
-    ])).alias("q")
-    # the wide table has a key and an id alone; sketches come back to the few pairs that meet
-    listed = kinds.select("id", quarters).select("id", F.col("q.seg").alias("seg"), F.explode(ball(F.col("q.val"), 32)).alias("key"))
-    listed = listed.select("id", F.xxhash64("seg", "key").alias("key"))
-    held = listed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("held"), "head")
-    pairs = listed.join(written(held, "sketch-keys"), (F.col("key") == F.col("held")) & (F.col("id") != F.col("head"))).select("id", "head").distinct()
-    sketch = lambda of: kinds.select(F.col("id").alias(of), F.col("s0").alias(f"{of}0"), F.col("s1").alias(f"{of}1"))
-    pairs = pairs.join(sketch("x"), F.col("id") == F.col("x")).join(sketch("y"), F.col("head") == F.col("y"))
-    apart = F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))) + F.bit_count(F.col("x1").bitwiseXOR(F.col("y1")))
-    met = pairs.where(apart <= int(most_share * 128))
-    joined = components(met.select(F.col("id").alias("a"), F.col("head").alias("b")))
-    named = kinds.join(joined, kinds.id == joined.node, "left").select(*[F.col(c).alias("k" + c) for c in same], F.coalesce("root", "id").alias("component_id"))
-    on = [F.col(c) == F.col("k" + c) for c in same]
-    return own.join(named, on).select("doc_id", "component_id")
+    docs = columns_of(docs, [(id_col, "doc_id"), (text_col, "text")]).where("doc_id is not null")
+    schema = pa.schema([("doc_id", pa.int64()), ("k0", pa.int64()), ("k1", pa.int64()), ("n", pa.int32()), ("hashes", pa.list_(pa.int64()))])
+    common = _common(docs, size)
+    own = docs.mapInArrow(lambda b: _sets(b, size, common, schema), "doc_id long, k0 long, k1 long, n int, hashes array<long>")
+    own = written(own, "shingles")
+    kinds = written(own.groupBy("k0", "k1").agg(F.min("doc_id").alias("id")), "shingle-kinds")
+    first = F.slice("hashes", 1, F.expr("n - (4 * n + 4) div 5 + 1").cast("int"))
+    prefixes = own.where("n > 0").select("doc_id", "k0", "k1", "n", first.alias("keys"))
+    firsts = kinds.select(F.col("id").alias("doc_id"), "k0", "k1")
+    listed = written(prefixes.join(firsts, ["doc_id", "k0", "k1"], "left_semi").select(F.col("doc_id").alias("id"), "n", F.explode("keys").alias("key")), "near-listed")
+    held = written(listed.groupBy("key").count().where("count > 1").select(F.col("key").alias("held"), "count"), "near-held")
+    entries = written(listed.join(held, F.col("key") == F.col("held")).select("id", "n", "key", "count"), "near-entries")
+    forget(listed, held)
+    near = (F.col("xn") * 5 >= F.col("yn") * 4) & (F.col("yn") * 5 >= F.col("xn") * 4)  # sizes that can be at 0.8
+    side = lambda df, of: df.select(*[F.col(c).alias(of + c) for c in df.columns])
+
+    def all_pairs(df: DataFrame, more) -> DataFrame:
+        met = side(df, "x").join(side(df, "y"), (F.col("xkey") == F.col("ykey")) & (F.col("xid") < F.col("yid")) & near & more)
+        return met.select(F.col("xid").alias("x"), F.col("yid").alias("y")).distinct()
+
+    links = _similar(all_pairs(entries.where(F.col("count") <= BUCKET), F.lit(True)), own)
+    large = entries.where(F.col("count") > BUCKET).select("id", "n", "key")
+    for turn in range(ROUNDS + 1):
+        if large.isEmpty():
+            break
+        roots = components(links)
+        at = large.join(roots, large.id == roots.node, "left").select("id", "n", "key", F.coalesce("root", "id").alias("root"))
+        apart = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n", "root")).alias("h"))
+        apart = written(apart.where("low < high").select(F.col("key").alias("ykey"), F.col("h.id").alias("yid"), F.col("h.n").alias("yn"), F.col("h.root").alias("yroot")), "near-heads")
+        large = written(at.join(apart.select("ykey"), F.col("key") == F.col("ykey"), "left_semi"), "near-large")
+        other = F.col("xroot") != F.col("yroot")
+        if turn < ROUNDS:
+            met = side(large, "x").join(apart, (F.col("xkey") == F.col("ykey")) & other & near)
+            pairs = met.select(F.least("xid", "yid").alias("x"), F.greatest("xid", "yid").alias("y")).distinct()
+        else:
+            pairs = all_pairs(large, other)
+        links = links.unionByName(_similar(pairs, own))
+        large = large.select("id", "n", "key")
+    joined = components(links)
+    named = kinds.join(joined, kinds.id == joined.node, "left").select(F.col("k0").alias("kk0"), F.col("k1").alias("kk1"), F.coalesce("root", "id").alias("component_id"))
+    return own.join(named, (F.col("k0") == F.col("kk0")) & (F.col("k1") == F.col("kk1"))).select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
