@@ -56,3 +56,17 @@ def test_links_are_verified_at_the_threshold(spark):
     met = [similarity(*texts[i : i + 2]) for i in range(0, 120, 2)]
     assert sum(0.7 < s < 0.8 for s in met) > 10 and sum(0.8 <= s < 0.9 for s in met) > 10
     assert groups(spark, texts) == by_all_pairs(texts)
+
+
+def test_appended_truncated_and_replaced_blocks_are_found(spark):
+    rng = random.Random(6)
+    texts = []
+    for k in range(90):
+        words = words_of(rng, rng.choice((200, 300, 1000)))
+        n, part = len(words), int(len(words) * (0.18, 0.15, 0.07)[k % 3])
+        at = rng.randrange(n - part)
+        edited = (words + words_of(rng, part), words[: n - part], words[:at] + words_of(rng, part) + words[at + part :])[k % 3]
+        texts += [" ".join(words), " ".join(edited)]
+        assert 0.8 <= similarity(*texts[-2:]) < 0.9
+    got = groups(spark, texts)
+    assert all(got[2 * i + 1] == 2 * i for i in range(90))
