@@ -17,7 +17,7 @@ from motifloom.llm.tokens import batched, rows
 #: Fingerprints that may share one segment value before the bucket is handled by midpoints.
 BUCKET = 64
 #: near_groups: one document of so many is counted for the order of shingles, which has so many common ones at most; rounds of comparisons with one document of a large entry.
-SAMPLE, COMMON, ROUNDS = 8, 100_000, 3
+SAMPLE, COMMON, ROUNDS = 8, 100_000, 2
 
 
 def _bits(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -218,8 +218,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for turn in range(ROUNDS + 1):
         if large.isEmpty():
             break
-        roots = components(links)
-        at = large.join(roots, large.id == roots.node, "left").select("id", "n", "key", F.coalesce("root", "id").alias("root"))
+        if turn:
+            roots = components(links)
+            at = large.join(roots, large.id == roots.node, "left").select("id", "n", "key", F.coalesce("root", "id").alias("root"))
+        else:
+            at = large.withColumn("root", F.col("id"))
         apart = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n", "root")).alias("h"))
         apart = written(apart.where("low < high").select(F.col("key").alias("ykey"), F.col("h.id").alias("yid"), F.col("h.n").alias("yn"), F.col("h.root").alias("yroot")), "near-heads")
         large = written(at.join(apart.select("ykey"), F.col("key") == F.col("ykey"), "left_semi"), "near-large")

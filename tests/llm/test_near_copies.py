@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+import pytest
+
 from motifloom.llm import simhash
 
 
@@ -70,3 +72,16 @@ def test_appended_truncated_and_replaced_blocks_are_found(spark):
         assert 0.8 <= similarity(*texts[-2:]) < 0.9
     got = groups(spark, texts)
     assert all(got[2 * i + 1] == 2 * i for i in range(90))
+
+
+@pytest.mark.parametrize("bucket", [2, 64])
+def test_every_pair_of_a_crowded_entry_is_decided(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng = random.Random(7)
+    base = words_of(rng, 300)
+    texts = [" ".join(scattered(rng, base, 12)) for _ in range(60)]  # far from each other by 0.8, the smallest ids too
+    for k in range(20):
+        texts.append(" ".join(scattered(rng, texts[5 + 2 * k].split(), 3)))
+    want = by_all_pairs(texts)
+    assert sum(i != r for i, r in want.items()) >= 20 and want[0] == 0 and len(set(want.values())) >= 40
+    assert groups(spark, texts) == want
