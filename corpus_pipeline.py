@@ -26,9 +26,9 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With repeated passages cut out of the texts."""
+    """With repeated passages of over 50 words (or of 400 bytes, for texts with few blanks) cut out of the texts."""
     small_batches(spark)
-    return suffixes.drop_repeats(docs)
+    return suffixes.drop_repeats(docs, words=51)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,13 +48,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of any part of some bytes, in constant time each, from prefix sums modulo 2 ** 64."""
+    """Hashes of any part of some bytes, or of 64-bit symbols, in constant time each, from prefix sums modulo 2 ** 64."""
 
-    def __init__(self, data: bytes, which: int = 0):
+    def __init__(self, data: bytes | np.ndarray, which: int = 0):
         n = len(data)
         powers, inverse = self._tables(which, n + 1)
         self._sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_TABLES[which][np.frombuffer(data, np.uint8)] * powers[:n], out=self._sums[1:])
+        symbols = data if isinstance(data, np.ndarray) else _TABLES[which][np.frombuffer(data, np.uint8)]
+        np.cumsum(symbols * powers[:n], out=self._sums[1:])
         self._inverse = inverse
 
     @staticmethod
@@ -75,7 +76,21 @@ class Hashes:
         return _mix((self._sums[end] - self._sums[start]) * self._inverse[start] + (end - start).astype(np.uint64))
 
 
-def pointers(data: bytes, span: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin and end; words are runs of bytes other than ASCII blanks."""
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = ~np.isin(np.frombuffer(data, np.uint8), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
+    step = np.diff(inside)
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def _symbols(text: str | None, words: bool, which: int = 0) -> bytes | np.ndarray:
+    """A text's bytes, or one hash for each of its words."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    return Hashes(data, which).of(*word_bounds(data)) if words else data
+
+
+def pointers(data: bytes | np.ndarray, span: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The smallest q-grams of all windows of `span` bytes: their offsets, and the first and last window of each."""
     n, width = len(data), span - q + 1
     if n < span:
@@ -103,9 +118,9 @@ def pointers(data: bytes, span: int, q: int) -> tuple[np.ndarray, np.ndarray, np
     return np.concatenate(at), np.concatenate(first), np.concatenate(last)
 
 
-def _pointer_rows(batches: Iterator, span: int, q: int, schema: pa.Schema) -> Iterator:
+def _pointer_rows(batches: Iterator, span: int, q: int, words: bool, schema: pa.Schema) -> Iterator:
     for key, text in rows(batches, "k", "text"):
-        data = (text or "").encode("utf-8", "surrogatepass")
+        data = _symbols(text, words)
         at, first, last = pointers(data, span, q)
         if not len(at):
             continue
@@ -116,11 +131,10 @@ def _pointer_rows(batches: Iterator, span: int, q: int, schema: pa.Schema) -> It
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _part_rows(batches: Iterator, span: int) -> Iterator:
+def _part_rows(batches: Iterator, span: int, words: bool) -> Iterator:
     """For each pointer that goes on its parts of PART windows: the hash of the text that a part's windows have in common, its last window, and the hashes of all."""
     for key, text, refs in rows(batches, "k", "text", "refs"):
-        data = text.encode("utf-8", "surrogatepass")
-        one, two = Hashes(data), Hashes(data, 1)
+        one, two = Hashes(_symbols(text, words)), Hashes(_symbols(text, words, 1), 1)
         for ref in refs:
             at, first, last = ref["at"], ref["first"], ref["last"]
             p = np.arange(last, first - 1, -1)
@@ -152,15 +166,29 @@ def _merged(batches: Iterator, span: int) -> Iterator:
         yield key, out
 
 
-def repeated_windows(texts: DataFrame, span: int = 400, q: int = 200) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+def _word_spans(batches: Iterator) -> Iterator:
+    """Spans of bytes and of words of each text, as those of bytes alone; those that overlap are joined."""
+    for key, text, spans, of_words in rows(batches, "k", "text", "spans", "of_words"):
+        starts, ends = word_bounds(text.encode("utf-8", "surrogatepass"))
+        found = [(x["start"], x["end"]) for x in spans or []] + [(int(starts[x["start"]]), int(ends[x["end"] - 1])) for x in of_words]
+        out: list[dict] = []
+        for start, end in sorted(found):
+            if out and start <= out[-1]["end"]:
+                out[-1]["end"] = max(out[-1]["end"], end)
+            else:
+                out.append({"start": start, "end": end})
+        yield key, out
+
+
+def repeated_windows(texts: DataFrame, span: int = 400, q: int = 200, words: bool = False) -> tuple[DataFrame, tuple[DataFrame, ...]]:
     """(k, first, last): windows of `span` bytes of texts(k, text) that also begin anywhere else, as ranges of their first bytes.
 
-    Besides, the scratch tables that it reads.
+    With words, span and q count words, as do first and last. Besides, the scratch tables that it reads.
     """
     names = ("k", "at", "first", "last", "gram", "cover")
     schema = pa.schema([(c, pa.int32() if c in ("at", "first", "last") else pa.int64()) for c in names])
     ddl = "k long, at int, first int, last int, gram long, cover long"
-    found = written(texts.mapInArrow(lambda b: _pointer_rows(b, span, q, schema), ddl), "pointers")
+    found = written(texts.mapInArrow(lambda b: _pointer_rows(b, span, q, words, schema), ddl), "pointers")
     # a pointer stands for all that share its cover, so the buckets of q-grams are of covers; heads know where their pointer is
     covers = found.groupBy("cover", "gram").agg(F.count("*").alias("n"), F.min(F.struct("k", "at", "first", "last")).alias("head"))
     covers = written(covers.select(F.col("cover").alias("c"), "gram", "n", "head.*"), "covers")
@@ -173,7 +201,7 @@ def repeated_windows(texts: DataFrame, span: int = 400, q: int = 200) -> tuple[D
     refs = heads.groupBy(F.col("k").alias("rk")).agg(F.collect_list(F.struct("at", "first", "last")).alias("refs"))
     kinds = pa.schema([("k", pa.int64()), ("core", pa.int64()), ("p", pa.int32()), ("windows", pa.binary())])
     parts = texts.join(refs, F.col("k") == F.col("rk")).select("k", "text", "refs")
-    parts = written(parts.mapInArrow(lambda b: batched(_part_rows(b, span), kinds, 1024), "k long, core long, p int, windows binary"), "parts")
+    parts = written(parts.mapInArrow(lambda b: batched(_part_rows(b, span, words), kinds, 1024), "k long, core long, p int, windows binary"), "parts")
     forget(covers, grams)
     cores = written(parts.groupBy("core").count().where("count > 1").select(F.col("core").alias("c")), "cores")
     left = parts.join(cores, F.col("core") == F.col("c"), "left_semi").select("k", "p", "windows")
@@ -185,20 +213,34 @@ def repeated_windows(texts: DataFrame, span: int = 400, q: int = 200) -> tuple[D
     return whole.unionByName(single.select("k", F.col("p").alias("first"), F.col("p").alias("last"))), (found, repeated, windows, again)
 
 
-def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400, q: int = 200, to: str = "spans") -> DataFrame:
+def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400, q: int = 200, to: str = "spans", words: int | None = None) -> DataFrame:
     """docs and the column `to`: array<struct<start, end>>, the maximal runs of UTF-8 bytes that strings of `span` bytes cover which also begin anywhere else.
 
+    With `words`, runs of that many words which also begin anywhere else count as well, whatever their bytes.
     Null if there are none. Matches do not cross texts; overlaps count, and a text's own repeats.
     Texts under `span` bytes, empty and null ones have none. Equal rows repeat each other.
     """
     key = fresh(docs, "span_key")
     own = columns_of(docs, [(id_col, "doc_id"), (text_col, "text")]).where("text is not null").select(F.xxhash64("doc_id", "text").alias("k"), "text")
-    ranges, scratch = repeated_windows(own, span, q)
-    found = ranges.groupBy("k").agg(F.collect_list(F.struct("first", "last")).alias("found"))
     kinds = pa.schema([("k", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
-    spans = found.mapInArrow(lambda b: batched(_merged(b, span), kinds, 512), "k long, spans array<struct<start: int, end: int>>")
-    spans = written(spans, "spans").select(F.col("k").alias(key), F.col("spans").alias(to))
-    forget(*scratch)
+    ddl = "k long, spans array<struct<start: int, end: int>>"
+
+    def merged(span: int, q: int, by_words: bool) -> DataFrame:
+        ranges, scratch = repeated_windows(own, span, q, by_words)
+        found = ranges.groupBy("k").agg(F.collect_list(F.struct("first", "last")).alias("found"))
+        out = written(found.mapInArrow(lambda b: batched(_merged(b, span), kinds, 512), ddl), "spans")
+        forget(*scratch)
+        return out
+
+    spans = merged(span, q, False)
+    if words:
+        of_words = merged(words, (words + 1) // 2, True).select(F.col("k").alias("wk"), F.col("spans").alias("of_words"))
+        both = of_words.join(spans, F.col("wk") == F.col("k"), "left").select("wk", "spans", "of_words")
+        both = own.join(both, F.col("k") == F.col("wk")).select("k", "text", "spans", "of_words")
+        both = both.mapInArrow(lambda b: batched(_word_spans(b), kinds, 512), ddl).dropDuplicates(["k"])  # equal rows have one key
+        only = spans.join(of_words, F.col("k") == F.col("wk"), "left_anti")
+        spans = written(both.unionByName(only), "word-spans")
+    spans = spans.select(F.col("k").alias(key), F.col("spans").alias(to))
     return docs.join(spans, F.xxhash64(docs[id_col], docs[text_col]) == F.col(key), "left").drop(key)
 
 
@@ -218,13 +260,14 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sp
     return found.select("doc_id", "text", "spans", kept_bytes(F.col("text"), F.col("spans")).alias("kept"))
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", span: int = 400) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", span: int = 400, words: int | None = None) -> DataFrame:
     """docs with the repeated passages cut out of their texts; chars_col, if docs has it, is counted anew.
 
+    Passages are repeated strings of `span` bytes and, with `words`, repeated runs of that many words.
     A character of which a passage covers a part only goes too. Every row stays, if without text; null texts stay null.
     """
     to = fresh(docs, "spans")
-    found = with_spans(docs, id_col, text_col, span, to=to)
+    found = with_spans(docs, id_col, text_col, span, to=to, words=words)
     cut = F.when(F.col(to).isNull(), F.col(text_col)).otherwise(_whole_chars(kept_bytes(F.col(text_col), F.col(to))))
     out = found.withColumn(text_col, cut)
     if chars_col in docs.columns:
