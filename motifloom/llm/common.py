@@ -16,9 +16,11 @@ _scratch: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and all run in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -41,20 +43,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def forget(*tables: DataFrame) -> None:
-    """Deletes tables of written() that no later step reads, so that they do not add up on disk."""
+    """Deletes tables of written() that no later step reads, so that they do not add up on disk.
+
+    The driver's garbage is collected as well: Spark deletes the shuffle files of finished jobs when it is.
+    """
     for df in tables:
-        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.scratch_path)
         _scratch.remove(df.scratch_path)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def marked() -> int:
+    """A point in time for release()."""
+    return len(_scratch)
+
+
+def release(spark: SparkSession, since: int = 0, but: Iterable[str] = ()) -> None:
+    """Deletes the scratch tables of this session that were made after marked() was `since`, but for some paths. Call it once the results that read them are stored."""
+    kept = [p for p in _scratch[since:] if p in but]
+    for path in _scratch[since:]:
+        if path not in kept:
+            _delete(spark, path)
+    _scratch[since:] = kept
+    spark.sparkContext._jvm.System.gc()
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the scratch tables of this session. Call it once the results that read them are stored."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        path.getFileSystem(conf).delete(path, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_batches(spark: SparkSession) -> None:

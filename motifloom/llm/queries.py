@@ -69,12 +69,14 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffixes.removals(table(spark, sf_dir, "documents"))
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    found = suffixes.removals(table(spark, sf_dir, "documents"), words=51)
+    size = lambda spans: F.coalesce(F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]), F.lit(0).cast("long"))
+    count = lambda spans: F.when(F.col(spans).isNull(), 0).otherwise(F.size(spans)).cast("long")
     return found.select(
-        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
-        F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("long").alias("n_spans"),
+        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), size("spans").alias("n_removed"), count("spans").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        # besides: repeated runs of over 50 words, which may be shorter than 400 bytes; nothing is removed for them
+        size("spans_words").alias("passage_bytes"), count("spans_words").alias("n_passages"),
     )
 
 

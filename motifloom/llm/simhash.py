@@ -16,8 +16,8 @@ from motifloom.llm.tokens import batched, rows
 
 #: Fingerprints that may share one segment value before the bucket is handled by midpoints.
 BUCKET = 64
-#: near_groups: one document of so many is counted for the order of shingles, which has so many common ones at most; rounds of comparisons with one document of a large entry.
-SAMPLE, COMMON, ROUNDS = 8, 100_000, 2
+#: near_groups: one document of so many is counted for the order of shingles, which has so many common ones at most; the documents of an entry with which its others are compared in the first round, four times as many in each later one.
+SAMPLE, COMMON, HEADS = 8, 100_000, 4
 
 
 def _bits(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -73,7 +73,7 @@ def ball(value: Column, width: int, radius: int = 1) -> Column:
 
 
 def links(prints: DataFrame, most: int = 2, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) between distinct fingerprints, prints.fp, at `most` (up to 3) or fewer differing bits.
+    """Links (a, b) between distinct fingerprints, prints.fp, at `most` (up to 2) or fewer differing bits.
 
     Two fingerprints that differ in at most 3 bits differ in at most one bit of one 32-bit half.
     Each half is a table from its value to fingerprints; each fingerprint enumerates the ball of
@@ -92,7 +92,8 @@ def links(prints: DataFrame, most: int = 2, bucket: int = BUCKET) -> DataFrame:
     large = table.groupBy("seg", "val").count().where(F.col("count") > bucket).select("seg", "val", F.lit(True).alias("hot"))
     entries = table.join(large, ["seg", "val"], "left_anti").select("seg", "val", F.col("fp").alias("b"))
     entries = entries.unionByName(large.select("seg", "val", F.lit(None).cast("long").alias("b")))
-    probes = prints.select("fp", halves).select("fp", F.col("h.seg").alias("pseg"), F.explode(ball(F.col("h.val"), 32)).alias("pval"))
+    # each probe becomes 33 rows, so they are dealt out first, whatever the size of the table they come from
+    probes = prints.repartition(prints.sparkSession.sparkContext.defaultParallelism * 4, "fp").select("fp", halves).select("fp", F.col("h.seg").alias("pseg"), F.explode(ball(F.col("h.val"), 32)).alias("pval"))
     near = F.col("b").isNull() | ((F.col("fp") < F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= most))
     met = probes.join(entries, (F.col("pseg") == F.col("seg")) & (F.col("pval") == F.col("val")) & near)
     met = written(met.select(F.col("fp").alias("a"), "b").distinct(), "simhash-matches")
@@ -151,90 +152,104 @@ def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], n[order]
 
 
-def _sets(batches: Iterator, size: int, common: tuple[np.ndarray, np.ndarray], schema: pa.Schema) -> Iterator:
-    """Of each text a 128-bit name of its set of shingles, and the set, those that few documents have first."""
+def _prefixes(batches: Iterator, size: int, common: tuple[np.ndarray, np.ndarray]) -> Iterator:
+    """Of each text a 128-bit name of its set of shingles, their number, the set's fingerprint, and the first fifth (and one more), those that few documents have first."""
     from xxhash import xxh3_128_digest
 
     keys, counts = common
+    for doc, text in rows(batches, "doc_id", "text"):
+        hashes = _shingle_hashes(text, size)
+        name = np.frombuffer(xxh3_128_digest(hashes.tobytes()), "<i8").tolist()
+        n, fp = len(hashes), int(_bits(hashes, 1)[0]) if len(hashes) else 0
+        if len(keys) and n:
+            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            hashes = hashes[np.lexsort((hashes, np.where(keys[at] == hashes, counts[at], 0)))]
+        yield doc, *name, n, fp, hashes[: n - -(-4 * n // 5) + 1].view(np.int64) if n else []
 
-    def one():
-        for doc, text in rows(batches, "doc_id", "text"):
-            hashes = _shingle_hashes(text, size)
-            name = np.frombuffer(xxh3_128_digest(hashes.tobytes()), "<i8").tolist()
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-                hashes = hashes[np.lexsort((hashes, np.where(keys[at] == hashes, counts[at], 0)))]
-            yield doc, *name, len(hashes), hashes.view(np.int64)
 
-    yield from batched(one(), schema, 512)
+def _sets(batches: Iterator, size: int) -> Iterator:
+    for doc, text in rows(batches, "doc_id", "text"):
+        yield doc, _shingle_hashes(text, size).view(np.int64)
 
 
-def _similar(pairs: DataFrame, own: DataFrame) -> DataFrame:
-    """Of pairs(x, y) of documents those at a Jaccard similarity of 0.8 or more of their shingles, own(doc_id, n, hashes), counted in full."""
+def _similar(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Of pairs(x, y) of docs(doc_id, text) those at a Jaccard similarity of 0.8 or more of their shingles, counted in full."""
     pairs = written(pairs, "near-pairs")
     ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    sets = written(own.join(ids, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "n", "hashes"), "near-sets")
-    side = lambda of: sets.select(F.col("doc_id").alias(of + "id"), F.col("n").alias(of + "n"), F.col("hashes").alias(of + "h"))
+    kind = pa.schema([("doc_id", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+    sets = docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(lambda b: batched(_sets(b, size), kind, 512), "doc_id long, hashes array<long>")
+    sets = written(sets, "near-sets")
+    side = lambda of: sets.select(F.col("doc_id").alias(of + "id"), F.col("hashes").alias(of + "h"))
     both = pairs.join(side("x"), F.col("x") == F.col("xid")).join(side("y"), F.col("y") == F.col("yid"))
-    met = both.where(9 * F.size(F.array_intersect("xh", "yh")) >= 4 * (F.col("xn") + F.col("yn")))
-    met = written(met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "near-links")
+    met = both.where(9 * F.size(F.array_intersect("xh", "yh")) >= 4 * (F.size("xh") + F.size("yh")))
+    met = written(met.select(F.col("x").alias("a"), F.col("y").alias("b")), "near-links")
     forget(pairs, sets)
     return met
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
+def _by_fingerprint(kinds: DataFrame) -> DataFrame:
+    """Pairs (x, y) of kinds(id, fp): each with the smallest id of its fingerprint, and those of fingerprints that links() ties."""
+    heads = written(kinds.groupBy("fp").agg(F.min("id").alias("head"), F.count("*").alias("several")), "near-prints")
+    same = kinds.join(heads.where("several > 1").withColumnRenamed("fp", "of"), F.col("fp") == F.col("of")).where("id != head")
+    tied = links(heads.select("fp"))
+    at = lambda of: heads.select(F.col("fp").alias(of + "fp"), F.col("head").alias(of))
+    tied = tied.join(at("x"), F.col("a") == F.col("xfp")).join(at("y"), F.col("b") == F.col("yfp"))
+    return same.select(F.col("head").alias("x"), F.col("id").alias("y")).unionByName(tied.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))).distinct()
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, heads: int = HEADS) -> DataFrame:
     """(doc_id, component_id) of near duplicates: the components of all pairs at a Jaccard similarity of 0.8 or more on `size`-word shingles.
 
-    Exact, by prefixes: whatever order all shingles have, two sets at 0.8 or more have one in common
-    among the first fifth (and one more) of each. So only those are listed, in an order that puts the
-    shingles of many documents last; documents that list the same one are compared by their complete
-    sets. A table entry with over BUCKET documents is first compared with one of its documents in turn
-    for a few rounds; then all its pairs that are not yet in one component are compared, so an entry
-    of one group costs what it holds.
-    Equal sets count once. Texts without words are near nothing but each other; null ids are left out.
+    First the SimHash fingerprints of the sets are searched by multi-index hashing (links()), and
+    what they tie is verified by the complete sets. Fingerprints of sets at 0.8 can differ in many
+    more bits, so the rest is found exactly by prefixes: whatever order all shingles have, two sets at
+    0.8 or more have one in common among the first fifth (and one more) of each. So only those are
+    listed, in an order that puts the shingles of many documents last; documents that list the same
+    one, in different components so far, are compared by their complete sets, unless their sizes or
+    the places of the shingle in both leave too little to have in common. In rounds,
+    the documents of a large entry are compared with `heads` of its own, then with four times as many;
+    entries with up to four times as many documents are settled by all their pairs that are not yet in
+    one component. So an entry of one group costs what it holds.
+    Equal sets count once. Texts without words are near nothing but each other; null ids are left
+    out. Rows that repeat an id are one document, near whatever one of them is near.
     """
     docs = columns_of(docs, [(id_col, "doc_id"), (text_col, "text")]).where("doc_id is not null")
-    schema = pa.schema([("doc_id", pa.int64()), ("k0", pa.int64()), ("k1", pa.int64()), ("n", pa.int32()), ("hashes", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("k0", pa.int64()), ("k1", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
     common = _common(docs, size)
-    own = docs.mapInArrow(lambda b: _sets(b, size, common, schema), "doc_id long, k0 long, k1 long, n int, hashes array<long>")
-    own = written(own, "shingles")
-    kinds = written(own.groupBy("k0", "k1").agg(F.min("doc_id").alias("id")), "shingle-kinds")
-    first = F.slice("hashes", 1, F.expr("n - (4 * n + 4) div 5 + 1").cast("int"))
-    prefixes = own.where("n > 0").select("doc_id", "k0", "k1", "n", first.alias("keys"))
-    firsts = kinds.select(F.col("id").alias("doc_id"), "k0", "k1")
-    listed = written(prefixes.join(firsts, ["doc_id", "k0", "k1"], "left_semi").select(F.col("doc_id").alias("id"), "n", F.explode("keys").alias("key")), "near-listed")
-    held = written(listed.groupBy("key").count().where("count > 1").select(F.col("key").alias("held"), "count"), "near-held")
-    entries = written(listed.join(held, F.col("key") == F.col("held")).select("id", "n", "key", "count"), "near-entries")
+    own = docs.mapInArrow(lambda b: batched(_prefixes(b, size, common), schema, 512), "doc_id long, k0 long, k1 long, n int, fp long, keys array<long>")
+    own = written(own, "prefixes")
+    kinds = written(own.groupBy("k0", "k1").agg(F.min("doc_id").alias("id"), F.max("fp").alias("fp"), F.max("n").alias("n")), "shingle-kinds")
+    firsts = kinds.where("n > 0").select(F.col("id").alias("doc_id"), "k0", "k1")
+    some = own.where("n > 0").join(firsts, ["doc_id", "k0", "k1"], "left_semi").dropDuplicates(["doc_id", "k0", "k1"])
+    listed = some.select(F.col("doc_id").alias("id"), "n", F.posexplode("keys").alias("pos", "key"))
+    listed = written(listed.select("id", "key", F.struct("n", "pos").alias("of")), "near-listed")
+    held = written(listed.groupBy("key").count().where("count > 1").select(F.col("key").alias("held")), "near-held")
+    entries = written(listed.join(held, F.col("key") == F.col("held"), "left_semi").select("id", "key", "of.*"), "near-entries")
     forget(listed, held)
-    near = (F.col("xn") * 5 >= F.col("yn") * 4) & (F.col("yn") * 5 >= F.col("xn") * 4)  # sizes that can be at 0.8
     side = lambda df, of: df.select(*[F.col(c).alias(of + c) for c in df.columns])
-
-    def all_pairs(df: DataFrame, more) -> DataFrame:
-        met = side(df, "x").join(side(df, "y"), (F.col("xkey") == F.col("ykey")) & (F.col("xid") < F.col("yid")) & near & more)
-        return met.select(F.col("xid").alias("x"), F.col("yid").alias("y")).distinct()
-
-    links = _similar(all_pairs(entries.where(F.col("count") <= BUCKET), F.lit(True)), own)
-    large = entries.where(F.col("count") > BUCKET).select("id", "n", "key")
-    for turn in range(ROUNDS + 1):
-        if large.isEmpty():
+    # from here on: sizes, and what is left behind the shingle's places, allow a similarity of 0.8; one component is not compared again
+    left = 1 + F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos")) - 1
+    near = (9 * left >= 4 * (F.col("xn") + F.col("yn"))) & (F.col("xroot") != F.col("yroot"))
+    found = _similar(_by_fingerprint(kinds.where("n > 0")), docs, size)
+    several = heads
+    while True:
+        roots = components(found)
+        at = entries.join(roots, entries.id == roots.node, "left").select("id", "key", "n", "pos", F.coalesce("root", "id").alias("root"))
+        slot = F.pmod(F.xxhash64("id", F.lit(several)), F.lit(several)).alias("slot")
+        first = F.min(F.struct(F.xxhash64("id", F.lit(-several)), "id", "n", "pos", "root")).alias("h")
+        slots = at.groupBy("key", slot).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m"), first)
+        slots = written(slots.select("key", "low", "high", "m", "h.id", "h.n", "h.pos", "h.root"), "near-heads")
+        apart = slots.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("m").alias("m")).where("low < high")
+        apart = written(apart.select(F.col("key").alias("of"), (F.col("m") > 4 * several).alias("large")), "near-apart")
+        if apart.isEmpty():
             break
-        if turn:
-            roots = components(links)
-            at = large.join(roots, large.id == roots.node, "left").select("id", "n", "key", F.coalesce("root", "id").alias("root"))
-        else:
-            at = large.withColumn("root", F.col("id"))
-        apart = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n", "root")).alias("h"))
-        apart = written(apart.where("low < high").select(F.col("key").alias("ykey"), F.col("h.id").alias("yid"), F.col("h.n").alias("yn"), F.col("h.root").alias("yroot")), "near-heads")
-        large = written(at.join(apart.select("ykey"), F.col("key") == F.col("ykey"), "left_semi"), "near-large")
-        other = F.col("xroot") != F.col("yroot")
-        if turn < ROUNDS:
-            met = side(large, "x").join(apart, (F.col("xkey") == F.col("ykey")) & other & near)
-            pairs = met.select(F.least("xid", "yid").alias("x"), F.greatest("xid", "yid").alias("y")).distinct()
-        else:
-            pairs = all_pairs(large, other)
-        links = links.unionByName(_similar(pairs, own))
-        large = large.select("id", "n", "key")
-    joined = components(links)
+        entries = written(at.join(apart, F.col("key") == F.col("of")).select(*at.columns, "large"), "near-left")
+        chosen = slots.join(apart, F.col("key") == F.col("of")).where("large").select(*at.columns, "large")
+        y = side(chosen.unionByName(entries.where("not large")), "y")
+        met = side(entries, "x").join(y, (F.col("xkey") == F.col("ykey")) & (F.col("xid") != F.col("yid")) & (F.col("ylarge") | (F.col("xid") < F.col("yid"))) & near)
+        found = found.unionByName(_similar(met.select(F.least("xid", "yid").alias("x"), F.greatest("xid", "yid").alias("y")).distinct(), docs, size))
+        entries, several = entries.where("large").drop("root", "large"), several * 4
+    joined = components(found)
     named = kinds.join(joined, kinds.id == joined.node, "left").select(F.col("k0").alias("kk0"), F.col("k1").alias("kk1"), F.coalesce("root", "id").alias("component_id"))
     return own.join(named, (F.col("k0") == F.col("kk0")) & (F.col("k1") == F.col("kk1"))).select("doc_id", "component_id")
 

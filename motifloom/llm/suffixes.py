@@ -1,43 +1,54 @@
 """Removal of repeated passages: suffixes at chosen offsets, in buckets that are refined by those of later offsets.
 
-Two equal strings of `span` bytes have the same smallest q-gram (by hash, the leftmost of equals)
-at the same offset. So only suffixes that begin at the smallest q-gram of some window of `span`
-bytes need to be bucketed, about one in (span - q) / 2 bytes; such a pointer stands for all windows
-whose smallest q-gram it is. Bucket identifiers are hashes of what is known of the text around a
-pointer, so a pointer's next identifier is known from those at later (and earlier) offsets without
-a sort of the corpus. Each round refines the buckets that still have two pointers, and leaves the others out:
-
-1. the bucket of the q-gram itself;
-2. that of the whole text that the pointer's windows cover: pointers that share it are repeated
-   in full, and one of them goes on for all;
-3. for the rest, parts of 16 windows: the bucket of the text that all 16 have;
+What counts as repeated are windows: strings of `span` bytes and, if asked for, runs of `words` words.
+Not every suffix is bucketed, as rows for all of them would be several times the input; equal windows
+have the same smallest q-gram (by hash, the leftmost of equals) at the same offset, so suffixes that
+begin at the smallest q-gram of some window are enough. Such a pointer stands for all windows whose
+smallest q-gram it is. The q-grams are of words, and each window takes that of the first `sample`
+words that lie wholly inside it, so the same pointers serve both kinds of windows. Strings of `span`
+bytes with fewer words inside (unbroken scripts, encoded data) have pointers of their own, by bytes.
+
+A bucket's identifier is a hash of its text, so the identifier of any later offset is known where the
+text is, and a refined one is that of a longer text. Each round keeps only the buckets that still
+have two pointers:
+
+1. the bucket of the q-gram itself (64 bits; it only decides what goes on);
+2. that of all text that the pointer's windows cover: pointers that share it are repeated whole, and
+   one of them goes on for all;
+3. for the rest, parts of PART windows: the bucket of the text that all of a part's windows have (64 bits, likewise);
 4. each window of the parts that are left.
 
-Rounds count bucket members, with sums within tasks first, so a bucket of any size costs what its
-members do. Identifiers are 64 bits of two-table polynomial hashes; windows are told apart by 128.
+Rounds 2 and 4, which remove text, tell buckets apart by 128 bits of BLAKE2b. Rounds count bucket
+members, with sums within tasks first, so a bucket of any size costs what its members do.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegralType, StringType
 
 from motifloom.llm.common import columns_of, forget, fresh, written
 from motifloom.llm.tokens import batched, rows
 
 #: Windows in one part of round 3.
 PART = 16
-#: Bytes of a text that are hashed at once; longer texts go in parts that overlap.
+#: Symbols of a text that are compared at once; longer texts go in parts that overlap.
 PIECE = 1 << 19
+#: Words inside a string of 400 bytes by which it is found; strings with fewer are found by bytes.
+SAMPLE = 46
+#: Kinds of windows: runs of words; strings of bytes, found by words or by bytes.
+OF_WORDS, BY_WORDS, BY_BYTES = 0, 1, 2
 _U = np.uint64
 _BASES = (_U(0x9E3779B97F4A7C15 | 1), _U(0xD6E8FEB86659FD93 | 1))
 _TABLES = tuple(np.random.default_rng(s).integers(0, 1 << 64, 256, np.uint64) for s in (101, 202))
+_BLANK = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -78,20 +89,14 @@ class Hashes:
 
 def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Where the words of a text begin and end; words are runs of bytes other than ASCII blanks."""
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~np.isin(np.frombuffer(data, np.uint8), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
-    step = np.diff(inside)
-    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-
-
-def _symbols(text: str | None, words: bool, which: int = 0) -> bytes | np.ndarray:
-    """A text's bytes, or one hash for each of its words."""
-    data = (text or "").encode("utf-8", "surrogatepass")
-    return Hashes(data, which).of(*word_bounds(data)) if words else data
+    blank = np.ones(len(data) + 2, bool)
+    np.take(_BLANK, np.frombuffer(data, np.uint8), out=blank[1:-1])
+    change = np.flatnonzero(blank[1:] != blank[:-1])
+    return change[::2], change[1::2]
 
 
 def pointers(data: bytes | np.ndarray, span: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The smallest q-grams of all windows of `span` bytes: their offsets, and the first and last window of each."""
+    """The smallest q-grams of all windows of `span` symbols: their offsets, and the first and last window of each."""
     n, width = len(data), span - q + 1
     if n < span:
         none = np.zeros(0, np.int64)
@@ -118,130 +123,292 @@ def pointers(data: bytes | np.ndarray, span: int, q: int) -> tuple[np.ndarray, n
     return np.concatenate(at), np.concatenate(first), np.concatenate(last)
 
 
-def _pointer_rows(batches: Iterator, span: int, q: int, words: bool, schema: pa.Schema) -> Iterator:
-    for key, text in rows(batches, "k", "text"):
-        data = _symbols(text, words)
-        at, first, last = pointers(data, span, q)
-        if not len(at):
-            continue
-        hashes = Hashes(data)
-        gram = hashes.of(at, at + q)
-        cover = _mix(hashes.of(first, last + span) + _mix(((at - first) * 100_003 + (last - at)).astype(np.uint64)))
-        columns = [np.full(len(at), key, np.int64), at, first, last, gram.view(np.int64), cover.view(np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
-def _part_rows(batches: Iterator, span: int, words: bool) -> Iterator:
-    """For each pointer that goes on its parts of PART windows: the hash of the text that a part's windows have in common, its last window, and the hashes of all."""
-    for key, text, refs in rows(batches, "k", "text", "refs"):
-        one, two = Hashes(_symbols(text, words)), Hashes(_symbols(text, words, 1), 1)
-        for ref in refs:
-            at, first, last = ref["at"], ref["first"], ref["last"]
-            p = np.arange(last, first - 1, -1)
-            r = (at - p).astype(np.uint64)  # windows are told by their distance to the pointer, so that parts of different texts agree
-            both = np.column_stack((_mix(one.of(p, p + span) + r), two.of(p, p + span))).astype("<u8")
-            low = np.arange((at - last) // PART * PART, at - first + 1, PART)
-            core = _mix(one.of(at - low, at - low - PART + 1 + span) + low.astype(np.uint64)).view(np.int64)
-            for part, own in zip(low.tolist(), core.tolist(), strict=True):
-                begin = max(0, part - (at - last))
-                yield key, own, last - begin, both[begin : part + PART - (at - last)].tobytes()
-
-
-def _window_rows(batches: Iterator) -> Iterator:
-    for key, p, windows in rows(batches, "k", "p", "windows"):
-        both = np.frombuffer(windows, "<i8").reshape(-1, 2).tolist()
-        for i, (a, b) in enumerate(both):
-            yield key, p - i, a, b
-
-
-def _merged(batches: Iterator, span: int) -> Iterator:
-    """Of each text the maximal runs of bytes that its repeated windows cover."""
-    for key, found in rows(batches, "k", "found"):
-        out: list[dict] = []
-        for first, last in sorted((f["first"], f["last"]) for f in found):
-            if out and first <= out[-1]["end"]:
-                out[-1]["end"] = max(out[-1]["end"], last + span)
-            else:
-                out.append({"start": first, "end": last + span})
-        yield key, out
-
-
-def _word_spans(batches: Iterator) -> Iterator:
-    """Spans of bytes and of words of each text, as those of bytes alone; those that overlap are joined."""
-    for key, text, spans, of_words in rows(batches, "k", "text", "spans", "of_words"):
-        starts, ends = word_bounds(text.encode("utf-8", "surrogatepass"))
-        found = [(x["start"], x["end"]) for x in spans or []] + [(int(starts[x["start"]]), int(ends[x["end"] - 1])) for x in of_words]
-        out: list[dict] = []
-        for start, end in sorted(found):
-            if out and start <= out[-1]["end"]:
-                out[-1]["end"] = max(out[-1]["end"], end)
-            else:
-                out.append({"start": start, "end": end})
-        yield key, out
-
-
-def repeated_windows(texts: DataFrame, span: int = 400, q: int = 200, words: bool = False) -> tuple[DataFrame, tuple[DataFrame, ...]]:
-    """(k, first, last): windows of `span` bytes of texts(k, text) that also begin anywhere else, as ranges of their first bytes.
-
-    With words, span and q count words, as do first and last. Besides, the scratch tables that it reads.
-    """
-    names = ("k", "at", "first", "last", "gram", "cover")
-    schema = pa.schema([(c, pa.int32() if c in ("at", "first", "last") else pa.int64()) for c in names])
-    ddl = "k long, at int, first int, last int, gram long, cover long"
-    found = written(texts.mapInArrow(lambda b: _pointer_rows(b, span, q, words, schema), ddl), "pointers")
-    # a pointer stands for all that share its cover, so the buckets of q-grams are of covers; heads know where their pointer is
-    covers = found.groupBy("cover", "gram").agg(F.count("*").alias("n"), F.min(F.struct("k", "at", "first", "last")).alias("head"))
-    covers = written(covers.select(F.col("cover").alias("c"), "gram", "n", "head.*"), "covers")
-    several = covers.groupBy("gram").count().where("count > 1").select(F.col("gram").alias("g"))
-    grams = written(several, "grams")
-    heads = covers.join(grams, F.col("gram") == F.col("g"), "left_semi").select("k", "at", "first", "last")
-    # tables of repeated identifiers are written, so that joins with them have exchanges of their own, whose hot keys can be split
-    repeated = written(covers.where("n > 1").select("c"), "covers-repeated")
-    whole = found.join(repeated, F.col("cover") == F.col("c"), "left_semi").select("k", "first", "last")
-    refs = heads.groupBy(F.col("k").alias("rk")).agg(F.collect_list(F.struct("at", "first", "last")).alias("refs"))
-    kinds = pa.schema([("k", pa.int64()), ("core", pa.int64()), ("p", pa.int32()), ("windows", pa.binary())])
-    parts = texts.join(refs, F.col("k") == F.col("rk")).select("k", "text", "refs")
-    parts = written(parts.mapInArrow(lambda b: batched(_part_rows(b, span, words), kinds, 1024), "k long, core long, p int, windows binary"), "parts")
-    forget(covers, grams)
-    cores = written(parts.groupBy("core").count().where("count > 1").select(F.col("core").alias("c")), "cores")
-    left = parts.join(cores, F.col("core") == F.col("c"), "left_semi").select("k", "p", "windows")
-    each = pa.schema([("k", pa.int64()), ("p", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
-    windows = written(left.mapInArrow(lambda b: batched(_window_rows(b), each), "k long, p int, a long, b long"), "windows")
-    forget(parts, cores)
-    again = written(windows.groupBy("a", "b").count().where("count > 1").select(F.col("a").alias("a2"), F.col("b").alias("b2")), "windows-again")
-    single = windows.join(again, (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), "left_semi")
-    return whole.unionByName(single.select("k", F.col("p").alias("first"), F.col("p").alias("last"))), (found, repeated, windows, again)
-
-
-def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400, q: int = 200, to: str = "spans", words: int | None = None) -> DataFrame:
+def sparse_windows(starts: np.ndarray, ends: np.ndarray, n: int, span: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each range of windows of `span` bytes with under `sample` words inside, both ends of the window apart from words."""
+    if n < span:
+        return starts[:0], starts[:0]
+    lo = np.concatenate(([0], starts))  # the windows whose first word inside is the i-th
+    hi = np.concatenate((starts, [n])) - 1
+    until = np.full(len(lo), n, np.int64)
+    whole = max(0, len(ends) - sample + 1)
+    until[:whole] = ends[sample - 1 :] - span
+    hi = np.minimum(np.minimum(hi, until), n - span)
+    some = lo <= hi
+    return lo[some], hi[some]
+
+
+class Rule:
+    """What repeats: strings of `span` bytes and, with `words`, runs of that many words; dense=False leaves out strings of bytes with many words inside."""
+
+    def __init__(self, span: int, words: int | None, dense: bool = True, bits: int = 64):
+        self.span, self.words, self.dense = span, words, dense
+        self.sample = max(4, span * SAMPLE // 400)
+        if words:
+            self.sample = min(self.sample, words)
+        self.by_words = bool(words or dense)
+        self.gram = max(1, self.sample // 4)
+        self.q = span // 2
+        self.lost = _U(64 - bits)
+
+    def size(self, kind: int) -> int:
+        return self.words if kind == OF_WORDS else self.span
+
+
+class Source:
+    """One text, with what the rounds ask of it."""
+
+    def __init__(self, text: str, rule: Rule):
+        self.data, self.rule = text.encode("utf-8", "surrogatepass"), rule
+        self.starts, self.ends = word_bounds(self.data)
+        self.bytes = Hashes(self.data)
+        self._symbols = self._joined = self._of_words = self._of_symbols = None
+
+    @property
+    def symbols(self) -> np.ndarray:
+        if self._symbols is None:
+            self._symbols = self.bytes.of(self.starts, self.ends)
+        return self._symbols
+
+    def pointers(self) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By words (True) or bytes: offsets, first and last windows, bucket identifiers of q-grams."""
+        rule, out = self.rule, []
+        if rule.by_words and len(self.starts) >= rule.sample:
+            at, first, last = pointers(self.symbols, rule.sample, rule.gram)
+            out.append((True, at, first, last, Hashes(self.symbols).of(at, at + rule.gram) >> rule.lost))
+        lo, hi = sparse_windows(self.starts, self.ends, len(self.data), rule.span, rule.sample)
+        if not rule.by_words or len(lo):
+            at, first, last = pointers(self.data, rule.span, rule.q)
+            near = np.minimum(np.searchsorted(hi, first), len(hi) - 1)
+            some = (hi[near] >= first) & (lo[near] <= last)
+            at, first, last = at[some], first[some], last[some]
+            out.append((False, at, first, last, _mix(self.bytes.of(at, at + rule.q) + _U(1)) >> rule.lost))
+        return out
+
+    def windows(self, words: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(kind, which, place, first, last) of the windows for which pointers stand, each kind in its own units; bytes, or words for OF_WORDS."""
+        rule = self.rule
+        own = np.flatnonzero(~words)
+        yield BY_BYTES, own, at[own], first[own], last[own]
+        own = np.flatnonzero(words)
+        at, first, last = at[own], first[own], last[own]
+        if rule.words:
+            end = np.minimum(last, len(self.starts) - rule.words)
+            some = first <= end
+            yield OF_WORDS, own[some], at[some], first[some], end[some]
+        if rule.dense and len(own):
+            begin = np.where(first > 0, self.starts[np.maximum(first - 1, 0)], 0)
+            end = np.minimum(self.starts[last] - 1, len(self.data) - rule.span)
+            some = begin <= end
+            yield BY_WORDS, own[some], self.starts[at[some]], begin[some], end[some]
+
+    def digests(self, kind: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """128-bit identifiers, as two columns, of the texts that tell windows of a kind apart, from start to end in its units; words are parted by single blanks."""
+        data = self.data
+        if kind == OF_WORDS:
+            if self._joined is None:
+                self._joined = b" ".join(self.data.split())
+                self._of_words = np.concatenate(([0], np.cumsum(self.ends - self.starts + 1)))
+            data, start, end = self._joined, self._of_words[start], self._of_words[end] - 1
+        salt = b"%d" % kind
+        found = b"".join([blake2b(data[i:j], digest_size=16, salt=salt).digest() for i, j in zip(start.tolist(), end.tolist(), strict=True)])
+        return np.frombuffer(found, "<i8").reshape(-1, 2)
+
+    def range(self, kind: int, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that windows first to last cover."""
+        if kind == OF_WORDS:
+            return self.starts[first], self.ends[last + self.rule.words - 1]
+        return first, last + self.rule.span
+
+    def cores(self, kind: int, at: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first and last windows of the parts of PART windows of each pointer, and identifiers of the texts that all windows of a part have."""
+        least = (at - last) // PART * PART  # parts are cut by the distance to the pointer, so that those of different texts agree
+        several = (at - first - least) // PART + 1
+        of = np.repeat(np.arange(len(at)), several)
+        low = least[of] + PART * (np.arange(len(of)) - np.repeat(np.cumsum(several) - several, several))
+        if kind == OF_WORDS and self._of_symbols is None:
+            self._of_symbols = Hashes(self.symbols)
+        hashes = self._of_symbols if kind == OF_WORDS else self.bytes
+        start = at[of] - low
+        core = hashes.of(start, start + max(1, self.rule.size(kind) - PART + 1))
+        return np.maximum(first[of], start - PART + 1), np.minimum(last[of], start), _mix(core + (low * 3 + kind).astype(np.uint64)) >> self.rule.lost
+
+
+class _Columns:
+    """Gathers arrays of columns and gives them out as Arrow batches."""
+
+    def __init__(self, ddl: str, size: int = 20_000):
+        types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+        self.schema = pa.schema([(name, types[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
+        self._size, self._held, self._n = size, [], 0
+
+    def add(self, n: int, *columns) -> Iterator[pa.RecordBatch]:
+        """n rows; columns are arrays or single values."""
+        if n:
+            self._held.append([c if isinstance(c, np.ndarray) else np.full(n, c) for c in columns])
+            self._n += n
+        if self._n >= self._size:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self._held:
+            columns = [pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*self._held, strict=True), self.schema, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, schema=self.schema)
+            self._held, self._n = [], 0
+
+
+def _sources(batches: Iterator, rule: Rule, *columns: str) -> Iterator[tuple]:
+    """(k, t, source, arrays of the refs' columns) of each row."""
+    for batch in batches:
+        refs = batch.column("refs")
+        offsets, values = refs.offsets.to_numpy(), refs.values
+        held = [values.field(c).to_numpy(zero_copy_only=False) for c in columns]
+        for i, (k, t, text) in enumerate(rows(iter([batch]), "k", "t", "text")):
+            own = slice(offsets[i], offsets[i + 1])
+            yield k, t, Source(text, rule), [c[own] for c in held]
+
+
+POINTERS = "k long, t int, words boolean, at int, first int, last int, gram long"
+COVERS = "k long, t int, kind int, gram long, at int, first int, last int, lo int, hi int, d0 long, d1 long"
+PARTS = "k long, t int, kind int, core long, first int, last int"
+WINDOWS = "k long, t int, kind int, lo int, hi int, d0 long, d1 long"
+
+
+def _pointer_rows(batches: Iterator, rule: Rule) -> Iterator:
+    out = _Columns(POINTERS)
+    for k, t, text in rows(batches, "k", "t", "text"):
+        for words, at, first, last, gram in Source(text, rule).pointers():
+            yield from out.add(len(at), k, t, words, at, first, last, gram.view(np.int64))
+    yield from out.rest()
+
+
+def _cover_rows(batches: Iterator, rule: Rule) -> Iterator:
+    """For each pointer that goes on, and each kind of windows, what they cover."""
+    out = _Columns(COVERS)
+    for k, t, source, (words, at, first, last, gram) in _sources(batches, rule, "words", "at", "first", "last", "gram"):
+        for kind, which, place, lo, hi in source.windows(words.astype(bool), at, first, last):
+            digest = source.digests(kind, lo, hi + rule.size(kind))
+            yield from out.add(len(lo), k, t, kind, gram[which], place, lo, hi, *source.range(kind, lo, hi), digest[:, 0], digest[:, 1])
+    yield from out.rest()
+
+
+def _core_rows(batches: Iterator, rule: Rule) -> Iterator:
+    out = _Columns(PARTS)
+    for k, t, source, (kinds, *refs) in _sources(batches, rule, "kind", "at", "first", "last"):
+        for kind in np.unique(kinds).tolist():
+            first, last, core = source.cores(kind, *[c[kinds == kind].astype(np.int64) for c in refs])
+            yield from out.add(len(core), k, t, kind, core.view(np.int64), first, last)
+    yield from out.rest()
+
+
+def _window_rows(batches: Iterator, rule: Rule) -> Iterator:
+    out = _Columns(WINDOWS)
+    for k, t, source, (kinds, first, last) in _sources(batches, rule, "kind", "first", "last"):
+        for kind in np.unique(kinds).tolist():
+            own = kinds == kind
+            p = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[own].tolist(), last[own].tolist(), strict=True)])
+            digest = source.digests(kind, p, p + rule.size(kind))
+            yield from out.add(len(p), k, t, kind, *source.range(kind, p, p), digest[:, 0], digest[:, 1])
+    yield from out.rest()
+
+
+def _runs(lo: np.ndarray, hi: np.ndarray) -> list[dict]:
+    """The maximal runs that ranges cover."""
+    order = np.argsort(lo)
+    lo, hi = lo[order], np.maximum.accumulate(hi[order])
+    new = np.flatnonzero(lo[1:] > hi[:-1]) + 1
+    starts, ends = lo[np.concatenate(([0], new))], hi[np.concatenate((new, [len(lo)])) - 1]
+    return [{"start": a, "end": b} for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
+def _merged(batches: Iterator) -> Iterator:
+    """Of each text the maximal runs of bytes that repeated windows cover, of bytes and of words."""
+    for batch in batches:
+        found = batch.column("found")
+        offsets = found.offsets.to_numpy()
+        kind, lo, hi = (found.values.field(c).to_numpy() for c in ("kind", "lo", "hi"))
+        for i, (k, t) in enumerate(rows(iter([batch]), "k", "t")):
+            at = np.arange(offsets[i], offsets[i + 1])
+            words = kind[at] == OF_WORDS
+            yield k, t, *[_runs(lo[own], hi[own]) if len(own) else [] for own in (at[~words], at[words])]
+
+
+def _with_refs(texts: DataFrame, refs: DataFrame, *columns: str) -> DataFrame:
+    """The texts(k, t, text) that refs names, each with the list of its refs; equal rows have one list."""
+    listed = refs.groupBy(F.col("k").alias("rk"), F.col("t").alias("rt")).agg(F.collect_set(F.struct(*columns)).alias("refs"))
+    return texts.join(listed, (F.col("k") == F.col("rk")) & (F.col("t") == F.col("rt"))).select("k", "t", "text", "refs")
+
+
+def _of(df: DataFrame, run: Callable[[Iterator, Rule], Iterator], rule: Rule, ddl: str, name: str) -> DataFrame:
+    return written(df.mapInArrow(lambda b: run(b, rule), ddl), name)
+
+
+def _several(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """The keys that several rows have, under other names; a written table, so that a join with it has exchanges of its own, whose hot keys can be split."""
+    return written(df.groupBy(*keys).count().where("count > 1").select(*[F.col(k).alias(k + "_") for k in keys]), name)
+
+
+def _semi(df: DataFrame, keys: DataFrame) -> DataFrame:
+    on = [F.col(c[:-1]) == F.col(c) for c in keys.columns]
+    return df.join(keys, on, "left_semi")
+
+
+def repeated_runs(texts: DataFrame, rule: Rule) -> DataFrame:
+    """(k, t, of_bytes, of_words): of texts(k, t, text) that have any, the runs of bytes that repeated windows cover."""
+    found = _of(texts, _pointer_rows, rule, POINTERS, "pointers")
+    grams = _several(found, "grams", "gram")
+    held = written(_with_refs(texts, _semi(found, grams), "words", "at", "first", "last", "gram"), "held-texts")
+    forget(found, grams)
+    covers = _of(held, _cover_rows, rule, COVERS, "covers")
+    texts = held.select("k", "t", "text")
+    heads = covers.groupBy("kind", "gram", "d0", "d1").agg(F.count("*").alias("n"), F.min(F.struct("k", "t", "at", "first", "last")).alias("head"))
+    heads = written(heads.select("kind", "gram", "d0", "d1", "n", "head.*"), "heads")
+    repeated = written(heads.where("n > 1").select(F.col("d0").alias("d0_"), F.col("d1").alias("d1_")), "covers-repeated")
+    ranges = lambda df: df.groupBy("k", "t", "kind", "lo").agg(F.max("hi").alias("hi"))  # noqa: E731  # equal rows have the same
+    whole = written(ranges(_semi(covers, repeated)), "whole")
+    forget(covers, repeated)
+    split = _several(heads, "grams-split", "kind", "gram")
+    parts = _of(_with_refs(texts, _semi(heads, split), "kind", "at", "first", "last"), _core_rows, rule, PARTS, "parts")
+    cores = _several(parts, "cores", "kind", "core")
+    windows = _of(_with_refs(texts, _semi(parts, cores), "kind", "first", "last"), _window_rows, rule, WINDOWS, "windows")
+    forget(held, heads, split, parts, cores)
+    again = _several(windows, "windows-again", "d0", "d1")
+    single = written(_semi(windows, again).select("k", "t", "kind", "lo", "hi"), "windows-repeated")
+    forget(windows, again)
+    listed = whole.unionByName(ranges(single)).groupBy("k", "t").agg(F.collect_list(F.struct("kind", "lo", "hi")).alias("found"))
+    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    kinds = pa.schema([("k", pa.int64()), ("t", pa.int32()), ("of_bytes", spans), ("of_words", spans)])
+    ddl = "k long, t int, of_bytes array<struct<start: int, end: int>>, of_words array<struct<start: int, end: int>>"
+    out = written(listed.mapInArrow(lambda b: batched(_merged(b), kinds, 512), ddl), "spans")
+    forget(whole, single)
+    return out
+
+
+def _key(docs: DataFrame, id_col: str, text_col: str) -> tuple:
+    """The key of a row: its id (a hash of other than whole numbers and of rows without one), and a hash of its text."""
+    own, text = docs[id_col], docs[text_col]
+    k = own.cast("long") if isinstance(docs.schema[id_col].dataType, IntegralType) else F.xxhash64(own)
+    return F.coalesce(k, F.xxhash64(text)), F.hash(text)
+
+
+def with_spans(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400, to: str = "spans", words: int | None = None, dense: bool = True, bits: int = 64,
+) -> DataFrame:
     """docs and the column `to`: array<struct<start, end>>, the maximal runs of UTF-8 bytes that strings of `span` bytes cover which also begin anywhere else.
 
-    With `words`, runs of that many words which also begin anywhere else count as well, whatever their bytes.
-    Null if there are none. Matches do not cross texts; overlaps count, and a text's own repeats.
-    Texts under `span` bytes, empty and null ones have none. Equal rows repeat each other.
+    With `words`, the column `{to}_words` has the same for runs of that many words, whatever is between
+    them. dense=False leaves out of `to` all but strings of `span` bytes with few words inside.
+    Both are null in texts without any of the two. Matches do not cross texts; overlaps count, and a
+    text's own repeats. Texts shorter than that, empty and null ones have none. Equal rows repeat each
+    other. `bits`, of the identifiers that only decide what goes on, changes the work but not the result.
     """
-    key = fresh(docs, "span_key")
-    own = columns_of(docs, [(id_col, "doc_id"), (text_col, "text")]).where("text is not null").select(F.xxhash64("doc_id", "text").alias("k"), "text")
-    kinds = pa.schema([("k", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
-    ddl = "k long, spans array<struct<start: int, end: int>>"
-
-    def merged(span: int, q: int, by_words: bool) -> DataFrame:
-        ranges, scratch = repeated_windows(own, span, q, by_words)
-        found = ranges.groupBy("k").agg(F.collect_list(F.struct("first", "last")).alias("found"))
-        out = written(found.mapInArrow(lambda b: batched(_merged(b, span), kinds, 512), ddl), "spans")
-        forget(*scratch)
-        return out
-
-    spans = merged(span, q, False)
-    if words:
-        of_words = merged(words, (words + 1) // 2, True).select(F.col("k").alias("wk"), F.col("spans").alias("of_words"))
-        both = of_words.join(spans, F.col("wk") == F.col("k"), "left").select("wk", "spans", "of_words")
-        both = own.join(both, F.col("k") == F.col("wk")).select("k", "text", "spans", "of_words")
-        both = both.mapInArrow(lambda b: batched(_word_spans(b), kinds, 512), ddl).dropDuplicates(["k"])  # equal rows have one key
-        only = spans.join(of_words, F.col("k") == F.col("wk"), "left_anti")
-        spans = written(both.unionByName(only), "word-spans")
-    spans = spans.select(F.col("k").alias(key), F.col("spans").alias(to))
-    return docs.join(spans, F.xxhash64(docs[id_col], docs[text_col]) == F.col(key), "left").drop(key)
+    rule = Rule(span, words, dense, bits)
+    key, print_ = fresh(docs, "span_key"), fresh(docs, "span_print")
+    k, t = _key(docs, id_col, text_col)
+    own = docs.select(k.alias("k"), t.alias("t"), docs[text_col].alias("text")).where("text is not null")
+    spans = repeated_runs(own, rule)
+    columns = [F.col("of_bytes").alias(to), *([F.col("of_words").alias(f"{to}_words")] if words else [])]
+    spans = spans.select(F.col("k").alias(key), F.col("t").alias(print_), *columns)
+    return docs.join(spans, (k == F.col(key)) & (t == F.col(print_)), "left").drop(key, print_)
 
 
 def kept_bytes(text, spans):
@@ -253,28 +420,42 @@ def kept_bytes(text, spans):
     return F.when(spans.isNull(), data).otherwise(cut)
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400) -> DataFrame:
-    """(doc_id, text, spans, kept binary) of every row."""
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400, words: int | None = None) -> DataFrame:
+    """(doc_id, text, spans, kept binary) of every row; with `words` also spans_words, which nothing is cut by."""
     own = columns_of(docs, [(id_col, "doc_id"), (text_col, "text")])
-    found = with_spans(own, span=span)
-    return found.select("doc_id", "text", "spans", kept_bytes(F.col("text"), F.col("spans")).alias("kept"))
+    found = with_spans(own, span=span, words=words)
+    return found.select("doc_id", "text", "spans", *(["spans_words"] if words else []), kept_bytes(F.col("text"), F.col("spans")).alias("kept"))
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", span: int = 400, words: int | None = None) -> DataFrame:
+def drop_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", span: int = 400, words: int | None = None, dense: bool = True,
+) -> DataFrame:
     """docs with the repeated passages cut out of their texts; chars_col, if docs has it, is counted anew.
 
-    Passages are repeated strings of `span` bytes and, with `words`, repeated runs of that many words.
-    A character of which a passage covers a part only goes too. Every row stays, if without text; null texts stay null.
+    Passages are those of with_spans(): repeated strings of `span` bytes and, with `words`, repeated
+    runs of that many words. A character of which a passage covers a part only goes too. Every row
+    stays, if without text; null texts stay null.
     """
     to = fresh(docs, "spans")
-    found = with_spans(docs, id_col, text_col, span, to=to, words=words)
-    cut = F.when(F.col(to).isNull(), F.col(text_col)).otherwise(_whole_chars(kept_bytes(F.col(text_col), F.col(to))))
-    out = found.withColumn(text_col, cut)
+    found = with_spans(docs, id_col, text_col, span, to, words, dense)
+    of_words = F.col(f"{to}_words") if words else F.col(to)
+    out = found.withColumn(text_col, F.when(F.col(to).isNull(), F.col(text_col)).otherwise(_outside(text_col, to, of_words)))
     if chars_col in docs.columns:
         out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
     return out.select(*docs.columns)
 
 
 @F.pandas_udf(StringType())
-def _whole_chars(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+def _outside(text: pd.Series, spans: pd.Series, more: pd.Series) -> pd.Series:
+    """Of texts with spans what lies outside them and more; other rows' values are not used."""
+
+    def one(value: str | None, *lists: np.ndarray | None) -> str | None:
+        if value is None or lists[0] is None:
+            return None
+        data, at, out = value.encode("utf-8", "surrogatepass"), 0, []
+        for start, end in sorted((s["start"], s["end"]) for found in lists for s in found):
+            out.append(data[at : max(at, start)])
+            at = max(at, end)
+        return b"".join([*out, data[at:]]).decode("utf-8", "ignore")
+
+    return pd.Series([one(*x) for x in zip(text, spans, more, strict=True)], dtype=object)

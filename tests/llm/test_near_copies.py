@@ -33,9 +33,9 @@ def by_all_pairs(texts):
     return {i: find(i) for i in range(len(texts))}
 
 
-def groups(spark, texts):
+def groups(spark, texts, **settings):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return {r.doc_id: r.component_id for r in simhash.near_groups(docs).collect()}
+    return {r.doc_id: r.component_id for r in simhash.near_groups(docs, **settings).collect()}
 
 
 def words_of(rng, n):
@@ -74,9 +74,8 @@ def test_appended_truncated_and_replaced_blocks_are_found(spark):
     assert all(got[2 * i + 1] == 2 * i for i in range(90))
 
 
-@pytest.mark.parametrize("bucket", [2, 64])
-def test_every_pair_of_a_crowded_entry_is_decided(spark, monkeypatch, bucket):
-    monkeypatch.setattr(simhash, "BUCKET", bucket)
+@pytest.mark.parametrize("heads", [1, 20])
+def test_every_pair_of_a_crowded_entry_is_decided(spark, heads):
     rng = random.Random(7)
     base = words_of(rng, 300)
     texts = [" ".join(scattered(rng, base, 12)) for _ in range(60)]  # far from each other by 0.8, the smallest ids too
@@ -84,4 +83,4 @@ def test_every_pair_of_a_crowded_entry_is_decided(spark, monkeypatch, bucket):
         texts.append(" ".join(scattered(rng, texts[5 + 2 * k].split(), 3)))
     want = by_all_pairs(texts)
     assert sum(i != r for i, r in want.items()) >= 20 and want[0] == 0 and len(set(want.values())) >= 40
-    assert groups(spark, texts) == want
+    assert groups(spark, texts, heads=heads) == want

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -428,19 +429,55 @@ def brute_removed(texts, span):
     return out
 
 
-def test_suffix_removals_match_brute_force(spark, docs, given):
-    for df, span, q in ((docs, 400, 200), (docs, 60, 20), (docs_of(spark, ["ab" * 40, "abcd" * 30 + "x" * 90, "é" * 70, "q" * 61, "q" * 30]), 60, 30), (given, 400, 200)):
+def spans_of(flags):
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(int), [0]))))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+
+
+def brute_words(texts, words):
+    cut = [[(m.start(), m.end()) for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", t)] for t in texts]
+    runs = [[tuple(t[a:b] for a, b in own[i : i + words]) for i in range(len(own) - words + 1)] for t, own in zip(texts, cut, strict=True)]
+    seen = Counter(r for own in runs for r in own)
+    out = []
+    for t, own, bounds in zip(texts, runs, cut, strict=True):
+        flags = np.zeros(len(t), bool)
+        for i, r in enumerate(own):
+            if seen[r] > 1:
+                flags[bounds[i][0] : bounds[i + words - 1][1]] = True
+        out.append(flags)
+    return out
+
+
+def odd_texts():
+    """Texts whose windows hold many words, few, or none, with repeats that start and end within words."""
+    word = lambda n: "".join(rng.choice("abcdeé") for _ in range(n))
+    prose = lambda n, most: rng.choice(" \n").join(word(rng.randint(1, most)) for _ in range(n))
+    shared = [prose(90, 5), prose(60, 14), word(500), prose(52, 3), prose(40, 9) + " " + word(200)]
+    texts = []
+    for _ in range(40):
+        parts = [rng.choice([prose(30, 6), word(90), *shared]) for _ in range(rng.randint(1, 4))]
+        texts.append(rng.choice(["", " ", "x"]).join(parts))
+    cut = texts[3][5:]
+    return [*texts, cut, texts[4][: len(texts[4]) // 2] * 2, " ".join(shared[0].split("\n")), "a " * 700, "q" * 900, "", " "]
+
+
+@pytest.mark.parametrize(("span", "words", "bits"), [(400, 51, 64), (400, 51, 1), (400, None, 64), (60, 9, 64), (60, None, 0)])
+def test_suffix_removals_match_brute_force(spark, docs, given, span, words, bits):
+    for df in (docs, docs_of(spark, odd_texts()), *([given] if bits == 64 and span == 400 else [])):
         rows = df.select("doc_id", "text").collect()
         data = [(r.text or "").encode() for r in rows]
-        gone = dict(zip([r.doc_id for r in rows], brute_removed(data, span), strict=True))
-        got = {r.doc_id: r for r in suffixes.with_spans(df, span=span, q=q).select("doc_id", "text", "spans", suffixes.kept_bytes(F.col("text"), F.col("spans")).alias("kept")).collect()}
-        assert len(got) == len(rows)
-        for d, flags in gone.items():
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(int), [0]))))
-            want = list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
-            assert [(s.start, s.end) for s in got[d].spans or []] == want
-            assert bytes(got[d].kept) == bytes(np.frombuffer((got[d].text or "").encode(), np.uint8)[~flags])
-    assert suffixes.with_spans(docs.limit(0)).count() == 0
+        gone = brute_removed(data, span)
+        found = suffixes.with_spans(df, span=span, words=words, bits=bits)
+        got = {(r.doc_id, r.text): r for r in found.withColumn("kept", suffixes.kept_bytes(F.col("text"), F.col("spans"))).collect()}
+        assert found.count() == len(rows)
+        runs = brute_words(data, words) if words else gone
+        for r, flags, of_words in zip(rows, gone, runs, strict=True):
+            own = got[r.doc_id, r.text]
+            assert [(s.start, s.end) for s in own.spans or []] == spans_of(flags)
+            assert bytes(own.kept) == bytes(np.frombuffer((r.text or "").encode(), np.uint8)[~flags])
+            if words:
+                assert [(s.start, s.end) for s in own.spans_words or []] == spans_of(of_words)
+    assert suffixes.with_spans(docs.limit(0), words=words).count() == 0
 
 
 def test_drop_repeats_keeps_columns(spark):
