@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from motifloom.llm import packing, quality, simhash, suffixes, toxicity
-from motifloom.llm.common import small_batches, written
+from motifloom.llm.common import marked, release, small_batches, written
 from motifloom.llm.queries import WORDS, table, vocabulary
 
 
@@ -26,9 +26,9 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With repeated passages of over 50 words (or of 400 bytes, for texts with few blanks) cut out of the texts."""
+    """With repeated passages of over 50 words (or of 400 bytes, where these hold few words) cut out of the texts."""
     small_batches(spark)
-    return suffixes.drop_repeats(docs, words=51)
+    return suffixes.drop_repeats(docs, words=51, dense=False)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,5 +47,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        since = marked()
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, since, [docs.scratch_path])
     return docs
