@@ -92,26 +92,27 @@ def columns_of(docs: DataFrame, pairs: Iterable[tuple[str, str]]) -> DataFrame:
     return docs.select(*[docs[c].alias(to) for c, to in pairs])
 
 
-def id_blocks(df: DataFrame, key: str, per_block: int = 1000, cells: int = 1024) -> Column:
+def id_blocks(df: DataFrame, key: str, per_block: int = 1000, most: int = 20_000) -> Column:
     """The number of the contiguous range of df[key] that a row is in, ascending with the key (nulls: -1).
 
-    The span of the keys is cut into `cells` equal cells, which are counted (the driver sees
-    `cells` rows), and each cell into equal parts of about per_block rows. Keys that crowd a
-    small part of a cell make larger blocks; the order of blocks stays right.
+    Ranges are cut at approximate quantiles of the keys, wherever these crowd or lie apart, into
+    about per_block rows each, or into `most` ranges if that is fewer; the driver sees their bounds.
+    Rows with equal keys are in one range.
     """
-    n, low, high = df.agg(F.count(key), F.min(key), F.max(key)).first()
-    if not n or low == high:
+    rows = df.where(F.col(key).isNotNull()).count()
+    parts = min(most, -(-rows // per_block))
+    bounds = df.stat.approxQuantile(key, [i / parts for i in range(1, parts)], 1 / (8 * parts)) if parts > 1 else []
+    bounds = sorted(set(bounds))
+    if not bounds:
         return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long")
-    x = F.col(key).cast("double") - F.lit(float(low))
-    wide = (float(high) - float(low)) / cells
-    cell = F.least(F.lit(cells - 1), F.floor(x / F.lit(wide))).cast("int")
-    counts = dict(df.where(F.col(key).isNotNull()).groupBy(cell.alias("cell")).count().collect())
-    parts = [max(1, -(-counts.get(c, 0) // per_block)) for c in range(cells)]
-    base = [0]
-    for k in parts:
-        base.append(base[-1] + k)
-    table = lambda xs: F.expr("array(" + ",".join(f"{v}L" for v in xs) + ")")
-    own, first = F.get(table(parts), cell), F.get(table(base[:-1]), cell)
-    part = F.floor((x - cell.cast("double") * F.lit(wide)) / F.lit(wide) * own)
-    block = first + F.greatest(F.lit(0), F.least(own - 1, part))
+    table = F.split(F.lit(",".join(map(repr, bounds))), ",").cast("array<double>")
+    x, steps = F.col(key).cast("double"), [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    # a binary search: how many bounds are at or below the key
+    below = lambda at, step: F.when(F.coalesce(F.get(table, at + step - 1) <= x, F.lit(False)), at + step).otherwise(at)
+    block = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), below)
     return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(block).cast("long")
+
+
+def shuffles(df: DataFrame, per_block: int, blocks: int = 4) -> int:
+    """Partitions for a shuffle of df by its blocks, a few blocks each: as many as the rows ask for, not less than the session's."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // (per_block * blocks)))

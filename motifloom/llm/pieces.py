@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from motifloom.llm.common import columns_of
-from motifloom.llm.tokens import batched, rows
+from motifloom.llm.tokens import KEPT_CHARS, batched, rows
 
 #: Words whose pieces a Python worker keeps, besides as many former ones (about 200 MB in all), and pairs whose compatibility it keeps.
 KEPT_WORDS, KEPT_PAIRS = 400_000, 600_000
@@ -146,10 +146,11 @@ class PieceEncoder:
         if len(kept) > KEPT_WORDS:  # start anew; what is still met comes over from the former words
             self._former, self._words = kept, {}
             kept = self._words
+        long: dict[str, list[int]] = {}
         for w in set(words).difference(kept):
             found = self._former.get(w)
-            kept[w] = self._ids(w) if found is None else found
-        return list(chain.from_iterable(map(kept.__getitem__, words)))
+            (kept if len(w) <= KEPT_CHARS else long)[w] = self._ids(w) if found is None else found
+        return list(chain.from_iterable([long[w] if w in long else kept[w] for w in words]))
 
     def joined(self, ids: list[int]) -> str:
         """Ids as decimal numbers joined by commas."""

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from motifloom.llm.common import columns_of, id_blocks
+from motifloom.llm.common import columns_of, id_blocks, shuffles
 from motifloom.llm.tokens import batched, rows, tokenizer
 
 # Fixed value: what is added to a rotated checksum, so that records may hold records.
@@ -118,7 +118,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end: tuple[int, ...
         yield from batched(one(), _INDEX)
 
     placed = own.withColumn("block", id_blocks(own, "doc_id", per_shard))
-    placed = placed.repartition("block").sortWithinPartitions("block", F.col("doc_id").asc_nulls_first(), "text")
+    placed = placed.repartition(shuffles(own, per_shard), "block").sortWithinPartitions("block", F.col("doc_id").asc_nulls_first(), "text")
     placed.select("block", "doc_id", "text").mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
 
 

