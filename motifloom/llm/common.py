@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch that goes to Python; keeps a batch of long texts to some tens of MB.
 ARROW_ROWS = 2000
+#: How many times larger in memory than on disk tables are taken to be.
+COMPRESSED = "16"
 
 _scratch: list[str] = []
 
@@ -33,8 +35,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, kept when executors are lost, without its lineage."""
+    """df as a Parquet table in the shared folder: computed once, kept when executors are lost, without its lineage.
+
+    Such tables can be many times smaller on disk than in memory, so file sizes count COMPRESSED-fold where Spark decides about broadcasts.
+    """
     spark = df.sparkSession
+    spark.conf.set("spark.sql.sources.fileCompressionFactor", COMPRESSED)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

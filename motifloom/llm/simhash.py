@@ -167,22 +167,30 @@ def _prefixes(batches: Iterator, size: int, common: tuple[np.ndarray, np.ndarray
         yield doc, *name, n, fp, hashes[: n - -(-4 * n // 5) + 1].view(np.int64) if n else []
 
 
-def _sets(batches: Iterator, size: int) -> Iterator:
+def _sets(batches: Iterator, size: int, bits: int) -> Iterator:
     for doc, text in rows(batches, "doc_id", "text"):
-        yield doc, _shingle_hashes(text, size).view(np.int64)
+        hashes = _shingle_hashes(text, size)
+        yield doc, len(hashes), hashes.view(np.int64) if bits == 64 else np.unique((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32))
+
 
+def _similar(pairs: DataFrame, docs: DataFrame, size: int, bits: int = 32) -> DataFrame:
+    """Of pairs(x, y) of docs(doc_id, text) those at a Jaccard similarity of 0.8 or more of their shingles, counted in full: (a, b, again).
 
-def _similar(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """Of pairs(x, y) of docs(doc_id, text) those at a Jaccard similarity of 0.8 or more of their shingles, counted in full."""
+    Sets go along as hashes of 32 or 64 bits. With 32, pairs so near to the threshold that equal hashes
+    of different shingles could decide are returned too, to be counted again.
+    """
     pairs = written(pairs, "near-pairs")
     ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    kind = pa.schema([("doc_id", pa.int64()), ("hashes", pa.list_(pa.int64()))])
-    sets = docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(lambda b: batched(_sets(b, size), kind, 512), "doc_id long, hashes array<long>")
+    kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("hashes", pa.list_(pa.int32() if bits == 32 else pa.int64()))])
+    ddl = f"doc_id long, n int, hashes array<{'int' if bits == 32 else 'long'}>"
+    sets = docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(lambda b: batched(_sets(b, size, bits), kind, 512), ddl)
     sets = written(sets, "near-sets")
-    side = lambda of: sets.select(F.col("doc_id").alias(of + "id"), F.col("hashes").alias(of + "h"))
+    side = lambda of: sets.select(F.col("doc_id").alias(of + "id"), F.col("n").alias(of + "n"), F.col("hashes").alias(of + "h")).hint("merge")  # noqa: E731  # never broadcast
     both = pairs.join(side("x"), F.col("x") == F.col("xid")).join(side("y"), F.col("y") == F.col("yid"))
-    met = both.where(9 * F.size(F.array_intersect("xh", "yh")) >= 4 * (F.size("xh") + F.size("yh")))
-    met = written(met.select(F.col("x").alias("a"), F.col("y").alias("b")), "near-links")
+    over = 9 * F.size(F.array_intersect("xh", "yh")) - 4 * (F.col("xn") + F.col("yn"))
+    unsure = F.lit(0.0) if bits == 64 else 9 * (1 + F.col("xn").cast("double") * F.col("yn") / (1 << 29))
+    met = both.select(F.col("x").alias("a"), F.col("y").alias("b"), over.alias("over"), unsure.alias("unsure")).where("over >= -unsure")
+    met = written(met.select("a", "b", (F.col("over") < F.col("unsure")).alias("again")), "near-links")
     forget(pairs, sets)
     return met
 
@@ -233,7 +241,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = _similar(_by_fingerprint(kinds.where("n > 0")), docs, size)
     several = heads
     while True:
-        roots = components(found)
+        roots = components(found.where("not again"))
         at = entries.join(roots, entries.id == roots.node, "left").select("id", "key", "n", "pos", F.coalesce("root", "id").alias("root"))
         slot = F.pmod(F.xxhash64("id", F.lit(several)), F.lit(several)).alias("slot")
         first = F.min(F.struct(F.xxhash64("id", F.lit(-several)), "id", "n", "pos", "root")).alias("h")
@@ -249,7 +257,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         met = side(entries, "x").join(y, (F.col("xkey") == F.col("ykey")) & (F.col("xid") != F.col("yid")) & (F.col("ylarge") | (F.col("xid") < F.col("yid"))) & near)
         found = found.unionByName(_similar(met.select(F.least("xid", "yid").alias("x"), F.greatest("xid", "yid").alias("y")).distinct(), docs, size))
         entries, several = entries.where("large").drop("root", "large"), several * 4
-    joined = components(found)
+    again = found.where("again").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
+    joined = components(found.where("not again").unionByName(_similar(again, docs, size, 64)))
     named = kinds.join(joined, kinds.id == joined.node, "left").select(F.col("k0").alias("kk0"), F.col("k1").alias("kk1"), F.coalesce("root", "id").alias("component_id"))
     return own.join(named, (F.col("k0") == F.col("kk0")) & (F.col("k1") == F.col("kk1"))).select("doc_id", "component_id")
 
