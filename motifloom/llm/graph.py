@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifloom.llm.common import written
+from motifloom.llm.common import forget, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,13 +14,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round does a large-star and a small-star step (Kiveris et al., 2014): every node's larger
     neighbours, then its smaller ones, are tied to its smallest neighbour, until each component is
     one star. A round is joins and minimum aggregates; no neighbour list is gathered, and each
-    round's links are written to the shared folder. Self links name a node without joining it to
+    round's links are written to the shared folder and deleted once the next round's are. Self links name a node without joining it to
     any other. Null ends: the link is left out. No links: no rows.
     """
     pairs = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).dropna()
     edges = written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     alone = edges.where("u = v").select(F.col("u").alias("node"))
-    edges, seen = edges.where("u != v"), None
+    edges, before = edges.where("u != v"), None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
@@ -32,10 +32,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
         )).alias("e")).select("e.*").where("u != v").distinct()
         edges = written(small, "small-star")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
+        forget(large, *([before] if before is not None else []))
+        before = edges
+        # all are stars once every node has one neighbour below it, which has none
+        several = edges.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low != high").select("u")
+        if several.union(edges.select("u").join(edges.select(F.col("v").alias("root")), F.col("u") == F.col("root"), "left_semi")).isEmpty():
             break
-        seen = state
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     named = stars.unionByName(roots)

@@ -16,7 +16,7 @@ from motifloom.llm.tokens import batched, rows
 
 #: Fingerprints that may share one segment value before the bucket is handled by midpoints.
 BUCKET = 64
-#: near_groups: one document of so many is counted for the order of shingles, which has so many common ones at most; the documents of an entry with which its others are compared in the first round, four times as many in each later one.
+#: near_groups: one document of so many is counted for the order of shingles, which has so many common ones at most; the documents of an entry with which its others are compared in the first round, sixteen times as many in each later one.
 SAMPLE, COMMON, HEADS = 8, 100_000, 4
 
 
@@ -215,7 +215,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     listed, in an order that puts the shingles of many documents last; documents that list the same
     one, in different components so far, are compared by their complete sets, unless their sizes or
     the places of the shingle in both leave too little to have in common. In rounds,
-    the documents of a large entry are compared with `heads` of its own, then with four times as many;
+    the documents of a large entry are compared with `heads` of its own, then with sixteen times as many;
     entries with up to four times as many documents are settled by all their pairs that are not yet in
     one component. So an entry of one group costs what it holds.
     Equal sets count once. Texts without words are near nothing but each other; null ids are left
@@ -256,7 +256,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         y = side(chosen.unionByName(entries.where("not large")), "y")
         met = side(entries, "x").join(y, (F.col("xkey") == F.col("ykey")) & (F.col("xid") != F.col("yid")) & (F.col("ylarge") | (F.col("xid") < F.col("yid"))) & near)
         found = found.unionByName(_similar(met.select(F.least("xid", "yid").alias("x"), F.greatest("xid", "yid").alias("y")).distinct(), docs, size))
-        entries, several = entries.where("large").drop("root", "large"), several * 4
+        entries, several = entries.where("large").drop("root", "large"), several * 16
     again = found.where("again").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
     joined = components(found.where("not again").unionByName(_similar(again, docs, size, 64)))
     named = kinds.join(joined, kinds.id == joined.node, "left").select(F.col("k0").alias("kk0"), F.col("k1").alias("kk1"), F.coalesce("root", "id").alias("component_id"))

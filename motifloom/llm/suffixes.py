@@ -178,9 +178,12 @@ class Source:
         lo, hi = sparse_windows(self.starts, self.ends, len(self.data), rule.span, rule.sample)
         if not rule.by_words or len(lo):
             at, first, last = pointers(self.data, rule.span, rule.q)
-            near = np.minimum(np.searchsorted(hi, first), len(hi) - 1)
-            some = (hi[near] >= first) & (lo[near] <= last)
-            at, first, last = at[some], first[some], last[some]
+            if rule.by_words:  # the parts of each pointer's windows that are sparse
+                low, high = np.searchsorted(hi, first), np.searchsorted(lo, last, "right")
+                several = np.maximum(high - low, 0)
+                of = np.repeat(np.arange(len(at)), several)
+                part = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(several) - several, several)
+                at, first, last = at[of], np.maximum(first[of], lo[part]), np.minimum(last[of], hi[part])
             out.append((False, at, first, last, _mix(self.bytes.of(at, at + rule.q) + _U(1)) >> rule.lost))
         return out
 

@@ -2,50 +2,56 @@
 
 import zlib
 from collections import defaultdict
+from itertools import combinations
 
 import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
-from motifloom.llm import quality, queries, simhash, toxicity
+from motifloom.llm import quality, queries, simhash, suffixes, toxicity
 from motifloom.llm.tokens import WordTokenizer
 
 DATA = "/root/testdata/sf0.001"
 
 
 def plain_near_copies(texts):
-    """The documents that stay: of documents whose word sketches list a common value, those whose shingle sketches are close to the smallest id's are tied to it."""
-    from xxhash import xxh3_128_digest
-
-    def sketch(parts):
-        found = np.frombuffer(b"".join(map(xxh3_128_digest, parts)), np.uint64).reshape(-1, 2)
-        return tuple(int(x) % (1 << 64) for x in simhash._bits(np.ascontiguousarray(found), 2)) if len(found) else (0, 0)
-
-    kinds, of = {}, {}
-    for d in sorted(texts):
-        t = texts[d]
-        key = sketch(set(t.encode().lower().split())) + sketch(simhash._shingles(t, 5))
-        of[d] = kinds.setdefault(key, d)
-    listed = defaultdict(list)
-    for key, d in kinds.items():
-        for seg in range(4):
-            value = key[seg // 2] >> 32 * (seg % 2) & 0xFFFFFFFF
-            for m in [0, *(1 << i for i in range(32))]:
-                listed[seg, value ^ m].append((d, key))
-    root = {d: d for d in kinds.values()}
+    """The documents that stay: the smallest id of each component of all pairs at a Jaccard similarity of 0.8 of five-word shingles."""
+    sets = {d: set(simhash._shingles(t, 5)) for d, t in texts.items()}
+    root = {d: d for d in texts}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for held in listed.values():
-        head, own = min(held)
-        for d, key in held:
-            if d != head and sum((key[i] ^ own[i]).bit_count() for i in (2, 3)) <= int(0.18 * 128):
-                a, b = find(d), find(head)
-                root[max(a, b)] = min(a, b)
-    return {d for d in texts if find(of[d]) == d}
+    for x, y in combinations(sorted(texts), 2):
+        if 9 * len(sets[x] & sets[y]) >= 4 * (len(sets[x]) + len(sets[y])):
+            a, b = find(x), find(y)
+            root[max(a, b)] = min(a, b)
+    return {d for d in texts if find(d) == d}
+
+
+def plain_cut(data):
+    """The texts without repeated runs of 51 words, and strings of 400 bytes with under 46 words inside."""
+    bounds = {d: suffixes.word_bounds(t) for d, t in data.items()}
+    runs, strings = defaultdict(int), defaultdict(int)
+    for d, t in data.items():
+        words = t.split()
+        for i in range(len(words) - 50):
+            runs[tuple(words[i : i + 51])] += 1
+        for i in range(len(t) - 399):
+            strings[t[i : i + 400]] += 1
+    out = {}
+    for d, t in data.items():
+        flags, words, (starts, ends) = np.ones(len(t), bool), t.split(), bounds[d]
+        for i in range(len(words) - 50):
+            if runs[tuple(words[i : i + 51])] > 1:
+                flags[starts[i] : ends[i + 50]] = False
+        for i in range(len(t) - 399):
+            if strings[t[i : i + 400]] > 1 and np.searchsorted(ends, i + 399, "right") - np.searchsorted(starts, i + 1) < 46:
+                flags[i : i + 400] = False
+        out[d] = bytes(np.frombuffer(t, np.uint8)[flags]).decode("utf-8", "ignore")
+    return out
 
 
 def test_run_matches_a_plain_run(spark):
@@ -72,18 +78,7 @@ def test_run_matches_a_plain_run(spark):
     # near copies
     kept = plain_near_copies({d: texts[d] for d in kept})
     # repeated passages
-    data = {d: texts[d].encode() for d in kept}
-    seen = defaultdict(int)
-    for t in data.values():
-        for i in range(len(t) - 399):
-            seen[t[i : i + 400]] += 1
-    cut = {}
-    for d, t in data.items():
-        flags = np.ones(len(t), bool)
-        for i in range(len(t) - 399):
-            if seen[t[i : i + 400]] > 1:
-                flags[i : i + 400] = False
-        cut[d] = bytes(np.frombuffer(t, np.uint8)[flags]).decode("utf-8", "ignore")
+    cut = plain_cut({d: texts[d].encode() for d in kept})
     # packing: every id once, sequences within bounds
     tokenizer = WordTokenizer(queries.vocabulary(queries.WORDS))._t
     want = {}
