@@ -205,6 +205,21 @@ def _by_fingerprint(kinds: DataFrame) -> DataFrame:
     return same.select(F.col("head").alias("x"), F.col("id").alias("y")).unionByName(tied.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))).distinct()
 
 
+def _across(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Of links(a, b) those between different components of roots(node, root): (a, b, ra, rb) with both components; nodes that roots lacks stand for themselves."""
+    at = lambda of: roots.select(F.col("node").alias(of + "n"), F.col("root").alias(of + "r"))
+    met = links.join(at("a"), F.col("a") == F.col("an"), "left").join(at("b"), F.col("b") == F.col("bn"), "left")
+    return met.select("a", "b", F.coalesce("ar", "a").alias("ra"), F.coalesce("br", "b").alias("rb")).where("ra != rb")
+
+
+def _tied(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots(node, root) with the components that links(a, b) join made one: only roots and new nodes go through another search for components."""
+    more = written(components(_across(roots, links), "ra", "rb"), "near-joined")
+    moved = more.select(F.col("node").alias("of"), F.col("root").alias("to"))
+    kept = roots.join(moved, F.col("root") == F.col("of"), "left").select("node", F.coalesce("to", "root").alias("root"))
+    return written(kept.unionByName(more.join(roots.select("node"), "node", "left_anti").select("node", "root")), "near-roots")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, heads: int = HEADS) -> DataFrame:
     """(doc_id, component_id) of near duplicates: the components of all pairs at a Jaccard similarity of 0.8 or more on `size`-word shingles.
 
@@ -239,9 +254,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = 1 + F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos")) - 1
     near = (9 * left >= 4 * (F.col("xn") + F.col("yn"))) & (F.col("xroot") != F.col("yroot"))
     found = _similar(_by_fingerprint(kinds.where("n > 0")), docs, size)
-    several = heads
+    again, roots, several = found.where("again"), written(components(found.where("not again")), "near-roots"), heads
     while True:
-        roots = components(found.where("not again"))
         at = entries.join(roots, entries.id == roots.node, "left").select("id", "key", "n", "pos", F.coalesce("root", "id").alias("root"))
         slot = F.pmod(F.xxhash64("id", F.lit(several)), F.lit(several)).alias("slot")
         first = F.min(F.struct(F.xxhash64("id", F.lit(-several)), "id", "n", "pos", "root")).alias("h")
@@ -255,11 +269,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         chosen = slots.join(apart, F.col("key") == F.col("of")).where("large").select(*at.columns, "large")
         y = side(chosen.unionByName(entries.where("not large")), "y")
         met = side(entries, "x").join(y, (F.col("xkey") == F.col("ykey")) & (F.col("xid") != F.col("yid")) & (F.col("ylarge") | (F.col("xid") < F.col("yid"))) & near)
-        found = found.unionByName(_similar(met.select(F.least("xid", "yid").alias("x"), F.greatest("xid", "yid").alias("y")).distinct(), docs, size))
+        found = _similar(met.select(F.least("xid", "yid").alias("x"), F.greatest("xid", "yid").alias("y")).distinct(), docs, size)
+        again, roots = again.unionByName(found.where("again")), _tied(roots, found.where("not again"))
         entries, several = entries.where("large").drop("root", "large"), several * 16
-    again = found.where("again").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
-    joined = components(found.where("not again").unionByName(_similar(again, docs, size, 64)))
-    named = kinds.join(joined, kinds.id == joined.node, "left").select(F.col("k0").alias("kk0"), F.col("k1").alias("kk1"), F.coalesce("root", "id").alias("component_id"))
+    # pairs that one component holds by now need no second count
+    again = written(_across(roots, again).distinct(), "near-again")
+    if not again.isEmpty():
+        roots = _tied(roots, _similar(again.select(F.col("a").alias("x"), F.col("b").alias("y")), docs, size, 64))
+    named = kinds.join(roots, kinds.id == roots.node, "left").select(F.col("k0").alias("kk0"), F.col("k1").alias("kk1"), F.coalesce("root", "id").alias("component_id"))
     return own.join(named, (F.col("k0") == F.col("kk0")) & (F.col("k1") == F.col("kk1"))).select("doc_id", "component_id")
 
 
