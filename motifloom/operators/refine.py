@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motifloom.operators.candidates import candidates as find
 from motifloom.operators.components import components
 from motifloom.operators.edges import edges as score_edges
 from motifloom.operators.tables import ranked, stored, symmetric
@@ -102,14 +103,35 @@ def _merge(found: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["source", "target"]).astype("int64")
 
 
-def merged(partition: DataFrame, graph: DataFrame) -> DataFrame:
-    """The partition after one pass of strict merges; `merged` marks the members that changed cluster.
+def probed_merges(partition: DataFrame, nodes: DataFrame, config: Config) -> DataFrame:
+    """merge_candidates() of the greedy method: clusters whose representatives are similar by seeds, and whose target is no smaller.
+
+    The target's representative is scored anew against the source's, then against all its other
+    members, retrieved or not; each test is one join on what the one before it left.
+    """
+    sizes = stored(partition.groupBy("rep").agg(F.count("*").alias("size")), "sizes")
+    size = lambda of: sizes.select(F.col("rep").alias(of), F.col("size").alias(f"{of}_size"))
+    reps = nodes.join(sizes.select(F.col("rep").alias("node_id")), "node_id", "left_semi")
+    close = score_edges(find(reps, config.seed, config.seed_threshold), nodes, config)
+    tests = symmetric(close.select("u", "v")).select(F.col("src").alias("target"), F.col("dst").alias("source"))
+    tests = stored(tests.join(size("target"), "target").join(size("source"), "source").where("target_size >= source_size"), "merge-tests")
+    others = partition.where("node_id != rep").select(F.col("node_id").alias("member"), F.col("rep").alias("source"))
+    asked = stored(tests.join(others, "source").select("target", "source", "member"), "merge-members")
+    ends = (F.least("target", "member").alias("u"), F.greatest("target", "member").alias("v"))
+    passed = score_edges(asked.select(*ends).distinct(), nodes, config).select("u", "v")
+    held = asked.select("target", "source", *ends).join(passed, ["u", "v"], "left_semi").groupBy("target", "source").agg(F.count("*").alias("n"))
+    whole = tests.join(held, ["target", "source"], "left").where(F.coalesce("n", F.lit(0)) + 1 == F.col("source_size"))
+    return whole.select("target", "source", "target_size", "source_size")
+
+
+def merged(partition: DataFrame, found: DataFrame) -> DataFrame:
+    """The partition after one pass of strict merges of found, merge_candidates() or probed_merges(); `merged` marks the members that changed cluster.
 
     Merges of one connected component of candidates do not touch those of others; so components
-    are dealt out, and each is worked off in order.
+    are dealt out, and each is worked off in order. A target grows in its own turn only, and is
+    compared by its size before it; so sources larger than it are left out from the start.
     """
-    # a merge needs a target that is not smaller; targets grow, so smaller ones may still qualify later
-    found = stored(merge_candidates(partition, graph), "merges")
+    found = stored(found.where("target_size >= source_size"), "merges")
     root = components(found.select(F.col("target").alias("a"), F.col("source").alias("b")))
     applied = found.join(root, F.col("target") == F.col("node")).groupBy("root").applyInPandas(_merge, _MERGED)
     to = stored(applied, "merged")
@@ -143,6 +165,8 @@ def converge(partition: DataFrame, edges: DataFrame, nodes: DataFrame, config: C
     """Reassigns, re-represents, merges and checks until nothing changes, a state comes again, the cap is met, or a check fails."""
     greedy = config.method == "greedy"
     graph = stored(both_ways(edges, config), "graph")
+    # the greedy method scores all pairs within clusters, whichever seeds retrieve
+    within = lambda of: stored(both_ways(score_edges(member_pairs(of), nodes, config).unionByName(edges).distinct(), config), "graph")
     state, seen, progress = stored(partition.select("node_id", "rep"), "partition"), set(), Progress()
     while config.iterations is None or progress.iterations < config.iterations:
         mark = state.agg(F.sum(F.xxhash64("node_id", "rep").cast("decimal(38,0)"))).first()[0]
@@ -153,14 +177,16 @@ def converge(partition: DataFrame, edges: DataFrame, nodes: DataFrame, config: C
         step = stored(reassigned(state, graph, config.margin_q, greedy), "reassigned")
         moves = step.where("moved").count()
         if greedy:
-            graph = stored(both_ways(score_edges(member_pairs(step), nodes, config).unionByName(edges).distinct(), config), "graph")
+            graph = within(step)
         step = stored(re_represented(step, graph, nodes), "represented")
         changes = step.where("changed").select("rep").distinct().count()
         merges = 0
         if config.merge:
-            step = stored(merged(step.select("node_id", "rep"), graph), "after-merge")
+            now = step.select("node_id", "rep")
+            step = stored(merged(now, probed_merges(now, nodes, config) if greedy else merge_candidates(now, graph)), "after-merge")
             merges = step.where("merged").count()
             if merges:
+                graph = within(step) if greedy else graph
                 step = stored(re_represented(step, graph, nodes), "represented")
                 progress.representative_changes += step.where("changed").select("rep").distinct().count()
         state = step.select("node_id", "rep")

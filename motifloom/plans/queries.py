@@ -413,12 +413,9 @@ def js_divergence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _motifs(spark: SparkSession, d: str):
-    config = Config(mode="separate_kmer_anchor", kmer_threshold=0.80, anchor_threshold=0.60, seed=SEED, seed_threshold=SEED_AT, merge_motifs=True, motif_count=8, em_iterations=20)
+    config = Config(mode="separate_kmer_anchor", kmer_threshold=0.80, anchor_threshold=0.60, seed=SEED, seed_threshold=SEED_AT, merge_motifs=True, motif_count=8)
     known, found = _graph(spark, d)
-    partition = cover.intrinsic(known, found)
-    large = partition.groupBy("rep").count().orderBy(F.desc("count"), "rep").limit(motifs.MOST_CLUSTERS)  # motifs start from the largest clusters
-    seeds = stored(partition.join(large.select("rep"), "rep", "left_semi"), "seed-clusters")
-    return known, motifs.build(known, seeds, config)
+    return known, motifs.build(known, cover.intrinsic(known, found), config)
 
 
 @query()

@@ -104,10 +104,56 @@ def test_refinement_matches_sequential_steps(spark):
             members[target] = members[target] + members[s]
             alive.discard(s)
             to[s] = target
-    merged = {r.node_id: r.rep for r in refine.merged(moved, graph).collect()}
+    merged = {r.node_id: r.rep for r in refine.merged(moved, refine.merge_candidates(moved, graph)).collect()}
     assert merged == {x: to.get(rep, rep) for x, rep in want.items()}
 
 
+def merged_in_order(members, fit, seeds):
+    """The strict merges of the greedy method, one target at a time: (source to target, merges with members that no seed brings to the target)."""
+    size, alive, to, unseen = {r: len(own) for r, own in members.items()}, set(members), {}, 0
+    members = {r: list(own) for r, own in members.items()}
+    for target in sorted(members, key=lambda c: (-size[c], c)):
+        if target not in alive:
+            continue
+        live = [s for s in alive if s != target and (target, s) in seeds and len(members[target]) >= len(members[s])]
+        for s in sorted(live, key=lambda c: (-len(members[c]), c)):
+            if all((target, y) in fit for y in members[s]):
+                unseen += any((target, y) not in seeds for y in members[s])
+                members[target] += members[s]
+                alive.discard(s)
+                to[s] = target
+    return to, unseen
+
+
+def test_greedy_merges_probe_all_members(spark):
+    config = Config(method="greedy", threshold=0.5, seed="contiguous", seed_threshold=0.8)
+    own = random.Random(5)
+    sequences = {"ALVKEFLIV", "IVLDRYVLA"}
+    for base in sorted(sequences):
+        for _ in range(40):
+            x = list(base)
+            for _ in range(own.randint(1, 3)):
+                x[own.randrange(9)] = own.choice("ALVIMF")
+            sequences.add("".join(x))
+    known = nodes.features(nodes.load(spark.createDataFrame([(s,) for s in sorted(sequences)], "sequence string"))).persist()
+    n, both = known.count(), lambda df: {p for r in df.select("u", "v").collect() for p in ((r.u, r.v), (r.v, r.u))}
+    fit, seeds = both(edges.edges(candidates.all_pairs(known), known, config)), both(candidates.candidates(known, config.seed, config.seed_threshold))
+    families = {}
+    for x in range(n):  # each joins the first cluster whose representative it fits; every third founds its own
+        families.setdefault(next((r for r in sorted(families) if (r, x) in fit and x % 3), x), []).append(x)
+    # a source with a member that fits the target, though no seed brings them together
+    t, s, y = next((t, s, y) for t, s in sorted(fit & seeds) if t < s for y in range(n) if (t, y) in fit - seeds and (s, y) in fit)
+    z = next(z for z in range(n) if (t, z) in fit and z not in (s, y))
+    planted = {t: [t, z], s: [s, y]} | {x: [x] for x in range(n) if x not in (t, s, y, z)}
+    for members in (families, planted):
+        to, unseen = merged_in_order(members, fit, seeds)
+        assert to and (members is families or unseen)
+        part = spark.createDataFrame([(x, r) for r, held in members.items() for x in held], "node_id long, rep long")
+        got = {r.node_id: r.rep for r in refine.merged(part, refine.probed_merges(part, known, config)).collect()}
+        assert got == {x: to.get(r, r) for r, held in members.items() for x in held}
+    known.unpersist()
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(20)] + [(50, 40), (60, 60)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from motifloom.functions.alphabet import ALPHABET
 from motifloom.operators import metrics, motifs, nodes, pools, selection
 from motifloom.plans import queries
 from motifloom.plans.config import Config
@@ -86,7 +87,6 @@ def test_bayes_factor_signs_and_merging():
         counts[i, :, r] = 40
     assert motifs.marginal(counts[0] + counts[1], alpha) > 2 * motifs.marginal(counts[0], alpha)
     assert motifs.agglomerate(counts, alpha, 0.0).tolist() == [0, 0, 1, 1] and motifs.agglomerate(counts, alpha, 0.0, target=1).tolist() == [0, 0, 0, 0]
-    assert set(motifs.farthest_first(counts, np.array([9, 5, 8, 6.0]), 2)) == {0, 2}
 
 
 def test_motifs_do_not_depend_on_partitions(spark):
@@ -165,3 +165,41 @@ def test_exchange_tables(spark):
     assert exports.best_group_count(r, "p", ["a", "b"]).first().p == "m"
     got = exports.with_unassigned(r.select(F.col("p").alias("member")), spark.createDataFrame([("m", 4)], "member string, cluster int"))
     assert {tuple(x) for x in got.collect()} == {("m", "4"), ("n", "unassigned")}
+
+
+def plain_seeds(counts: np.ndarray, sizes: np.ndarray, k: int) -> list[int]:
+    """k seeds among clusters of at least the median size (5 at least): the largest, then the one farthest from all chosen, by divergence."""
+    able = np.flatnonzero(sizes >= max(float(np.median(sizes)), 5)) if len(sizes) else np.zeros(0, int)
+    if len(able) < k:
+        able = np.argsort(-sizes, kind="stable")[: max(k, len(able))]
+    p = counts[able] / np.maximum(1e-300, counts[able].sum(-1, keepdims=True))
+
+    def bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        m = (a + b) / 2
+        part = lambda x: np.where(x > 0, x * np.log2(np.where(x > 0, x, 1) / np.where(m > 0, m, 1)), 0).sum(-1)
+        return ((part(a) + part(b)) / 2).mean(-1)
+
+    chosen = [int(np.argmax(sizes[able]))]
+    away = bits(p, p[chosen[0]][None])
+    while len(chosen) < min(k, len(able)):
+        away[chosen] = -1
+        chosen.append(int(np.argmax(away)))
+        away = np.minimum(away, bits(p, p[chosen[-1]][None]))
+    return [int(able[i]) for i in chosen]
+
+
+@pytest.mark.parametrize("k", [3, 6, 40])
+def test_seeds_are_farthest_first(spark, k):
+    rng = np.random.default_rng(k)
+    rows = [(i, "".join(rng.choice(list(ALPHABET), 9)), int(rng.integers(1, 6)), 9, int(rng.integers(0, 12))) for i in range(60)]
+    known = spark.createDataFrame([r[:4] for r in rows], "node_id long, sequence string, frequency long, length int")
+    part = spark.createDataFrame([(r[0], r[4]) for r in rows], "node_id long, rep long")
+    reps = sorted({r[4] for r in rows})
+    counts, sizes = np.zeros((len(reps), 9, 20)), np.zeros(len(reps))
+    for _, sequence, frequency, _, rep in rows:
+        sizes[reps.index(rep)] += frequency
+        for c, residue in enumerate(sequence):
+            counts[reps.index(rep), c, ALPHABET.index(residue)] += frequency
+    want = plain_seeds(counts, sizes, k)
+    got, got_sizes = motifs.farthest_first(known, part, k)
+    assert np.array_equal(got, counts[want]) and np.array_equal(got_sizes, sizes[want])
