@@ -57,6 +57,14 @@ class Config:
                 raise ValueError(f"{name} must be positive and finite")
         if self.motif_count is not None and (not self.merge_motifs or self.motif_count < 1):
             raise ValueError("motif_count needs merge_motifs, and is 1 at least")
+        if self.motif_count is not None and not self.em:
+            raise ValueError("motif_count needs EM, which places the nodes of other clusters")
+        if not self.merge_motifs:  # settings that would do nothing are refused
+            asked = [n for n in ("motif_prior", "motif_threshold", "em", "em_prior", "em_iterations", "em_tolerance") if getattr(self, n) != type(self).__dataclass_fields__[n].default]
+            if asked:
+                raise ValueError(f"{asked[0]} needs merge_motifs")
+        if self.method == "graph" and self.selection != "kmer_degree":
+            raise ValueError("selection is the greedy method's")
         if self.method == "greedy" and self.prefilter == "force":
             raise ValueError("the greedy method has no prefilter")
         if self.method == "greedy" and self.selection == "lazy_exact" and self.order == "intrinsic":

@@ -203,6 +203,24 @@ def test_whole_run_and_outputs(spark, tmp_path):
     assert runs.cluster(pair, Config(prefilter="force")).partition.count() == 4
 
 
+def test_node_and_motif_tables(spark, tmp_path):
+    data = spark.createDataFrame([(f"h{i}", s) for i, s in enumerate(SEQUENCES[:12])], "header string, sequence string")
+    config = Config(merge_motifs=True, motif_count=3, em_iterations=3)
+    known = nodes.features(nodes.load(data)).persist()
+    part = known.select("node_id", (F.col("node_id") - F.col("node_id") % 2).alias("rep"), F.floor(F.col("node_id") / 2).alias("cluster"))
+    result = runs.Result(known, known.limit(0), part.persist(), refine.Progress())
+    rows = runs.node_rows(result, config).collect()
+    of = {r.sequence: r.node_id for r in known.collect()}
+    assert len(rows) == len(of) and all(of[r.representative_sequence] == of[r.sequence] // 2 * 2 for r in rows)
+    assert all(r.terminal_kmer_similarity == "1.000" for r in rows if r.sequence == r.representative_sequence)
+    runs.write_motifs(result, config, str(tmp_path))
+    out = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "motifs.tsv")).collect()
+    assert {r.sequence for r in out} == set(of) and {r.motif for r in out} == {"1", "2", "3"}
+    for bad in ({"em": False}, {"motif_prior": 2.0}, {"selection": "lazy_exact"}, {"merge_motifs": True, "motif_count": 2, "em": False}):
+        with pytest.raises(ValueError):
+            Config(**bad)
+
+
 def test_fasta(spark, tmp_path):
     text = ">one first\nGALT\n alklv \n\n>two\nCCCPPPDDD\n>three>x\nBBB\n>\n"
     (tmp_path / "a.fasta").write_text(text)
