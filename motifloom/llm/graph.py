@@ -14,7 +14,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round does a large-star and a small-star step (Kiveris et al., 2014): every node's larger
     neighbours, then its smaller ones, are tied to its smallest neighbour, until each component is
     one star. A round is joins and minimum aggregates; no neighbour list is gathered, and each
-    round's links are written to the shared folder and deleted once the next round's are. Self links name a node without joining it to
+    round's links, after both steps, are written to the shared folder and deleted once the next round's are. Self links name a node without joining it to
     any other. Null ends: the link is left out. No links: no rows.
     """
     pairs = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).dropna()
@@ -25,18 +25,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.join(least, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = large.join(low, F.col("u") == F.col("k")).select(F.explode(F.array(
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
         )).alias("e")).select("e.*").where("u != v").distinct()
         edges = written(small, "small-star")
-        forget(large, *([before] if before is not None else []))
+        forget(*([before] if before is not None else []))
         before = edges
-        # all are stars once every node has one neighbour below it, which has none
-        several = edges.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low != high").select("u")
-        if several.union(edges.select("u").join(edges.select(F.col("v").alias("root")), F.col("u") == F.col("root"), "left_semi")).isEmpty():
+        # all are stars once every node has one neighbour below it, which has none: one aggregate over both ends
+        ends = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.lit(None).cast("long").alias("v")))
+        ends = ends.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.max(F.col("v").isNull()).alias("root"))
+        if ends.where("low != high OR (root AND low IS NOT NULL)").isEmpty():
             break
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
