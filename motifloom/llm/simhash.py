@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifloom.llm.common import columns_of, forget, fresh, written
@@ -228,8 +228,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more bits, so the rest is found exactly by prefixes: whatever order all shingles have, two sets at
     0.8 or more have one in common among the first fifth (and one more) of each. So only those are
     listed, in an order that puts the shingles of many documents last; documents that list the same
-    one, in different components so far, are compared by their complete sets, unless their sizes or
-    the places of the shingle in both leave too little to have in common. In rounds,
+    one, in different components so far, are compared by their complete sets, unless their sizes,
+    the places of the shingle in both or the number of listed shingles that both have leave too little to
+    have in common: what two sets share is at most what their prefixes share and what one of them has
+    behind its prefix. (Entries settled before count for nothing there: a pair that shares one is
+    decided, or in one component.) In rounds,
     the documents of a large entry are compared with `heads` of its own, then with sixteen times as many;
     entries with up to four times as many documents are settled by all their pairs that are not yet in
     one component. So an entry of one group costs what it holds.
@@ -250,9 +253,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     entries = written(listed.join(held, F.col("key") == F.col("held"), "left_semi").select("id", "key", "of.*"), "near-entries")
     forget(listed, held)
     side = lambda df, of: df.select(*[F.col(c).alias(of + c) for c in df.columns])
-    # from here on: sizes, and what is left behind the shingle's places, allow a similarity of 0.8; one component is not compared again
-    left = 1 + F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos")) - 1
-    near = (9 * left >= 4 * (F.col("xn") + F.col("yn"))) & (F.col("xroot") != F.col("yroot"))
+    # sizes, and what is left behind the shingle's places, allow a similarity of 0.8; one component is not compared again
+    both = 4 * (F.col("xn") + F.col("yn"))
+    near = (9 * F.least("xn", "yn") >= both) & (F.col("xroot") != F.col("yroot"))
+    left = 9 * F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos")) >= both
+    # a pair that may share an earlier shingle in a large entry is not decided by the places of this one, as this entry does not come again
+    left = left | (~F.col("ylarge") & (F.least("xwide", "ywide") > 0))
+    # nine times the listed shingles that a pair must share in entries that this round settles: the rest may lie behind a prefix or in large entries
+    behind = F.floor((4 * F.greatest("xn", "yn") + 4) / 5) - 1
+    needed = both - 9 * (behind + F.least("xwide", "ywide"))
     found = _similar(_by_fingerprint(kinds.where("n > 0")), docs, size)
     again, roots, several = found.where("again"), written(components(found.where("not again")), "near-roots"), heads
     while True:
@@ -265,13 +274,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         apart = written(apart.select(F.col("key").alias("of"), (F.col("m") > 4 * several).alias("large")), "near-apart")
         if apart.isEmpty():
             break
-        entries = written(at.join(apart, F.col("key") == F.col("of")).select(*at.columns, "large"), "near-left")
-        chosen = slots.join(apart, F.col("key") == F.col("of")).where("large").select(*at.columns, "large")
+        wide = F.sum(F.col("large").cast("int")).over(Window.partitionBy("id")).alias("wide")
+        entries = written(at.join(apart, F.col("key") == F.col("of")).select(*at.columns, "large", wide), "near-left")
+        chosen = slots.join(apart, F.col("key") == F.col("of")).where("large").select(*at.columns, "large", F.lit(None).cast("long").alias("wide"))
         y = side(chosen.unionByName(entries.where("not large")), "y")
         met = side(entries, "x").join(y, (F.col("xkey") == F.col("ykey")) & (F.col("xid") != F.col("yid")) & (F.col("ylarge") | (F.col("xid") < F.col("yid"))) & near)
-        found = _similar(met.select(F.least("xid", "yid").alias("x"), F.greatest("xid", "yid").alias("y")).distinct(), docs, size)
+        met = met.select(F.least("xid", "yid").alias("x"), F.greatest("xid", "yid").alias("y"), left.alias("left"), needed.alias("needed"))
+        met = met.groupBy("x", "y").agg(F.count("*").alias("c"), F.max("left").alias("left"), F.min("needed").alias("needed"))
+        found = _similar(met.where("left AND 9 * c >= needed").select("x", "y"), docs, size)
         again, roots = again.unionByName(found.where("again")), _tied(roots, found.where("not again"))
-        entries, several = entries.where("large").drop("root", "large"), several * 16
+        entries, several = entries.where("large").drop("root", "large", "wide"), several * 16
     # pairs that one component holds by now need no second count
     again = written(_across(roots, again).distinct(), "near-again")
     if not again.isEmpty():
