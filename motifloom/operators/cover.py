@@ -6,56 +6,119 @@ edges(u, v, weight) are undirected; nodes without edges are clusters of their ow
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from motifloom.operators.tables import ranked, stored, symmetric
 
-
-def coverage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+#: What is left of a graph is finished in one task, in turn, once it has no more nodes and no more edges than this: rounds are for larger rests.
+SMALL = 200_000
+
+
+def _in_one_task(nodes: DataFrame, links: DataFrame, step, schema: str, small: int) -> DataFrame | None:
+    """step over all of nodes and links in one task; None where these are more than `small` rows."""
+    if nodes.limit(small + 1).count() > small or links.limit(small + 1).count() > small:
+        return None
+    one = lambda df: df.withColumn("_all", F.lit(0)).groupBy("_all")
+    return one(nodes).cogroup(one(links)).applyInPandas(lambda n, e: step(n, e), schema)
+
+
+def _neighbours(ids: pd.Series, links: pd.DataFrame) -> dict[int, dict[int, int]]:
+    near: dict[int, dict[int, int]] = {x: {} for x in ids}
+    for u, v, w in links[["u", "v", "weight"]].itertuples(index=False):
+        near[u][v] = near[v][u] = w
+    return near
+
+
+def _coverage_in_turn(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    near = _neighbours(nodes["node_id"], links)
+    frequency = dict(zip(nodes["node_id"], nodes["frequency"], strict=True))
+    key = lambda x: (-len(near[x]), -sum(near[x].values()), -frequency[x], x)
+    heap, out = [key(x) for x in near], []
+    heapq.heapify(heap)
+    while heap:
+        top = heapq.heappop(heap)
+        rep = top[3]
+        if rep not in near:
+            continue
+        if top != (now := key(rep)):  # it has lost neighbours meanwhile
+            heapq.heappush(heap, now)
+            continue
+        at = (-top[0], -top[1], -top[2], -rep)
+        for x in (rep, *near[rep]):
+            out.append((x, rep, *at))
+            for y in near.pop(x):
+                if y in near:
+                    near[y].pop(x, None)
+    return pd.DataFrame(out, columns=["node_id", "rep", "n", "w", "frequency", "id"])
+
+
+def _ordered_in_turn(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    near, rep = _neighbours(nodes["node_id"], links.assign(weight=0)), {}
+    for x in nodes.sort_values("place")["node_id"]:
+        if x not in rep:
+            rep[x] = x
+            for y in near[x]:
+                rep.setdefault(y, x)
+    return pd.DataFrame(list(rep.items()), columns=["node_id", "rep"])
+
+
+def coverage(nodes: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
     """The greedy cover by coverage: again and again the node with the most unassigned neighbours becomes a representative and takes them.
 
     Ties go to the larger sum of edge weights, the larger frequency, the smaller id. A choice
     changes the keys of nodes at most two steps away, and keys only fall; so in each round every
     unassigned node whose key is the largest within two steps is chosen, which gives the same
-    clusters as one choice at a time. `at` is the key of the representative when it was chosen,
-    by which descending initial clusters are numbered.
+    clusters as one choice at a time. A rest of at most `small` nodes and edges is worked off in turn in one task.
+    `at` is the key of the representative when it was chosen, by which descending initial clusters are numbered.
     """
-    both = stored(symmetric(edges.select("u", "v", "weight")), "graph")
+    links = stored(edges.select("u", "v", "weight"), "graph")
+    both = symmetric(links)
     free = stored(nodes.select("node_id", F.col("frequency").cast("long").alias("frequency")), "free")
     done = None
     while True:
-        live = both.join(free.select(F.col("node_id").alias("src")), "src", "left_semi").join(free.select(F.col("node_id").alias("dst")), "dst", "left_semi")
-        degree = live.groupBy("src").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+        if (rest := _in_one_task(free, links, _coverage_in_turn, "node_id long, rep long, n long, w long, frequency long, id long", small)) is not None:
+            rest = stored(rest.select("node_id", "rep", F.struct("n", "w", "frequency", "id").alias("key")), "taken")
+            done = rest if done is None else done.unionByName(rest)
+            return done.select("node_id", "rep", F.col("key").alias("at"))
+        degree = both.groupBy("src").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
         key = F.struct(F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("w", F.lit(0)).cast("long").alias("w"), "frequency", (-F.col("node_id")).alias("id"))
         keyed = stored(free.join(degree, free.node_id == degree.src, "left").select("node_id", "frequency", key.alias("key")), "keys")
-        live = stored(live, "live")
-        one = _most_around(keyed.select("node_id", "key"), live)
-        two = _most_around(one, live)
+        one = most_around(keyed.select("node_id", "key"), both)
+        two = most_around(one, both)
         chosen = keyed.join(two.select(F.col("node_id").alias("i"), F.col("key").alias("top")), F.col("node_id") == F.col("i")).where("key = top").select("node_id", "key")
         chosen = stored(chosen, "chosen")
-        taken = live.join(chosen.select(F.col("node_id").alias("src"), "key"), "src").select(F.col("dst").alias("node_id"), F.col("src").alias("rep"), "key")
+        taken = both.join(chosen.select(F.col("node_id").alias("src"), "key"), "src").select(F.col("dst").alias("node_id"), F.col("src").alias("rep"), "key")
         taken = stored(taken.unionByName(chosen.select("node_id", F.col("node_id").alias("rep"), "key")), "taken")
         done = taken if done is None else done.unionByName(taken)
         free = stored(free.join(taken.select("node_id"), "node_id", "left_anti"), "free")
         if free.isEmpty():
             return done.select("node_id", "rep", F.col("key").alias("at"))
+        still = lambda side: free.select(F.col("node_id").alias(side))
+        links = stored(links.join(still("u"), "u", "left_semi").join(still("v"), "v", "left_semi"), "graph")
+        both = symmetric(links)
 
 
-def _most_around(values: DataFrame, live: DataFrame) -> DataFrame:
+def most_around(values: DataFrame, live: DataFrame) -> DataFrame:
     """The largest key of each node and its neighbours."""
     sent = live.join(values.select(F.col("node_id").alias("src"), "key"), "src").select(F.col("dst").alias("node_id"), "key")
     return values.unionByName(sent).groupBy("node_id").agg(F.max("key").alias("key"))
 
 
-def ordered(nodes: DataFrame, edges: DataFrame, *order: Column) -> DataFrame:
+def ordered(nodes: DataFrame, edges: DataFrame, *order: Column, small: int = SMALL) -> DataFrame:
     """The cover in a fixed order of nodes: each node that no earlier representative took becomes one and takes its unassigned neighbours.
 
     A node is a representative once all its earlier neighbours are known not to be, and is none once
-    one of them is; it joins the earliest representative beside it.
+    one of them is; it joins the earliest representative beside it. At most `small` nodes and edges are worked off
+    in turn in one task.
     """
     places = stored(ranked(nodes, *order, to="place").select("node_id", "place"), "places")
+    if (whole := _in_one_task(places, edges.select("u", "v"), _ordered_in_turn, "node_id long, rep long", small)) is not None:
+        return whole
     both = symmetric(edges.select("u", "v"))
     at = lambda name: places.select(F.col("node_id").alias(name), F.col("place").alias(f"{name}_at"))
     earlier = stored(both.join(at("src"), "src").join(at("dst"), "dst").where("dst_at < src_at").select("src", "dst", "dst_at"), "earlier")

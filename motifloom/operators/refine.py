@@ -10,13 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motifloom.operators.candidates import candidates as find
-from motifloom.operators.components import components
-from motifloom.operators.edges import edges as score_edges
+from motifloom.operators.greedy import PairScores
 from motifloom.operators.tables import ranked, stored, symmetric
 from motifloom.plans.config import Config
 
@@ -84,26 +82,7 @@ def merge_candidates(partition: DataFrame, graph: DataFrame) -> DataFrame:
     return counts.join(size("source"), "source").where("n = source_size").join(size("target"), "target").select("target", "source", "target_size", "source_size")
 
 
-_MERGED = "source long, target long"
-
-
-def _merge(found: pd.DataFrame) -> pd.DataFrame:
-    """Applies one component's merges in order: targets by size, then sources by size; sizes grow as merges apply."""
-    size = dict(zip(found["target"], found["target_size"], strict=True)) | dict(zip(found["source"], found["source_size"], strict=True))
-    start, gone, out = dict(size), set(), []
-    by_target = {t: list(g["source"]) for t, g in found.groupby("target")}
-    for target in sorted(by_target, key=lambda c: (-start[c], c)):
-        if target in gone:
-            continue
-        live = [s for s in by_target[target] if s not in gone and size[target] >= size[s]]
-        for source in sorted(live, key=lambda c: (-size[c], c)):
-            size[target] += size[source]
-            gone.add(source)
-            out.append((source, target))
-    return pd.DataFrame(out, columns=["source", "target"]).astype("int64")
-
-
-def probed_merges(partition: DataFrame, nodes: DataFrame, config: Config) -> DataFrame:
+def probed_merges(partition: DataFrame, nodes: DataFrame, config: Config, scores: PairScores) -> DataFrame:
     """merge_candidates() of the greedy method: clusters whose representatives are similar by seeds, and whose target is no smaller.
 
     The target's representative is scored anew against the source's, then against all its other
@@ -112,29 +91,47 @@ def probed_merges(partition: DataFrame, nodes: DataFrame, config: Config) -> Dat
     sizes = stored(partition.groupBy("rep").agg(F.count("*").alias("size")), "sizes")
     size = lambda of: sizes.select(F.col("rep").alias(of), F.col("size").alias(f"{of}_size"))
     reps = nodes.join(sizes.select(F.col("rep").alias("node_id")), "node_id", "left_semi")
-    close = score_edges(find(reps, config.seed, config.seed_threshold), nodes, config)
+    close = scores.eligible(find(reps, config.seed, config.seed_threshold))
     tests = symmetric(close.select("u", "v")).select(F.col("src").alias("target"), F.col("dst").alias("source"))
     tests = stored(tests.join(size("target"), "target").join(size("source"), "source").where("target_size >= source_size"), "merge-tests")
     others = partition.where("node_id != rep").select(F.col("node_id").alias("member"), F.col("rep").alias("source"))
     asked = stored(tests.join(others, "source").select("target", "source", "member"), "merge-members")
     ends = (F.least("target", "member").alias("u"), F.greatest("target", "member").alias("v"))
-    passed = score_edges(asked.select(*ends).distinct(), nodes, config).select("u", "v")
+    passed = scores.eligible(asked.select(*ends)).select("u", "v")
     held = asked.select("target", "source", *ends).join(passed, ["u", "v"], "left_semi").groupBy("target", "source").agg(F.count("*").alias("n"))
     whole = tests.join(held, ["target", "source"], "left").where(F.coalesce("n", F.lit(0)) + 1 == F.col("source_size"))
     return whole.select("target", "source", "target_size", "source_size")
 
 
-def merged(partition: DataFrame, found: DataFrame) -> DataFrame:
-    """The partition after one pass of strict merges of found, merge_candidates() or probed_merges(); `merged` marks the members that changed cluster.
+def settled_merges(found: DataFrame) -> DataFrame:
+    """(source, target): which of found(target, source, target_size, source_size) apply if targets have their turns by size, largest first, then by the smaller id.
 
-    Merges of one connected component of candidates do not touch those of others; so components
-    are dealt out, and each is worked off in order. A target grows in its own turn only, and is
-    compared by its size before it; so sources larger than it are left out from the start.
+    A target takes, in its turn, all its sources that are left, unless it was taken before; it is as large then as at
+    the start, as it grows in its own turn only. So a source that had its turn before must be as large and have taken none.
+    Each round decides those pairs of which all earlier turns that matter are decided: whether an earlier target took this
+    target, or this source, or this source took one. Nothing is grouped, however many pairs hang together.
     """
-    found = stored(found.where("target_size >= source_size"), "merges")
-    root = components(found.select(F.col("target").alias("a"), F.col("source").alias("b")))
-    applied = found.join(root, F.col("target") == F.col("node")).groupBy("root").applyInPandas(_merge, _MERGED)
-    to = stored(applied, "merged")
+    place = lambda size, of: F.struct((-F.col(size)).alias("size"), F.col(of).alias("id"))
+    state = found.where("target_size >= source_size").select("target", "source", place("target_size", "target").alias("at"), place("source_size", "source").alias("own"), F.lit(None).cast("boolean").alias("ok"))
+    state = stored(state, "merge-pairs")
+    while not state.where("ok is null").isEmpty():
+        first = lambda on: F.min(F.when(on, F.col("at")))
+        taken = stored(state.groupBy("source").agg(first(F.col("ok")).alias("taken"), first(F.col("ok").isNull()).alias("open")).where("taken is not null or open is not null"), "merge-sources")
+        took = state.groupBy("target").agg(F.bool_or("ok").alias("took"), F.bool_or(F.col("ok").isNull()).alias("turn_open")).where("took or turn_open")
+        of = lambda name: taken.select(F.col("source").alias(name), F.col("taken").alias(f"{name}_taken"), F.col("open").alias(f"{name}_open"))
+        seen = state.join(of("target"), "target", "left").join(of("source"), "source", "left").join(took.select(F.col("target").alias("source"), "took", "turn_open"), "source", "left")
+        before = lambda c: F.coalesce(F.col(c) < F.col("at"), F.lit(False))
+        had_turn = F.col("own") < F.col("at")
+        no = before("target_taken") | before("source_taken") | (had_turn & F.coalesce("took", F.lit(False)))
+        wait = before("target_open") | before("source_open") | (had_turn & F.coalesce("turn_open", F.lit(False)))
+        ok = F.when(F.col("ok").isNotNull(), F.col("ok")).when(no, False).when(~wait, True)
+        state = stored(seen.select("target", "source", "at", "own", ok.alias("ok")), "merge-pairs")
+    return state.where("ok").select("source", "target")
+
+
+def merged(partition: DataFrame, found: DataFrame) -> DataFrame:
+    """The partition after one pass of strict merges of found, merge_candidates() or probed_merges(); `merged` marks the members that changed cluster."""
+    to = settled_merges(found)
     return partition.join(to, F.col("rep") == F.col("source"), "left").select("node_id", F.coalesce("target", "rep").alias("rep"), F.col("target").isNotNull().alias("merged"))
 
 
@@ -146,7 +143,7 @@ def violations(partition: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def member_pairs(partition: DataFrame) -> DataFrame:
-    """(u, v): all pairs of members of one cluster, for the greedy method's exact scores."""
+    """(u, v): all pairs of members of one cluster, for the greedy method's exact scores, each of which is kept."""
     a = partition.select(F.col("node_id").alias("u"), "rep")
     return a.join(partition.select(F.col("node_id").alias("v"), F.col("rep").alias("r")), (F.col("rep") == F.col("r")) & (F.col("u") < F.col("v"))).select("u", "v")
 
@@ -161,12 +158,23 @@ class Progress:
     converged: bool = False
 
 
-def converge(partition: DataFrame, edges: DataFrame, nodes: DataFrame, config: Config) -> tuple[DataFrame, Progress]:
-    """Reassigns, re-represents, merges and checks until nothing changes, a state comes again, the cap is met, or a check fails."""
-    greedy = config.method == "greedy"
-    graph = stored(both_ways(edges, config), "graph")
-    # the greedy method scores all pairs within clusters, whichever seeds retrieve
-    within = lambda of: stored(both_ways(score_edges(member_pairs(of), nodes, config).unionByName(edges).distinct(), config), "graph")
+def beside_representatives(pairs: DataFrame, partition: DataFrame) -> DataFrame:
+    """The candidates of a member and a representative, and each member with its own."""
+    marked = partition.select("node_id", (F.col("node_id") == F.col("rep")).alias("is_rep"))
+    side = lambda name: marked.select(F.col("node_id").alias(name), F.col("is_rep").alias(f"{name}_rep"))
+    met = pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v").where("u_rep != v_rep").select("u", "v")
+    return met.unionByName(partition.where("node_id != rep").select(F.col("node_id").alias("u"), F.col("rep").alias("v")))
+
+
+def converge(partition: DataFrame, edges: DataFrame, nodes: DataFrame, config: Config, scores: PairScores | None = None) -> tuple[DataFrame, Progress]:
+    """Reassigns, re-represents, merges and checks until nothing changes, a state comes again, the cap is met, or a check fails.
+
+    With scores (the greedy method) `edges` are candidate pairs without scores: those of members and representatives
+    are scored, then all pairs within clusters, whichever seeds retrieve; each pair once in all iterations.
+    """
+    greedy = scores is not None
+    graph = None if greedy else stored(both_ways(edges, config), "graph")
+    within = lambda of: stored(both_ways(scores.eligible(member_pairs(of)), config), "graph")
     state, seen, progress = stored(partition.select("node_id", "rep"), "partition"), set(), Progress()
     while config.iterations is None or progress.iterations < config.iterations:
         mark = state.agg(F.sum(F.xxhash64("node_id", "rep").cast("decimal(38,0)"))).first()[0]
@@ -174,6 +182,8 @@ def converge(partition: DataFrame, edges: DataFrame, nodes: DataFrame, config: C
             break
         seen.add(mark)
         progress.iterations += 1
+        if greedy:
+            graph = stored(both_ways(scores.eligible(beside_representatives(edges, state)), config), "graph")
         step = stored(reassigned(state, graph, config.margin_q, greedy), "reassigned")
         moves = step.where("moved").count()
         if greedy:
@@ -183,7 +193,7 @@ def converge(partition: DataFrame, edges: DataFrame, nodes: DataFrame, config: C
         merges = 0
         if config.merge:
             now = step.select("node_id", "rep")
-            step = stored(merged(now, probed_merges(now, nodes, config) if greedy else merge_candidates(now, graph)), "after-merge")
+            step = stored(merged(now, probed_merges(now, nodes, config, scores) if greedy else merge_candidates(now, graph)), "after-merge")
             merges = step.where("merged").count()
             if merges:
                 graph = within(step) if greedy else graph

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifloom.functions.alphabet import ALPHABET, dimer_similarity, half_score, residue_similarities, similarity
 from motifloom.functions.scores import terminal_similarity
-from motifloom.operators import candidates, cover, edges, metrics, motifs, nodes, pools, refine, selection
+from motifloom.operators import candidates, cover, edges, ends, greedy, metrics, motifs, nodes, pools, refine, selection
 from motifloom.operators.tables import ranked, stored
 from motifloom.plans import cluster as runs
 from motifloom.plans.config import Config
@@ -85,6 +86,10 @@ def _kmer(a: str, b: str) -> str:
     return f"(({end(0)} + {end(3)} + 1) // 2)"
 
 
+def _end(a: str, b: str, at: int) -> str:
+    return f"least(1000, greatest(0, {' + '.join(_sim(f'{a}.t{k}', f'{b}.t{k}') for k in range(at, at + 3))}) // 3)"
+
+
 def _ends(name: str, at: int, pairs: tuple, threshold: int) -> str:
     """Of all pairs of one end's residues that occur, how many pairs of distinct dimers are similar."""
     t = [f"t{at + k}" for k in range(3)]
@@ -293,6 +298,35 @@ def cover_kmer_degree(spark: SparkSession, d: str) -> DataFrame:
     return cover.kmer_degree(known, found, runs.survivors(pair_table(known), known, KMER))
 
 
+def _greedy_cover(spark: SparkSession, d: str, **settings: str) -> tuple[DataFrame, greedy.PairScores, DataFrame]:
+    config = Config(**(asdict(KMER) | {"method": "greedy"} | settings))
+    known = node_table(spark, d)
+    pairs, scores = stored(pair_table(known), "pairs"), greedy.PairScores.of(known, config)
+    return runs.greedy_cover(known, pairs, scores, config), scores, pairs
+
+
+@query()
+def cover_greedy(spark: SparkSession, d: str) -> DataFrame:
+    """The cover in the order of candidates' counts, scored on demand."""
+    return _greedy_cover(spark, d)[0]
+
+
+@query()
+def cover_lazy_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The cover by coverage, scored under bounds."""
+    return _greedy_cover(spark, d, selection="lazy_exact")[0]
+
+
+@query()
+def pairs_scored(spark: SparkSession, d: str) -> DataFrame:
+    """Of the candidate pairs, how many each greedy selection scores before its first partition is there."""
+    rows = []
+    for selection_ in ("kmer_degree", "lazy_exact"):
+        _, scores, pairs = _greedy_cover(spark, d, selection=selection_)
+        rows.append(pairs.agg(F.count("*").alias("candidates")).select(F.lit(selection_).alias("selection"), "candidates", F.lit(scores.scored).cast("long").alias("scored")))
+    return rows[0].unionByName(rows[1])
+
+
 @query()
 def reassignment(spark: SparkSession, d: str) -> DataFrame:
     known, found = _graph(spark, d)
@@ -329,6 +363,18 @@ def clusters_tsv(spark: SparkSession, d: str) -> DataFrame:
     return runs.cluster_rows(records, result, KMER)
 
 
+def _greedy_run(selection_: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        records = peptides(spark, d).select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("header"), "sequence")
+        config = Config(**(asdict(KMER) | {"method": "greedy", "selection": selection_}))
+        return runs.cluster_rows(records, runs.cluster(records, config), config)
+
+    return run
+
+
+_queries["clusters_greedy"], _queries["clusters_lazy_exact"] = _greedy_run("kmer_degree"), _greedy_run("lazy_exact")
+
+
 @query()
 def cluster_summary(spark: SparkSession, d: str) -> DataFrame:
     return runs.cluster_summary(*_run(spark, d))
@@ -488,16 +534,30 @@ def majority_relabel(spark: SparkSession, d: str) -> DataFrame:
     return metrics.majority_relabelled(_cells(spark, d))
 
 
-@query(PAIRS + f""", t AS (SELECT u.node_id AS u, v.node_id AS v FROM nodes u JOIN nodes v ON u.node_id < v.node_id AND u.t0 = v.t0 AND u.t5 = v.t5, c WHERE {_kmer('u', 'v')} >= {TERMINAL_AT}),
+#: What the measured search must find: pairs by the terminal similarity alone, whichever seeds they have.
+EXHAUSTIVE = Config(mode="separate_kmer_anchor", kmer_threshold=TERMINAL_AT / 1000, anchor_threshold=0.0, seed=SEED, seed_threshold=SEED_AT)
+
+
+@query(PAIRS + f""", k AS (SELECT t0 * 400 + t1 * 20 + t2 AS f, t3 * 400 + t4 * 20 + t5 AS e, any_value({{t0: t0, t1: t1, t2: t2, t3: t3, t4: t4, t5: t5}}) AS n, list(node_id) AS ids FROM nodes GROUP BY ALL),
+f AS (SELECT x.f AS x, y.f AS y, {_end('x.n', 'y.n', 0)} AS score FROM (SELECT f, any_value(n) AS n FROM k GROUP BY f) x, (SELECT f, any_value(n) AS n FROM k GROUP BY f) y, c),
+near AS (SELECT a.ids AS us, b.ids AS vs FROM k a JOIN f ON f.x = a.f JOIN k b ON b.f = f.y, c WHERE f.score >= {2 * TERMINAL_AT - 1001} AND (f.score + {_end('a.n', 'b.n', 3)} + 1) // 2 >= {TERMINAL_AT}),
+t AS (SELECT u, v FROM (SELECT u, unnest(vs) AS v FROM (SELECT unnest(us) AS u, vs FROM near)) WHERE u < v),
 s AS (SELECT u, v FROM pairs), x AS (SELECT count(*) AS shared FROM t JOIN s USING (u, v))
 SELECT (SELECT count(*) FROM t) AS true_pairs, (SELECT count(*) FROM s) AS scored_pairs, shared AS shared_pairs, round(shared / (SELECT count(*) FROM t), 9) AS recall, round(shared / (SELECT count(*) FROM s), 9) AS precision FROM x""")
 def search_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """The candidate search against similar pairs that share their first and last residue."""
+    """The candidate search against all pairs of similar ends, which no seed chose."""
+    known = node_table(spark, d)
+    return metrics.search_quality(ends.possible_pairs(known, EXHAUSTIVE), pair_table(known)).select("true_pairs", "scored_pairs", "shared_pairs", *rounded("recall", "precision", to=9))
+
+
+@query()
+def exhaustive_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Of all eligible pairs of the whole table, how many the seeds of the pair queries and the default seeds retrieve."""
     known = node_table(spark, d)
-    a = known.select(F.col("node_id").alias("u"), F.col("t").alias("x"), F.get("t", F.lit(0)).alias("f"), F.get("t", F.lit(5)).alias("l"))
-    b = known.select(F.col("node_id").alias("v"), F.col("t").alias("y"), F.get("t", F.lit(0)).alias("f"), F.get("t", F.lit(5)).alias("l"))
-    true = a.join(b, ["f", "l"]).where("u < v").where(terminal_similarity(F.col("x"), F.col("y")) >= TERMINAL_AT).select("u", "v")
-    return metrics.search_quality(true, pair_table(known)).select("true_pairs", "scored_pairs", "shared_pairs", *rounded("recall", "precision", to=9))
+    true = stored(ends.all_edges(known, KMER).select("u", "v"), "all-edges")
+    found = [(seed, at, candidates.hits(known.select("node_id", "t"), seed, at).distinct()) for seed, at in ((SEED, SEED_AT), ("all_column_pairs", 0.40))]
+    rows = [true.join(f, ["u", "v"], "left_semi").agg(F.count("*").alias("found")).select(F.lit(seed).alias("seed"), F.lit(at).alias("threshold"), "found") for seed, at, f in found]
+    return rows[0].unionByName(rows[1]).crossJoin(true.agg(F.count("*").alias("eligible"))).withColumn("recall", F.round(F.col("found") / F.col("eligible"), 9))  # one row
 
 
 @query(WITH + f""", split AS (SELECT sequence, bool_or(lang = 'en') AS train, bool_or(lang != 'en') AS test FROM rec GROUP BY sequence), x AS (SELECT n.*, train, test FROM nodes n JOIN split USING (sequence)),
@@ -506,7 +566,7 @@ SELECT sequence, max(k)::INT AS max, round(quantile_cont(k, 0.99), 6) AS quantil
 def test_train_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Of each sequence of other languages, how similar the English ones are."""
     split = stored(good(spark, d).select("sequence", (F.col("lang") == "en").alias("en")).distinct(), "split")
-    met = runs.test_train_similarity(split.where("not en"), split.where("en"))
+    met = ends.similarity_histogram(split.where("not en"), split.where("en"))
     q = F.expr("percentile(similarity, array(0.99D, 0.98D, 0.97D, 0.5D), n)")
     out = met.groupBy("sequence").agg(F.max("similarity").alias("max"), q.alias("q"))
     return out.select("sequence", "max", *[F.round(F.get("q", F.lit(i)), 6).alias(c) for i, c in enumerate(("quantile99", "quantile98", "quantile97", "median"))])

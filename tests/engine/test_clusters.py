@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motifloom.functions.alphabet import ALPHABET, half_away, residue_similarities
-from motifloom.operators import candidates, cover, edges, nodes, refine
+from motifloom.operators import candidates, cover, edges, greedy, nodes, refine
 from motifloom.operators.components import components
 from motifloom.plans import cluster as runs
 from motifloom.plans.config import Config
@@ -15,6 +15,11 @@ from motifloom.sources import records as sources
 rng = random.Random(3)
 
 
+def all_pairs(known):
+    ids = known.select(F.col("node_id").alias("u"))
+    return ids.crossJoin(ids.withColumnRenamed("u", "v")).where("u < v")
+
+
 def random_graph(n, p):
     links = [(u, v, rng.randint(0, 3)) for u in range(n) for v in range(u + 1, n) if rng.random() < p]
     return links, [rng.randint(1, 3) for _ in range(n)]
@@ -46,7 +51,8 @@ def test_covers_match_sequential_ones(spark, p):
         for y in [top, *(near[top].keys() & free)]:
             want[y] = top
         free -= {y for y, r in want.items() if r == top}
-    assert {r.node_id: r.rep for r in cover.coverage(known, found).collect()} == want
+    for small in (0, 12, 10_000):
+        assert {r.node_id: r.rep for r in cover.coverage(known, found, small).collect()} == want
     order = sorted(range(n), key=lambda i: f"{i:08d}".translate(str.maketrans("0123456789", ALPHABET[:10])))
     want = {}
     for x in order:
@@ -56,6 +62,7 @@ def test_covers_match_sequential_ones(spark, p):
                 want.setdefault(y, x)
     got = cover.intrinsic(known, found)
     assert {r.node_id: r.rep for r in got.collect()} == want
+    assert {r.node_id: r.rep for r in cover.ordered(known, found, F.length("sequence").desc(), F.col("sequence"), small=0).collect()} == want
     assert refine.violations(got, found).count() == 0
 
 
@@ -137,7 +144,7 @@ def test_greedy_merges_probe_all_members(spark):
             sequences.add("".join(x))
     known = nodes.features(nodes.load(spark.createDataFrame([(s,) for s in sorted(sequences)], "sequence string"))).persist()
     n, both = known.count(), lambda df: {p for r in df.select("u", "v").collect() for p in ((r.u, r.v), (r.v, r.u))}
-    fit, seeds = both(edges.edges(candidates.all_pairs(known), known, config)), both(candidates.candidates(known, config.seed, config.seed_threshold))
+    fit, seeds = both(edges.edges(all_pairs(known), known, config)), both(candidates.candidates(known, config.seed, config.seed_threshold))
     families = {}
     for x in range(n):  # each joins the first cluster whose representative it fits; every third founds its own
         families.setdefault(next((r for r in sorted(families) if (r, x) in fit and x % 3), x), []).append(x)
@@ -149,7 +156,7 @@ def test_greedy_merges_probe_all_members(spark):
         to, unseen = merged_in_order(members, fit, seeds)
         assert to and (members is families or unseen)
         part = spark.createDataFrame([(x, r) for r, held in members.items() for x in held], "node_id long, rep long")
-        got = {r.node_id: r.rep for r in refine.merged(part, refine.probed_merges(part, known, config)).collect()}
+        got = {r.node_id: r.rep for r in refine.merged(part, refine.probed_merges(part, known, config, greedy.PairScores.of(known, config))).collect()}
         assert got == {x: to.get(r, r) for r, held in members.items() for x in held}
     known.unpersist()
 
