@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
-from motifloom.functions.alphabet import SIZE, similarity
-from motifloom.operators.edges import edges, gate
-from motifloom.operators.nodes import terminal_codes
+from motifloom.functions.alphabet import SIZE, residue_similarities
+from motifloom.operators.nodes import COLUMN_PAIRS, terminal_codes
 from motifloom.operators.tables import stored
-from motifloom.plans.config import Config
 
 #: Codes of three residues; any table of distinct ends is this long at most.
 ENDS = SIZE**3
@@ -21,26 +24,64 @@ def end_code(t: Column, back: bool) -> Column:
     return ((a * SIZE + b) * SIZE + c).cast("int")
 
 
-def _residue(end: Column, k: int) -> Column:
-    return F.floor(end / SIZE ** (2 - k)).cast("int") % SIZE
+def _residues(end: np.ndarray) -> list[np.ndarray]:
+    return [end // SIZE**2, end // SIZE % SIZE, end % SIZE]
+
+
+_TABLE = np.array(residue_similarities(), np.int16)
 
 
-def end_similarity(x: Column, y: Column) -> Column:
-    """The similarity of two ends in thousandths: the mean of their residues', not under zero, not over 1000."""
-    total = similarity(_residue(x, 0), _residue(y, 0)) + similarity(_residue(x, 1), _residue(y, 1)) + similarity(_residue(x, 2), _residue(y, 2))
-    return F.least(F.lit(1000), F.floor(F.greatest(F.lit(0), total) / 3).cast("int"))
+def similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The similarity of ends in thousandths: the mean of their residues', not under zero, not over 1000."""
+    total = sum(_TABLE[a * SIZE + b].astype(np.int32) for a, b in zip(_residues(x), _residues(y), strict=True))
+    return np.minimum(1000, np.maximum(0, total) // 3)
 
 
-def closest_residues(x: Column, y: Column) -> Column:
+def closest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The largest similarity of a residue of one end and one of the other."""
-    return F.greatest(*[similarity(_residue(x, i), _residue(y, j)) for i in range(3) for j in range(3)])
+    return np.max([_TABLE[a * SIZE + b] for a in _residues(x) for b in _residues(y)], axis=0).astype(np.int32)
+
+
+def seeded(seed: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of ends: the largest seed score of a dimer of one and one of the other, in thousandths."""
+
+    def of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        xs, ys, best = _residues(x), _residues(y), np.full(np.broadcast(x, y).shape, -4000, np.int32)
+        pairs = COLUMN_PAIRS[seed]
+        alike = {(i, j): _TABLE[xs[i] * SIZE + ys[j]].astype(np.int32) for i in range(3) for j in range(3)}
+        for p in pairs:
+            for q in pairs:
+                np.maximum(best, alike[p[0], q[0]] + alike[p[1], q[1]], out=best)
+        return np.where(best >= 0, (best + 1) // 2, -((1 - best) // 2))
+
+    return of
+
+
+def scored(of: Callable[[np.ndarray, np.ndarray], np.ndarray], x: Column, y: Column) -> Column:
+    """A function of ends over two columns, in Arrow batches."""
 
+    @F.pandas_udf(IntegerType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(of(a.to_numpy(np.int64), b.to_numpy(np.int64)).astype(np.int32))
 
-def end_scores(xs: DataFrame, ys: DataFrame, *wanted: Column) -> DataFrame:
-    """(x, y, ...): every end of xs(x) with every end of ys(y), and what is wanted of both; 64,000,000 rows at most, whatever the inputs."""
-    wide = xs.select("x").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(ENDS - 1))))
-    held = stored(ys.select(F.col("y").cast("int").alias("y")).distinct(), "ends")  # 8,000 rows at most
-    return wide.join(F.broadcast(held), "y").select("x", "y", *wanted)
+    return run(x, y)
+
+
+def end_scores(xs: DataFrame, ys: DataFrame, least: dict[str, int], **of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(x, y, and a score each name in `of`): pairs of ends of xs(x) and ys(y) whose scores are all at least `least`; 64,000,000 rows at most, whatever the inputs."""
+    held = np.array([r.y for r in ys.select("y").distinct().collect()], np.int64)  # 8,000 at most
+
+    def run(batches):
+        for df in batches:
+            for x in df["x"]:
+                found = {name: f(np.int64(x), held) for name, f in of.items()}
+                ok = np.ones(len(held), bool)
+                for name, at in least.items():
+                    ok &= found[name] >= at
+                yield pd.DataFrame({"x": np.full(ok.sum(), x, np.int32), "y": held[ok].astype(np.int32)} | {name: v[ok].astype(np.int32) for name, v in found.items()})
+
+    parts = int(xs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return xs.select("x").distinct().repartition(parts, "x").mapInPandas(run, ", ".join(f"{c} int" for c in ("x", "y", *of)))
 
 
 def similarity_histogram(test: DataFrame, train: DataFrame) -> DataFrame:
@@ -53,42 +94,23 @@ def similarity_histogram(test: DataFrame, train: DataFrame) -> DataFrame:
     t = terminal_codes(F.col("sequence"))
     ends = stored(train.groupBy(end_code(t, False).alias("y"), end_code(t, True).alias("train_back")).agg(F.count("*").alias("n")), "train-ends")
     asked = stored(test.select("sequence", end_code(t, False).alias("front"), end_code(t, True).alias("back")).distinct(), "test-ends")
-    fronts = end_scores(asked.select(F.col("front").alias("x")), ends, end_similarity(F.col("x"), F.col("y")).alias("front_score"))
+    fronts = end_scores(asked.select(F.col("front").alias("x")), ends, {}, front_score=similar)
     half = ends.join(fronts, "y").groupBy(F.col("x").alias("front"), "front_score", "train_back").agg(F.sum("n").alias("n"))
     met = asked.select("front", "back").distinct().join(half, "front")
-    mean = F.floor((F.col("front_score") + end_similarity(F.col("back"), F.col("train_back")) + 1) / 2).cast("int")
+    met = met.withColumn("back_score", scored(similar, F.col("back"), F.col("train_back")))
+    mean = F.floor((F.col("front_score") + F.col("back_score") + 1) / 2).cast("int")
     found = met.groupBy("front", "back", mean.alias("similarity")).agg(F.sum("n").alias("n"))
     return asked.join(found, ["front", "back"]).select("sequence", "similarity", "n")
 
 
-def possible_pairs(nodes: DataFrame, config: Config) -> DataFrame:
-    """(u, v), u < v: every pair of nodes that can be an edge; no seed takes part, so nothing eligible is lost.
+def paired(shapes: DataFrame, near: DataFrame, *keep: str) -> DataFrame:
+    """(a, b, ...): pairs of shapes(shape, front, back, ...), each once, also of a shape and itself, whose fronts are in near(x, y, ...); a and b are structs of shape, back and what is kept."""
+    side = lambda of, to: shapes.select(F.col("front").alias(to), F.struct("shape", "back", *keep).alias(of))
+    return near.join(side("a", "x"), "x").join(side("b", "y"), "y").where("a.shape <= b.shape")
 
-    Scores but the alignment depend on the ends and the mask alone, so distinct shapes of these meet, not nodes: through
-    the table of front pairs that leave the thresholds within reach of the best back, then by the back's own score,
-    then by the bound. Where thresholds are low all fronts are within reach, and all pairs of shapes are looked at.
-    """
-    anchor = config.anchor_q if config.separate else 2 * config.primary_q - 1001
-    terminal = 0 if config.aligned else (config.primary_q if config.separate else 2 * config.primary_q - 1001)
-    total, top = 2 * terminal - 1, 2 * anchor  # what both ends' similarities, and closest residues, must add up to
-    front, back = end_code(F.col("t"), False), end_code(F.col("t"), True)
-    shape = F.col("front").cast("long") * ENDS * 64 + F.col("back") * 64 + F.col("mask")
-    shaped = stored(nodes.select("node_id", "mask", "h", front.alias("front"), back.alias("back")).withColumn("shape", shape), "shapes")
-    shapes = stored(shaped.groupBy("shape").agg(*[F.first(c).alias(c) for c in ("front", "back", "h")]), "distinct-shapes")
-    x, y = F.col("x"), F.col("y")
-    near = end_scores(shapes.select(F.col("front").alias("x")), shapes.select(F.col("front").alias("y")), end_similarity(x, y).alias("score"), closest_residues(x, y).alias("close"))
-    near = stored(near.where((F.col("score") >= total - 1000) & ((F.col("close") >= top - 1000) | F.lit(anchor <= 0))), "near-fronts")
-    side = lambda of, to: shapes.select(F.col("front").alias(to), F.struct("shape", "back", "h").alias(of))
-    met = near.join(side("a", "x"), "x").join(side("b", "y"), "y").where("a.shape <= b.shape")
-    met = met.where(F.col("score") + end_similarity(F.col("a.back"), F.col("b.back")) >= total)
-    if anchor > 0:
-        met = met.where(F.col("close") + closest_residues(F.col("a.back"), F.col("b.back")) >= top)
-    kept = stored(met.where(gate(config)).select(F.col("a.shape").alias("sa"), F.col("b.shape").alias("sb")), "shape-pairs")
-    of = lambda s, to: shaped.select(F.col("shape").alias(s), F.col("node_id").alias(to))
-    pairs = kept.join(of("sa", "i"), "sa").join(of("sb", "j"), "sb").where("sa != sb or i < j")
-    return pairs.select(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v"))
 
-
-def all_edges(nodes: DataFrame, config: Config) -> DataFrame:
-    """Every eligible pair with its scores: the exhaustive reference by which searches are measured."""
-    return edges(possible_pairs(nodes, config), nodes, config)
+def of_shapes(pairs: DataFrame, shaped: DataFrame) -> DataFrame:
+    """(u, v), u < v: the pairs of nodes of pairs(sa, sb) of shapes; shaped has node_id and shape."""
+    of = lambda s, to: shaped.select(F.col("shape").alias(s), F.col("node_id").alias(to))
+    met = pairs.join(of("sa", "i"), "sa").join(of("sb", "j"), "sb").where("sa != sb or i < j")
+    return met.select(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v"))

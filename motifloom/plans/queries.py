@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from motifloom.functions.alphabet import ALPHABET, dimer_similarity, half_score, residue_similarities, similarity
 from motifloom.functions.scores import terminal_similarity
-from motifloom.operators import candidates, cover, edges, ends, greedy, metrics, motifs, nodes, pools, refine, selection
+from motifloom.operators import candidates, cover, edges, ends, exhaustive, greedy, metrics, motifs, nodes, pools, refine, selection
 from motifloom.operators.tables import ranked, stored
 from motifloom.plans import cluster as runs
 from motifloom.plans.config import Config
@@ -20,6 +20,7 @@ from motifloom.sources import records as sources
 #: Settings of the queries on pairs: exact for every node, and few enough pairs to list.
 SEED, SEED_AT, TERMINAL_AT = "contiguous", 0.70, 800
 KMER = Config(mode="separate_kmer_anchor", kmer_threshold=0.80, anchor_threshold=0.60, seed=SEED, seed_threshold=SEED_AT)
+DEFAULT = Config(mode="separate_kmer_anchor", kmer_threshold=0.80, anchor_threshold=0.60)  # seeds as they are by default: all column pairs at 0.40
 COMBINED = Config(mode="combined_kmer_anchor", threshold=0.85, seed=SEED, seed_threshold=SEED_AT)
 ALIGNED = Config(mode="separate_aln_anchor", alignment_threshold=0.80, anchor_threshold=0.80, seed=SEED, seed_threshold=SEED_AT)
 FULL = Config(mode="combined_full_anchor", threshold=0.85, seed=SEED, seed_threshold=SEED_AT)
@@ -99,7 +100,8 @@ def _ends(name: str, at: int, pairs: tuple, threshold: int) -> str:
 {name} AS (SELECT p.e AS x, q.e AS y, count(*) AS n FROM {name}0 p, {name}0 q, c WHERE {_half(f'({s})')} >= {threshold} GROUP BY ALL)"""
 
 
-PAIRS = f"""{WITH}, {_ends('fs', 0, nodes.COLUMN_PAIRS[SEED], round(SEED_AT * 1000))}, {_ends('es', 3, nodes.COLUMN_PAIRS[SEED], round(SEED_AT * 1000))},
+def _pairs_sql(seed: str, at: float) -> str:
+    return f"""{WITH}, {_ends('fs', 0, nodes.COLUMN_PAIRS[seed], round(at * 1000))}, {_ends('es', 3, nodes.COLUMN_PAIRS[seed], round(at * 1000))},
 keyed AS (SELECT *, t0 * 400 + t1 * 20 + t2 AS f, t3 * 400 + t4 * 20 + t5 AS e FROM nodes),
 pairs AS (
   SELECT u.node_id AS u, v.node_id AS v, fs.n * es.n AS hits, {_kmer('u', 'v')} AS kmer
@@ -108,6 +110,9 @@ pairs AS (
 """
 
 
+PAIRS = _pairs_sql(SEED, SEED_AT)
+
+
 # ingest and features
 
 
@@ -201,6 +206,18 @@ def candidate_degrees(spark: SparkSession, d: str) -> DataFrame:
     return met.select(F.explode(F.array("u", "v")).alias("node_id"), "hits").groupBy("node_id").agg(F.count("*").alias("candidates"), F.sum("hits").alias("hits"))
 
 
+@query(_pairs_sql("all_column_pairs", 0.40) + "SELECT node_id, count(*) AS candidates, sum(kmer)::BIGINT AS kmer FROM (SELECT u AS node_id, kmer FROM pairs UNION ALL SELECT v, kmer FROM pairs) GROUP BY node_id")
+def candidates_default_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """How many candidates each node has by the default seeds, and how similar they are in all."""
+    known = node_table(spark, d)
+    end = lambda name, to, back: known.select(F.col("node_id").alias(name), ends.end_code(F.col("t"), back).alias(to))
+    side = lambda name, f, b: end(name, f, False).join(end(name, b, True), name)
+    met = candidates.candidates(known).join(side("u", "uf", "ub"), "u").join(side("v", "vf", "vb"), "v")
+    met = met.withColumn("front", ends.scored(ends.similar, F.col("uf"), F.col("vf"))).withColumn("back", ends.scored(ends.similar, F.col("ub"), F.col("vb")))
+    kmer = met.select("u", "v", F.floor((F.col("front") + F.col("back") + 1) / 2).cast("int").alias("kmer"))
+    return kmer.select(F.explode(F.array("u", "v")).alias("node_id"), "kmer").groupBy("node_id").agg(F.count("*").alias("candidates"), F.sum("kmer").alias("kmer"))
+
+
 @query(PAIRS + f", x AS (SELECT kmer >= {TERMINAL_AT} AS k FROM pairs) SELECT count(*) AS retrieved, count(*) FILTER (k) AS kept FROM x")
 def candidate_retention(spark: SparkSession, d: str) -> DataFrame:
     known = node_table(spark, d)
@@ -239,13 +256,13 @@ def anchor_upper_bound(spark: SparkSession, d: str) -> DataFrame:
 def _edges(config: Config) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         known = node_table(spark, d)
-        return edges.edges(pair_table(known), known, config)
+        return edges.edges(candidates.candidates(known, config.seed, config.seed_threshold), known, config)
 
     return run
 
 
 # the assignment and the alignment have no SQL on whole tables; tests hold them against brute force
-for _name, _config in (("edges_separate_kmer", KMER), ("edges_combined_kmer", COMBINED), ("edges_separate_aln", ALIGNED), ("edges_combined_full", FULL)):
+for _name, _config in (("edges_separate_kmer", KMER), ("edges_default_seeds", DEFAULT), ("edges_combined_kmer", COMBINED), ("edges_separate_aln", ALIGNED), ("edges_combined_full", FULL)):
     _queries[_name] = _edges(_config)
 
 
@@ -363,6 +380,12 @@ def clusters_tsv(spark: SparkSession, d: str) -> DataFrame:
     return runs.cluster_rows(records, result, KMER)
 
 
+@query()
+def clusters_default_seeds(spark: SparkSession, d: str) -> DataFrame:
+    records = peptides(spark, d).select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("header"), "sequence")
+    return runs.cluster_rows(records, runs.cluster(records, DEFAULT), DEFAULT)
+
+
 def _greedy_run(selection_: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         records = peptides(spark, d).select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("header"), "sequence")
@@ -547,14 +570,14 @@ SELECT (SELECT count(*) FROM t) AS true_pairs, (SELECT count(*) FROM s) AS score
 def search_metrics(spark: SparkSession, d: str) -> DataFrame:
     """The candidate search against all pairs of similar ends, which no seed chose."""
     known = node_table(spark, d)
-    return metrics.search_quality(ends.possible_pairs(known, EXHAUSTIVE), pair_table(known)).select("true_pairs", "scored_pairs", "shared_pairs", *rounded("recall", "precision", to=9))
+    return metrics.search_quality(exhaustive.possible_pairs(known, EXHAUSTIVE), pair_table(known)).select("true_pairs", "scored_pairs", "shared_pairs", *rounded("recall", "precision", to=9))
 
 
 @query()
 def exhaustive_recall(spark: SparkSession, d: str) -> DataFrame:
     """Of all eligible pairs of the whole table, how many the seeds of the pair queries and the default seeds retrieve."""
     known = node_table(spark, d)
-    true = stored(ends.all_edges(known, KMER).select("u", "v"), "all-edges")
+    true = stored(exhaustive.all_edges(known, KMER).select("u", "v"), "all-edges")
     found = [(seed, at, candidates.hits(known.select("node_id", "t"), seed, at).distinct()) for seed, at in ((SEED, SEED_AT), ("all_column_pairs", 0.40))]
     rows = [true.join(f, ["u", "v"], "left_semi").agg(F.count("*").alias("found")).select(F.lit(seed).alias("seed"), F.lit(at).alias("threshold"), "found") for seed, at, f in found]
     return rows[0].unionByName(rows[1]).crossJoin(true.agg(F.count("*").alias("eligible"))).withColumn("recall", F.round(F.col("found") / F.col("eligible"), 9))  # one row

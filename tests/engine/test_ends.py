@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 from motifloom.functions.alphabet import ALPHABET, residue_similarities
-from motifloom.operators import edges, ends, nodes
+from motifloom.operators import candidates, edges, ends, exhaustive, nodes
 from motifloom.plans import queries
 from motifloom.plans.config import Config
 from tests.engine.test_clusters import all_pairs
@@ -30,10 +30,17 @@ def test_all_edges_are_those_of_all_pairs(spark, config):
     known = nodes.features(nodes.load(spark.createDataFrame([(s,) for s in SEQUENCES], "sequence string")))
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     want = rows(edges.edges(all_pairs(known), known, config))
-    assert want and rows(ends.all_edges(known, config)) == want
-    pairs = ends.possible_pairs(known, config)
+    assert want and rows(exhaustive.all_edges(known, config)) == want
+    pairs = exhaustive.possible_pairs(known, config)
     assert pairs.count() == pairs.distinct().count() < len(SEQUENCES) * (len(SEQUENCES) - 1) / 2
-    assert ends.possible_pairs(known.where("false"), config).count() == 0
+    assert exhaustive.possible_pairs(known.where("false"), config).count() == 0
+
+
+@pytest.mark.parametrize(("seed", "at"), [("contiguous", 0.7), ("all_column_pairs", 0.4), ("all_column_pairs", 0.0), ("contiguous", 1.0)])
+def test_candidates_are_the_distinct_hits(spark, seed, at):
+    known = nodes.features(nodes.load(spark.createDataFrame([(s,) for s in SEQUENCES], "sequence string")))
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(candidates.candidates(known, seed, at)) == rows(candidates.hits(known, seed, at).distinct())
 
 
 def test_histogram_counts_all_training_rows(spark):
