@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from motifloom.operators.motifs import log_gamma
+
 
 def exclusive_members(pairs: DataFrame, pools: DataFrame) -> DataFrame:
     """(pool, member, label): members of pairs(member, label) that have exactly one of a pool's labels, pools(pool, label)."""
@@ -83,6 +85,69 @@ def spearman(long: DataFrame, by: list[str], x: str, y: str, least: int = 8, val
     return found.where((F.col("n") >= least) & (F.col("_v") >= values)).drop("_v")
 
 
+def beta_share(x: Column, a: Column, b: Column) -> Column:
+    """The regularised incomplete beta function I_x(a, b), for x from 0 to 1, by its continued fraction.
+
+    The fraction is taken from the side on which it settles fast, with a number of steps that grows with the root of a + b.
+    """
+    tiny = F.lit(1e-300)
+    safe = lambda v: F.when(F.abs(v) < tiny, tiny).otherwise(v)
+
+    def fraction(x: Column, a: Column, b: Column) -> Column:
+        def step(acc: Column, m: Column) -> Column:
+            even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            c1, d1 = safe(1 + even / acc["c"]), 1 / safe(1 + even * acc["d"])
+            c2, d2 = safe(1 + odd / c1), 1 / safe(1 + odd * d1)
+            return F.struct(c2.alias("c"), d2.alias("d"), (acc["h"] * c1 * d1 * c2 * d2).alias("h"))
+
+        d = 1 / safe(1 - (a + b) * x / (a + 1))
+        start = F.struct(F.lit(1.0).alias("c"), d.alias("d"), d.alias("h"))
+        return F.aggregate(F.sequence(F.lit(1), (60 + 4 * F.sqrt(a + b)).cast("int")), start, step)["h"]
+
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log(1 - x))
+    near = x < (a + 1) / (a + b + 2)
+    inside = F.when(near, front * fraction(x, a, b) / a).otherwise(1 - front * fraction(1 - x, b, a) / b)
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(inside)
+
+
+def correlation_p(rho: Column, n: Column) -> Column:
+    """The two-sided probability of a correlation at least as far from 0 among n pairs without any, by the t distribution of n - 2 degrees of freedom; null for under 3 pairs."""
+    freedom = F.greatest(n - 2, F.lit(1)).cast("double")
+    return F.when(n > 2, beta_share(F.greatest(F.lit(0.0), 1 - rho * rho), freedom / 2, F.lit(0.5)))
+
+
+def rank_correlations(long: DataFrame, by: list[str], x: str, y: str, least: int = 8, values: int = 3) -> DataFrame:
+    """(by, n, rho, p, q): spearman() with its probabilities, adjusted as one family; groups whose values do not vary have none."""
+    found = spearman(long, by, x, y, least, values).where(F.col("rho").isNotNull())
+    return benjamini_hochberg(found.withColumn("p", correlation_p(F.col("rho"), F.col("n"))).withColumn("_family", F.lit(0)), "p", "_family").drop("_family")
+
+
+def stage_contribution(grid: DataFrame, arms: dict[str, Column], setting: list[str], metric: str, metrics: list[str], split: str = "split", inner: str = "inner", outer: str = "test") -> DataFrame:
+    """(arm, setting..., rows, metrics...): of each arm, a condition on the grid, the setting with the best mean metric on inner rows, read on the outer ones.
+
+    Each arm chooses its own setting, so that none is judged by what suits another. Ties go to the smaller setting, nulls first;
+    a null in a setting is a value of its own. Arms without inner rows have no row, arms without outer rows have null means.
+    """
+    held = F.filter(F.array(*[F.when(F.coalesce(on, F.lit(False)), F.lit(name)) for name, on in arms.items()]), lambda a: a.isNotNull())
+    means = grid.where(F.col(split) == inner).withColumn("arm", F.explode(held)).groupBy("arm", *setting).agg(F.avg(metric).alias("_mean"))
+    best = means.withColumn("_n", F.row_number().over(W.partitionBy("arm").orderBy(F.desc("_mean"), *setting))).where("_n = 1")
+    chosen = best.select("arm", *[F.col(c).alias(f"_{c}") for c in setting])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in setting]
+    read = chosen.join(grid.where(F.col(split) == outer), same, "left")
+    own = [F.col(f"_{c}").alias(c) for c in setting]
+    return read.groupBy("arm", *[f"_{c}" for c in setting]).agg(F.count(split).alias("rows"), *[F.avg(m).alias(m) for m in metrics]).select("arm", *own, "rows", *metrics)
+
+
+def stage_gains(stages: DataFrame, metrics: list[str], gains: dict[str, tuple[str, str]]) -> DataFrame:
+    """(gain, metric, value): of each named pair of arms the first's metric less the second's; null where an arm has none."""
+    long = stages.select("arm", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("x")).select("arm", "x.metric", "x.value")
+    asked = F.explode(F.array(*[F.struct(F.lit(g).alias("gain"), F.lit(a).alias("a"), F.lit(b).alias("b")) for g, (a, b) in gains.items()])).alias("g")
+    named = long.select("metric").distinct().select("metric", asked).select("metric", "g.gain", "g.a", "g.b")
+    side = lambda c: long.select(F.col("arm").alias(c), "metric", F.col("value").alias(f"v{c}"))
+    return named.join(side("a"), ["a", "metric"], "left").join(side("b"), ["b", "metric"], "left").select("gain", "metric", (F.col("va") - F.col("vb")).alias("value"))
+
+
 def benjamini_hochberg(tests: DataFrame, p: str, *by: str) -> DataFrame:
     """tests with `q`: p adjusted for the number of tests of its family `by`, which are few."""
     order = W.partitionBy(*by).orderBy(F.col(p))

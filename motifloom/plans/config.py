@@ -30,8 +30,10 @@ class Config:
     merge: bool = True
     min_cluster_size: int = 2
     prefilter: str = "disable"
+    full_after_prefilter: bool = False
     merge_motifs: bool = False
     motif_count: int | None = None
+    motif_merge: bool = True
     motif_prior: float = 10.0
     motif_threshold: float = 25.0
     em: bool = True
@@ -40,7 +42,7 @@ class Config:
     em_tolerance: float = 1e-6
 
     def __post_init__(self) -> None:
-        one_of = (("mode", MODES), ("seed", ("contiguous", "all_column_pairs")), ("method", ("graph", "greedy")), ("order", ("coverage", "intrinsic")), ("selection", ("kmer_degree", "lazy_exact")), ("prefilter", ("auto", "force", "disable")))
+        one_of = (("mode", MODES), ("seed", ("contiguous", "all_column_pairs")), ("method", ("graph", "greedy")), ("order", ("coverage", "intrinsic")), ("selection", ("kmer_degree", "lazy_exact")), ("prefilter", ("force", "disable")))
         for name, allowed in one_of:
             if getattr(self, name) not in allowed:
                 raise ValueError(f"{name} must be one of {', '.join(allowed)}")
@@ -52,15 +54,25 @@ class Config:
             raise ValueError("gap scores must be 0 or less")
         if not 1 <= self.terminal_matches <= 3:
             raise ValueError("terminal_matches must be 1, 2 or 3")
-        for name in ("motif_prior", "em_prior", "em_tolerance"):
+        for name in ("motif_prior", "em_prior"):
             if not 0 < getattr(self, name) < float("inf"):
                 raise ValueError(f"{name} must be positive and finite")
+        if not 0 <= self.em_tolerance < float("inf"):
+            raise ValueError("em_tolerance can't be negative or infinite")
+        if not abs(self.motif_threshold) < float("inf"):
+            raise ValueError("motif_threshold must be finite")
+        if self.em_iterations < 1:
+            raise ValueError("em_iterations is 1 at least")
+        if not self.motif_merge and (self.motif_count is not None or not self.em):
+            raise ValueError("without motif_merge every cluster starts a motif for EM: motif_count does not go with it, and without EM nothing would be done")
+        if self.full_after_prefilter and self.prefilter != "force":
+            raise ValueError("full_after_prefilter needs prefilter")
         if self.motif_count is not None and (not self.merge_motifs or self.motif_count < 1):
             raise ValueError("motif_count needs merge_motifs, and is 1 at least")
         if self.motif_count is not None and not self.em:
             raise ValueError("motif_count needs EM, which places the nodes of other clusters")
         if not self.merge_motifs:  # settings that would do nothing are refused
-            asked = [n for n in ("motif_prior", "motif_threshold", "em", "em_prior", "em_iterations", "em_tolerance") if getattr(self, n) != type(self).__dataclass_fields__[n].default]
+            asked = [n for n in ("motif_merge", "motif_prior", "motif_threshold", "em", "em_prior", "em_iterations", "em_tolerance") if getattr(self, n) != type(self).__dataclass_fields__[n].default]
             if asked:
                 raise ValueError(f"{asked[0]} needs merge_motifs")
         if self.method == "graph" and self.selection != "kmer_degree":

@@ -20,21 +20,26 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     """(header, sequence) of FASTA files, plain or .gz: lines trimmed, blank ones skipped, sequences joined in upper case.
 
     A file of lines without any header is a bare list, one sequence a line. A record begins at a
-    line that starts with '>'; text that only contains one is left alone. A sequence under an empty
-    header fails, an empty header without one is skipped. Records are split by the reader, so a
-    file of any number of records is read in parts if it is not compressed.
+    line that starts with '>', blanks before it aside; text that only contains one is left alone. A sequence under an empty
+    header fails, an empty header without one is skipped. The reader splits files at '>' after a line end, so a
+    file of any number of records is read in parts if it is not compressed; headers after blanks split its blocks again.
     """
-    blocks = spark.read.text(path, lineSep="\n>").select("value", F.input_file_name().alias("file"))
-    first = F.col("value").startswith(">")
-    body = F.when(first, F.expr("substring(value, 2)")).otherwise(F.col("value"))
-    lines = F.filter(F.transform(F.split(body, "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
-    headed = blocks.groupBy("file").agg((F.max(first) | (F.count("*") > 1)).alias("headed"))
-    parsed = blocks.join(headed, "file").select("headed", "value", lines.alias("lines"), F.trim(F.get(F.split(body, "\r?\n"), F.lit(0))).alias("header"))
-    records = parsed.where("headed").select("header", F.upper(F.concat_ws("", F.expr("slice(lines, 2, greatest(size(lines) - 1, 0))"))).alias("sequence"))
+    blocks = spark.read.text(path, lineSep="\n>").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("block"))
+    # a file's first block alone may begin without a header; of all others the reader took the '>'
+    opens = blocks.where("start = 0").groupBy("file").agg(F.min("block").alias("block")).withColumn("first", F.lit(True))
+    text = F.when(F.col("first"), F.col("value")).otherwise(F.concat(F.lit("\n>"), F.col("value")))
+    parts = blocks.join(opens, ["file", "block"], "left").select("file", F.explode(F.split(text, r"(?:^|\n)[ \t\r\f]*(?=>)")).alias("part"))
+    lines = F.filter(F.transform(F.split("part", "\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    cut = parts.select("file", F.col("part").startswith(">").alias("headed"), lines.alias("lines")).where(F.size("lines") > 0)
+    files = cut.groupBy("file").agg(F.max("headed").alias("any"))
+    parsed = cut.join(files, "file")
+    header = F.when(F.col("headed"), F.regexp_replace(F.get("lines", F.lit(0)), r"^>\s*", "")).otherwise("")
+    body = F.concat_ws("", F.when(F.col("headed"), F.expr("slice(lines, 2, greatest(size(lines) - 1, 0))")).otherwise(F.col("lines")))
+    records = parsed.where("any").select(header.alias("header"), F.upper(body).alias("sequence"))
     nameless = (F.col("header") == "") & (F.col("sequence") != "")
     checked = F.when(nameless, F.raise_error(F.lit("a sequence stands before the first header"))).otherwise(F.col("sequence"))
     named = records.where((F.col("header") != "") | (F.col("sequence") != "")).select("header", checked.cast("string").alias("sequence"))
-    bare = parsed.where("not headed").select(F.explode("lines").alias("line")).select(F.col("line").alias("header"), F.upper("line").alias("sequence"))
+    bare = parsed.where("not any").select(F.explode("lines").alias("line")).select(F.col("line").alias("header"), F.upper("line").alias("sequence"))
     return named.unionByName(bare)
 
 

@@ -1,12 +1,13 @@
 """Ingest, candidates, covers, refinement and outputs against sequential versions."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from motifloom.functions.alphabet import ALPHABET, half_away, residue_similarities
-from motifloom.operators import candidates, cover, edges, greedy, nodes, refine
+from motifloom.operators import candidates, cover, edges, greedy, motifs, nodes, partitions, refine
 from motifloom.operators.components import components
 from motifloom.plans import cluster as runs
 from motifloom.plans.config import Config
@@ -210,6 +211,39 @@ def test_whole_run_and_outputs(spark, tmp_path):
     assert runs.cluster(pair, Config(prefilter="force")).partition.count() == 4
 
 
+def test_prefilter_with_the_full_second_pass_is_one_pass(spark, tmp_path):
+    data = spark.createDataFrame([(f"h{i}", s) for i, s in enumerate(SEQUENCES)], "header string, sequence string")
+    plain = Config(mode="separate_kmer_anchor", threshold=0.4)
+    one, two = runs.cluster(data, plain), runs.cluster(data, replace(plain, prefilter="force", full_after_prefilter=True))
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(two.edges) == rows(one.edges) and rows(two.partition) == rows(one.partition) and one.provisional is None
+    part = runs.cluster(data, replace(plain, prefilter="force"))
+    assert {r[:2] for r in rows(part.edges)} <= {r[:2] for r in rows(one.edges)}
+    got = {r.node_id: r for r in partitions.provisional_rows(two.nodes, two.provisional).collect()}
+    cover_ = {r.node_id: r.rep for r in two.provisional.collect()}
+    at = {r: i for i, r in enumerate(sorted(set(cover_.values())))}
+    sequence = {r.node_id: r.sequence for r in two.nodes.collect()}
+    assert len(got) == len(cover_) and any(r.assigned_to_nonsingleton for r in got.values())
+    for n, rep in cover_.items():
+        size = sum(r == rep for r in cover_.values())
+        assert tuple(got[n])[1:2] + tuple(got[n])[3:] == (sequence[n][:3] + sequence[n][-3:], at[rep], rep, size, size > 1)
+    runs.write_compact(two, plain, str(tmp_path / "compact"))
+    assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "compact" / "node_clusters.tsv")).count() == len(cover_)
+
+
+def test_joins_that_cover_and_restriction(spark):
+    part = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6)], "node_id long, rep long")
+    got = lambda *ids: {r.node_id: r.rep for r in partitions.restricted(part, spark.createDataFrame([(i,) for i in ids], "node_id long")).collect()}
+    assert got(2, 3, 3, 5, 6, 9, None) == {2: 2, 3: 2, 5: 5, 6: 6} and got(1, 3) == {1: 1, 3: 1} and got() == {}
+    labels = lambda *rows: spark.createDataFrame(list(rows), "node_id long, label string")
+    met = partitions.covering_join(labels((2, "a"), (2, "b"), (6, "a")), part, "node_id")
+    assert sorted(tuple(r) for r in met.collect()) == [(2, "a", 1), (2, "b", 1), (6, "a", 6)]
+    assert partitions.covering_join(labels(), part, "node_id").count() == 0
+    for row in ((7, "x"), (None, "x")):
+        with pytest.raises(Exception, match="no row for node_id"):
+            partitions.covering_join(labels((1, "a"), row), part, "node_id").collect()
+
+
 def test_node_and_motif_tables(spark, tmp_path):
     data = spark.createDataFrame([(f"h{i}", s) for i, s in enumerate(SEQUENCES[:12])], "header string, sequence string")
     config = Config(merge_motifs=True, motif_count=3, em_iterations=3)
@@ -223,9 +257,13 @@ def test_node_and_motif_tables(spark, tmp_path):
     runs.write_motifs(result, config, str(tmp_path))
     out = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "motifs.tsv")).collect()
     assert {r.sequence for r in out} == set(of) and {r.motif for r in out} == {"1", "2", "3"}
-    for bad in ({"em": False}, {"motif_prior": 2.0}, {"selection": "lazy_exact"}, {"merge_motifs": True, "motif_count": 2, "em": False}):
+    for bad in ({"em": False}, {"prefilter": "auto"}, {"full_after_prefilter": True}, {"merge_motifs": True, "em_iterations": 0}, {"merge_motifs": True, "motif_threshold": float("nan")},
+                {"merge_motifs": True, "motif_merge": False, "em": False}, {"merge_motifs": True, "motif_merge": False, "motif_count": 2}, {"motif_merge": False}, {"merge_motifs": True, "em_tolerance": -1.0}, {"motif_prior": 2.0}, {"selection": "lazy_exact"}, {"merge_motifs": True, "motif_count": 2, "em": False}):
         with pytest.raises(ValueError):
             Config(**bad)
+    assert Config(merge_motifs=True, em_tolerance=0.0).em_tolerance == 0
+    labels, mixture = motifs.build(known, part, Config(merge_motifs=True, motif_merge=False, em_iterations=1))
+    assert len(mixture.mixing) == 6 and labels.count() == 12  # every cluster starts a motif
 
 
 def test_fasta(spark, tmp_path):
@@ -244,6 +282,18 @@ def test_fasta(spark, tmp_path):
         with pytest.raises(Exception, match="invalid sequence"):
             sources.accepted(df, strict=True).collect()
     assert sorted(r.sequence for r in sources.fasta(spark, str(tmp_path / "c.txt")).collect()) == ["CCCPPPDDD", "GALTALKLV"]
+    (tmp_path / "d.fasta").write_text("\n \t>one first\nGALT\n alklv\t\n  >two\r\nCCCPPP\n\tDDD\n>three>x\nB\n \nBB\n  > \n")
+    assert sorted(tuple(r) for r in sources.fasta(spark, str(tmp_path / "d.fasta")).collect()) == want
+    (tmp_path / "e.fasta").write_text("GALTALKLV\n>one\nAAA\n")
+    with pytest.raises(Exception, match="before the first header"):
+        sources.fasta(spark, str(tmp_path / "e.fasta")).collect()
+    many = [(f"h{i}", "ACDEFGHIK" * (1 + i % 3)) for i in range(3000)]
+    (tmp_path / "f.fasta").write_text("".join(f"{' ' * (i % 2)}>{h}\n{s[:5]}\n{s[5:]}\n" for i, (h, s) in enumerate(many)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")  # many parts of one file
+    try:
+        assert sorted(tuple(r) for r in sources.fasta(spark, str(tmp_path / "f.fasta")).collect()) == sorted(many)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_prefilter_pairs_share_values(spark):

@@ -133,6 +133,42 @@ def test_queries_match_sql(spark):
         assert Counter(tuple(plain(v) for v in r) for r in df.collect()) == want, name
 
 
+def test_correlation_probabilities(spark):
+    # tabulated two-sided values of the t distribution: (t, degrees of freedom, p)
+    known = [(12.706, 1, 0.05), (4.303, 2, 0.05), (2.571, 5, 0.05), (4.032, 5, 0.01), (2.228, 10, 0.05), (2.750, 30, 0.01), (1.980, 120, 0.05), (2.617, 120, 0.01), (1.962, 1000, 0.05), (0.677, 100, 0.5)]
+    rows = [(math.copysign(t / math.sqrt(t * t + v), 1 - 2 * (i % 2)), v + 2, p) for i, (t, v, p) in enumerate(known)] + [(0.0, 10, 1.0), (1.0, 10, 0.0), (-1.0, 9, 0.0), (0.3, 2, None), (0.001, 200_000, 0.65473)]
+    for r in spark.createDataFrame(rows, "rho double, n long, want double").withColumn("p", selection.correlation_p(F.col("rho"), F.col("n"))).collect():
+        assert r.p == r.want if r.want is None else r.p == pytest.approx(r.want, rel=2e-3, abs=1e-12), r
+    far = spark.range(1).select(selection.correlation_p(F.lit(0.9), F.lit(102)).alias("p")).first().p
+    assert 0 < far < 1e-30
+    long = spark.createDataFrame([(g, float(x), float(y)) for g in "abc" for x, y in [(rng.randint(0, 20), rng.randint(0, 9)) for _ in range(30)]] + [("d", 1.0, 1.0)] * 9, "g string, x double, y double")
+    got = {r.g: r for r in selection.rank_correlations(long, ["g"], "x", "y").collect()}
+    assert set(got) == {"a", "b", "c"}
+    order = sorted(got.values(), key=lambda r: r.p)
+    assert all(r.q == pytest.approx(min(1, min(s.p * 3 / (k + 1) for k, s in enumerate(order) if k >= i))) for i, r in enumerate(order))
+
+
+def test_stage_contribution_against_loops(spark):
+    grid = [(rng.choice(["inner", "inner", "test"]), a, b, rng.random(), rng.random(), rng.random() < 0.5) for a in (None, 1, 2) for b in ("x", "y") for _ in range(12)]
+    df = spark.createDataFrame(grid, "split string, a int, b string, m double, extra double, em boolean")
+    arms = {"all": F.lit(True), "em": F.col("em"), "x": F.col("b") == "x", "none": F.col("a") > 5}
+    holds = {"all": lambda r: True, "em": lambda r: r[5], "x": lambda r: r[2] == "x"}
+    got = {r.arm: r for r in selection.stage_contribution(df, arms, ["a", "b"], "m", ["m", "extra"]).collect()}
+    assert set(got) == set(holds)
+    for arm, on in holds.items():
+        by = {}
+        for r in grid:
+            if r[0] == "inner" and on(r):
+                by.setdefault((r[1], r[2]), []).append(r[3])
+        best = max(by, key=lambda k: sum(by[k]) / len(by[k]))
+        read = [r for r in grid if r[0] == "test" and (r[1], r[2]) == best]
+        assert (got[arm].a, got[arm].b, got[arm].rows) == (*best, len(read))
+        assert got[arm].extra == (pytest.approx(sum(r[4] for r in read) / len(read)) if read else None)
+    gains = selection.stage_gains(selection.stage_contribution(df, arms, ["a", "b"], "m", ["m", "extra"]), ["m", "extra"], {"em over all": ("em", "all"), "lost": ("all", "none")})
+    value = {(r.gain, r.metric): r.value for r in gains.collect()}
+    assert len(value) == 4 and value["lost", "m"] is None and value["em over all", "m"] == pytest.approx(got["em"].m - got["all"].m)
+
+
 def test_pools_and_matches(spark):
     import itertools
 
