@@ -79,9 +79,10 @@ def average_rank(col: str, *by: str) -> Column:
 
 
 def spearman(long: DataFrame, by: list[str], x: str, y: str, least: int = 8, values: int = 3) -> DataFrame:
-    """(by, n, rho) of each group with enough rows and different x."""
+    """(by, n, rho) of each group with enough rows and different x; rho is null where y does not vary."""
     ranked = long.withColumn("_x", average_rank(x, *by)).withColumn("_y", average_rank(y, *by))
-    found = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_x", "_y").alias("rho"), F.count_distinct(x).alias("_v"))
+    apart = F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y"))  # null where a side does not vary
+    found = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(apart.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), apart))).alias("rho"), F.count_distinct(x).alias("_v"))
     return found.where((F.col("n") >= least) & (F.col("_v") >= values)).drop("_v")
 
 
@@ -126,11 +127,11 @@ def rank_correlations(long: DataFrame, by: list[str], x: str, y: str, least: int
 def stage_contribution(grid: DataFrame, arms: dict[str, Column], setting: list[str], metric: str, metrics: list[str], split: str = "split", inner: str = "inner", outer: str = "test") -> DataFrame:
     """(arm, setting..., rows, metrics...): of each arm, a condition on the grid, the setting with the best mean metric on inner rows, read on the outer ones.
 
-    Each arm chooses its own setting, so that none is judged by what suits another. Ties go to the smaller setting, nulls first;
+    Each arm chooses its own setting, so that none is judged by what suits another. Means are compared to nine places; ties go to the smaller setting, nulls first;
     a null in a setting is a value of its own. Arms without inner rows have no row, arms without outer rows have null means.
     """
     held = F.filter(F.array(*[F.when(F.coalesce(on, F.lit(False)), F.lit(name)) for name, on in arms.items()]), lambda a: a.isNotNull())
-    means = grid.where(F.col(split) == inner).withColumn("arm", F.explode(held)).groupBy("arm", *setting).agg(F.avg(metric).alias("_mean"))
+    means = grid.where(F.col(split) == inner).withColumn("arm", F.explode(held)).groupBy("arm", *setting).agg(F.round(F.avg(metric), 9).alias("_mean"))
     best = means.withColumn("_n", F.row_number().over(W.partitionBy("arm").orderBy(F.desc("_mean"), *setting))).where("_n = 1")
     chosen = best.select("arm", *[F.col(c).alias(f"_{c}") for c in setting])
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in setting]

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import asdict
+from itertools import permutations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from motifloom.functions.alphabet import ALPHABET, dimer_similarity, half_score, residue_similarities, similarity
 from motifloom.functions.scores import terminal_similarity
-from motifloom.operators import candidates, cover, edges, ends, exhaustive, greedy, metrics, motifs, nodes, pools, refine, selection
+from motifloom.operators import candidates, cover, edges, ends, exhaustive, greedy, metrics, motifs, nodes, partitions, pools, refine, selection
 from motifloom.operators.tables import ranked, stored
 from motifloom.plans import cluster as runs
 from motifloom.plans.config import Config
@@ -253,6 +254,23 @@ def anchor_upper_bound(spark: SparkSession, d: str) -> DataFrame:
     return runs.bounds(stored(terminal_edges(spark, d), "terminal-edges").select("u", "v"), known)
 
 
+def _maps(few: int, many: int) -> str:
+    """All one-to-one maps of few hypotheses to many, as places in a flat list of few x many sums."""
+    return "[" + ", ".join(str([r * many + c + 1 for r, c in enumerate(m)]) for m in permutations(range(many), few)) + "]"
+
+
+def _edges_sql(pairs: str) -> str:
+    """The edges of KMER among pairs: the anchor similarity is the largest sum of any assignment of the fewer hypotheses."""
+    best = lambda few, many: f"list_max(list_transform({_maps(few, many)}, lambda m: list_sum(list_transform(m, lambda k: s[k]))))"
+    return pairs + f""", hyp AS (SELECT node_id, {_HYP} AS h FROM nodes),
+ab AS (SELECT u, v, kmer, CASE WHEN len(a.h) > len(b.h) THEN b.h ELSE a.h END AS x, CASE WHEN len(a.h) > len(b.h) THEN a.h ELSE b.h END AS y
+  FROM pairs JOIN hyp a ON a.node_id = u JOIN hyp b ON b.node_id = v WHERE kmer >= {KMER.primary_q}),
+sums AS (SELECT u, v, kmer, len(x) AS few, flatten(list_transform(x, lambda i: list_transform(y, lambda j: {_sim('i // 20', 'j // 20')} + {_sim('i % 20', 'j % 20')}))) AS s FROM ab, c),
+anc AS (SELECT u, v, kmer, least(1000, greatest(0, CASE WHEN few = 6 THEN {best(6, 6)} WHEN len(s) = 18 THEN {best(3, 6)} ELSE {best(3, 3)} END) // (2 * few))::INT AS anchor FROM sums),
+edges AS (SELECT u, v, greatest(0, least(kmer - {KMER.primary_q}, anchor - {KMER.anchor_q}))::INT AS weight, kmer::INT AS kmer, anchor, 0 AS alignment, ((kmer + anchor + 1) // 2)::INT AS combined FROM anc WHERE anchor >= {KMER.anchor_q})
+"""
+
+
 def _edges(config: Config) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         known = node_table(spark, d)
@@ -261,12 +279,19 @@ def _edges(config: Config) -> Query:
     return run
 
 
-# the assignment and the alignment have no SQL on whole tables; tests hold them against brute force
+# the alignment has no SQL on whole tables; tests hold it against brute force
 for _name, _config in (("edges_separate_kmer", KMER), ("edges_default_seeds", DEFAULT), ("edges_combined_kmer", COMBINED), ("edges_separate_aln", ALIGNED), ("edges_combined_full", FULL)):
     _queries[_name] = _edges(_config)
+_sql["edges_separate_kmer"] = _edges_sql(PAIRS) + "SELECT * FROM edges"
+_sql["edges_default_seeds"] = _edges_sql(_pairs_sql("all_column_pairs", 0.40)) + "SELECT * FROM edges"
 
 
-@query()
+@query(PAIRS + f""", h AS (SELECT node_id, {_HYP} AS h FROM nodes), k AS (SELECT t0, t1, t2, t3, t4, t5, any_value(h) AS h, length = 8 AS short, list(node_id) AS ids FROM nodes JOIN h USING (node_id) GROUP BY ALL),
+sh AS (SELECT row_number() OVER () AS s, h, ids FROM k), of AS (SELECT s, unnest(ids) AS node_id FROM sh),
+met AS (SELECT a.s AS x, b.s AS y, count(*) AS n FROM pairs JOIN of a ON a.node_id = u JOIN of b ON b.node_id = v GROUP BY ALL),
+p AS (SELECT x, y, n, CASE WHEN len(a.h) > len(b.h) THEN b.h ELSE a.h END AS few, CASE WHEN len(a.h) > len(b.h) THEN a.h ELSE b.h END AS many FROM met JOIN sh a ON a.s = x JOIN sh b ON b.s = y),
+g AS (SELECT n, least(1000, greatest(0, list_sum(list_transform(few, lambda i: list_max(list_transform(many, lambda j: {_sim('i // 20', 'j // 20')} + {_sim('i % 20', 'j % 20')}))))) // (2 * len(few))) AS bound FROM p, c)
+SELECT (SELECT sum(hits) FROM pairs)::BIGINT AS index_hits, sum(n)::BIGINT AS distinct_pairs, coalesce(sum(n) FILTER (bound < {KMER.anchor_q}), 0)::BIGINT AS bound_rejected, coalesce(sum(n) FILTER (bound >= {KMER.anchor_q}), 0)::BIGINT AS pairs_scored FROM g""")
 def edge_costs(spark: SparkSession, d: str) -> DataFrame:
     known = node_table(spark, d)
     found = stored(candidates.hits(known, SEED, SEED_AT), "hits")
@@ -356,17 +381,62 @@ def representative_update(spark: SparkSession, d: str) -> DataFrame:
     return refine.represented(cover.intrinsic(known, found), refine.both_ways(found, KMER), known)
 
 
-@query()
+def _by_ends(known: DataFrame, *at: int) -> DataFrame:
+    """A partition by some terminal codes and the mask, the smallest node as representative."""
+    return known.select("node_id", F.min("node_id").over(Window.partitionBy("mask", *[F.get("t", F.lit(k)) for k in at])).alias("rep"))
+
+
+_BY_ENDS = ", p AS (SELECT node_id, min(node_id) OVER (PARTITION BY length = 8, {}) AS rep FROM nodes), both_ AS (SELECT u AS src, v AS dst FROM edges UNION ALL SELECT v, u FROM edges)"
+
+
+@query(_edges_sql(PAIRS) + _BY_ENDS.format("t0, t1, t2, t3, t4, t5") + """, z AS (SELECT rep, count(*) AS size FROM p GROUP BY rep),
+m AS (SELECT src AS target, p.rep AS source, count(*) AS n FROM both_ JOIN z ON z.rep = src JOIN p ON p.node_id = dst WHERE src != p.rep GROUP BY ALL)
+SELECT target, source, t.size AS target_size, s.size AS source_size FROM m JOIN z t ON t.rep = target JOIN z s ON s.rep = source AND s.size = n""")
 def merge_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Which clusters of equal ends could be merged: one's representative is beside all members of the other."""
     known, found = _graph(spark, d)
-    return refine.merge_candidates(cover.intrinsic(known, found), refine.both_ways(found, KMER))
+    return refine.merge_candidates(_by_ends(known, 0, 1, 2, 3, 4, 5), refine.both_ways(found, KMER))
 
 
 @query()
+def merged_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """The strict merges among them that apply, in turn."""
+    known, found = _graph(spark, d)
+    return refine.settled_merges(refine.merge_candidates(_by_ends(known, 0, 1, 2, 3, 4, 5), refine.both_ways(found, KMER)))
+
+
+@query(_edges_sql(PAIRS) + _BY_ENDS.format("t0, t1, t4, t5") + """, w AS (SELECT rep, node_id FROM p WHERE node_id != rep AND NOT EXISTS (FROM both_ WHERE src = p.node_id AND dst = p.rep))
+SELECT (SELECT count(*) FROM p) AS nodes, count(*) AS violations, count(DISTINCT rep) AS clusters FROM w""")
 def invariant_violations(spark: SparkSession, d: str) -> DataFrame:
-    """Members without an edge to their representative; a right cover has none."""
+    """Of a partition by the outer two residues of both ends: members without an edge to their representative. A cover has none, as tests show."""
     known, found = _graph(spark, d)
-    return refine.violations(cover.intrinsic(known, found), found).agg(F.count("*").alias("violations"))
+    part = stored(_by_ends(known, 0, 1, 4, 5), "by-ends")
+    lone = refine.violations(part, found).agg(F.count("*").alias("violations"), F.count_distinct("rep").alias("clusters"))
+    return part.agg(F.count("*").alias("nodes")).crossJoin(lone)  # one row each
+
+
+@query(WITH + """, p AS (SELECT node_id, sequence, min(node_id) OVER (PARTITION BY length = 8, t3, t4, t5) AS rep FROM nodes),
+k AS (SELECT node_id, rep FROM p WHERE sequence IN (SELECT sequence FROM rec WHERE lang != 'en'))
+SELECT node_id, CASE WHEN rep IN (SELECT node_id FROM k) THEN rep ELSE min(node_id) OVER (PARTITION BY rep) END AS rep FROM k""")
+def restricted_partition(spark: SparkSession, d: str) -> DataFrame:
+    """A partition by the last three residues, restricted to the nodes of documents in other languages than English."""
+    known = node_table(spark, d)
+    other = good(spark, d).where("lang != 'en'").select("sequence").distinct()
+    return partitions.restricted(_by_ends(known, 3, 4, 5), known.join(other, "sequence", "left_semi"))
+
+
+@query(WITH + "SELECT lang, sequence, node_id FROM (SELECT DISTINCT lang, sequence FROM rec) JOIN nodes USING (sequence)")
+def covered_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Each language's sequences with their nodes; one without a node would fail the query."""
+    return partitions.covering_join(good(spark, d).select("lang", "sequence").distinct(), node_table(spark, d).select("sequence", "node_id"), "sequence")
+
+
+@query()
+def provisional_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """The prefilter's cover, by high-confidence edges of common anchors."""
+    known = node_table(spark, d)
+    first = stored(edges.prefilter_edges(known, KMER, pair_table(known)), "prefilter-edges")
+    return partitions.provisional_rows(known, cover.coverage(known, first))
 
 
 def _run(spark: SparkSession, d: str) -> tuple[DataFrame, runs.Result]:
@@ -547,9 +617,15 @@ def neighbour_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return metrics.neighbour_jaccard(_cells(spark, d)).select(*rounded("neighbour_jaccard", "informative_jaccard", to=9))
 
 
-@query()
+_LF = "lgamma({}::DOUBLE + 1)"
+
+
+@query(_AGREE + """, sa AS (SELECT na AS x, count(*) AS times FROM (SELECT DISTINCT a, na FROM m) GROUP BY 1), sb AS (SELECT nb AS y, count(*) AS times FROM (SELECT DISTINCT b, nb FROM m) GROUP BY 1),
+o AS (SELECT x, y, t AS k, sa.times * sb.times AS times, unnest(range(greatest(1, x + y - t)::BIGINT, least(x, y)::BIGINT + 1)) AS i FROM sa, sb, z),
+emi AS (SELECT sum(times * (i / k) * ln(k * i / (x::DOUBLE * y)) * exp(""" + " + ".join(_LF.format(v) for v in ("x", "y", "(k - x)", "(k - y)")) + " - " + " - ".join(_LF.format(v) for v in ("k", "i", "(x - i)", "(y - i)", "(k - x - y + i)")) + """)) AS e FROM o)
+SELECT round((ha + hb - hj - e) / ((ha + hb) / 2 - e), 6) AS ami FROM q, emi""")
 def adjusted_mutual_information(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.adjusted_mutual_information(_cells(spark, d)).select(*rounded("ami", to=9))
+    return metrics.adjusted_mutual_information(_cells(spark, d)).select(*rounded("ami"))
 
 
 @query(_CELLS + ", best AS (SELECT b, min(a) AS label FROM (SELECT *, max(n) OVER (PARTITION BY b) AS top FROM cells) WHERE n = top GROUP BY b) SELECT a, label AS b, sum(n)::BIGINT AS n FROM cells JOIN best USING (b) GROUP BY a, label")
@@ -647,6 +723,54 @@ def spearman(spark: SparkSession, d: str) -> DataFrame:
     return selection.spearman(long, ["source"], "n_chars", "words").select("source", "n", *rounded("rho"))
 
 
+_PLACES = "rank() OVER (PARTITION BY source, predictor ORDER BY {0}) + (count(*) OVER (PARTITION BY source, predictor, {0}) - 1) / 2"
+
+
+@query(f"""WITH l AS (SELECT source, n_chars, unnest([{{'k': 'doc_id', 'v': doc_id::DOUBLE}}, {{'k': 'digits', 'v': len(regexp_extract_all(text, '[0-9]'))::DOUBLE}}, {{'k': 'lines', 'v': len(regexp_extract_all(text, '\n'))::DOUBLE}}], recursive := true) FROM documents),
+r AS (SELECT source, k AS predictor, {_PLACES.format('v').replace('predictor', 'k')} AS x, {_PLACES.format('n_chars').replace('predictor', 'k')} AS y FROM l),
+c AS (SELECT source, predictor, count(*) AS n, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS rho FROM r GROUP BY ALL HAVING count(*) >= 8 AND count(DISTINCT x) >= 3),
+t AS (SELECT *, (n - 2)::DOUBLE AS v, acos(sqrt(greatest(0, 1 - rho * rho))) AS top FROM c WHERE rho IS NOT NULL),
+s AS (SELECT source, predictor, n, rho, v, top, unnest(range(0, 2001)) AS i FROM t),
+p AS (SELECT source, predictor, n, rho, greatest(0, 1 - 2 * exp(lgamma((v + 1) / 2) - lgamma(v / 2) - lgamma(0.5)) * top / 6000 * sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(cos(top * i / 2000), v - 1))) AS p FROM s GROUP BY source, predictor, n, rho, v, top),
+b AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, source, predictor) AS raw, row_number() OVER (ORDER BY p, source, predictor) AS place FROM p)
+SELECT source, predictor, n, round(rho, 6) AS rho, round(p, 6) AS p, round(least(1, min(raw) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM b""")
+def rank_correlations(spark: SparkSession, d: str) -> DataFrame:
+    """Of each source, how documents' lengths go with their ids, digits and line ends, with adjusted probabilities."""
+    many = lambda of: F.size(F.regexp_extract_all("text", F.lit(of), F.lit(0))).cast("double")
+    cases = F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in (("doc_id", F.col("doc_id").cast("double")), ("digits", many("[0-9]")), ("lines", many("\n")))])
+    long = table(spark, d, "documents").select("source", "n_chars", F.explode(cases).alias("x")).select("source", "n_chars", F.col("x.k").alias("predictor"), F.col("x.v").alias("v"))
+    return selection.rank_correlations(long, ["source", "predictor"], "v", "n_chars").select("source", "predictor", "n", *rounded("rho", "p", "q"))
+
+
+#: Lines of orders as runs of a grid: line numbers and flags are settings, a quarter of the orders is held back.
+_GRID = "SELECT CASE WHEN l_orderkey % 4 = 0 THEN 'test' ELSE 'inner' END AS split, l_linenumber, l_returnflag, l_discount::DOUBLE AS score, l_tax::DOUBLE AS tax, l_linestatus FROM lineitem"
+_ARMS = {"any": "true", "open": "l_linestatus = 'O'", "first lines": "l_linenumber <= 2", "returned": "l_returnflag = 'R'"}
+_GAINS = {"open over any": ("open", "any"), "returned over first": ("returned", "first lines")}
+_STAGES = f"""WITH g AS ({_GRID}), a AS (SELECT *, unnest([{', '.join(f"CASE WHEN {on} THEN '{n}' END" for n, on in _ARMS.items())}]) AS arm FROM g WHERE split = 'inner'),
+m AS (SELECT arm, l_linenumber, l_returnflag, round(avg(score), 9) AS score FROM a WHERE arm IS NOT NULL GROUP BY ALL),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY score DESC, l_linenumber, l_returnflag) AS n FROM m) WHERE n = 1),
+st AS (SELECT arm, b.l_linenumber, b.l_returnflag, count(*) AS rows, avg(g.score) AS score, avg(tax) AS tax FROM b JOIN g ON split = 'test' AND g.l_linenumber = b.l_linenumber AND g.l_returnflag = b.l_returnflag GROUP BY ALL)"""
+
+
+def _stages(spark: SparkSession, d: str) -> DataFrame:
+    split = F.when(F.col("l_orderkey") % 4 == 0, "test").otherwise("inner")
+    grid = table(spark, d, "lineitem").select(split.alias("split"), "l_linenumber", "l_returnflag", F.col("l_discount").cast("double").alias("score"), F.col("l_tax").cast("double").alias("tax"), "l_linestatus")
+    return selection.stage_contribution(grid, {n: F.expr(on) for n, on in _ARMS.items()}, ["l_linenumber", "l_returnflag"], "score", ["score", "tax"])
+
+
+@query(_STAGES + " SELECT arm, l_linenumber, l_returnflag, rows, round(score, 6) AS score, round(tax, 6) AS tax FROM st")
+def stage_contribution(spark: SparkSession, d: str) -> DataFrame:
+    """Each arm's best setting on inner runs, read on those held back."""
+    return _stages(spark, d).select("arm", "l_linenumber", "l_returnflag", "rows", *rounded("score", "tax"))
+
+
+@query(_STAGES + f""", l AS (SELECT arm, unnest(['score', 'tax']) AS metric, unnest([score, tax]) AS value FROM st), n AS (SELECT * FROM (VALUES {', '.join(f"('{g}', '{a}', '{b}')" for g, (a, b) in _GAINS.items())}) v(gain, a, b))
+SELECT gain, x.metric, round(x.value - y.value, 6) AS value FROM n JOIN l x ON x.arm = a JOIN l y ON y.arm = b AND y.metric = x.metric""")
+def stage_gains(spark: SparkSession, d: str) -> DataFrame:
+    """How much arms differ on the runs held back."""
+    return selection.stage_gains(_stages(spark, d), ["score", "tax"], _GAINS).select("gain", "metric", *rounded("value"))
+
+
 @query("""WITH e AS (SELECT quality, n_chars::DOUBLE AS y, CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END + CASE WHEN n_chars > 5000 THEN 1 ELSE 0 END AS bin FROM documents JOIN labels USING (doc_id) WHERE n_chars > 0 AND n_chars <= 1000000)
 SELECT bin, count(*) AS n, round(avg(quality), 9) AS mean, round(stddev_samp(quality) / sqrt(count(*)), 9) AS error FROM e GROUP BY bin HAVING count(*) >= 3""")
 def binned_means(spark: SparkSession, d: str) -> DataFrame:
@@ -682,13 +806,20 @@ def label_folds(spark: SparkSession, d: str) -> DataFrame:
     return pools.folds(rows, "source", F.col("lang"), 5, seed=5)
 
 
-@query()
+@query(WITH + """, p AS (SELECT DISTINCT source AS pool, sequence AS member, lang AS label FROM rec), z AS (SELECT pool, label, count(*) AS size FROM p GROUP BY ALL),
+w AS (SELECT pool, label, greatest(1, least(size, round(min(size) OVER (PARTITION BY pool) * (1 + 0.05::DOUBLE * (2 * (('0x' || substr(md5('3/' || pool || '/' || label), 1, 8))::BIGINT / 4294967296.0::DOUBLE) - 1)))::BIGINT)) AS want FROM z)
+SELECT pool, member, label FROM (SELECT *, row_number() OVER (PARTITION BY pool, label ORDER BY md5('3/' || member), member) AS n FROM p JOIN w USING (pool, label)) WHERE n <= want""")
 def balanced_pools(spark: SparkSession, d: str) -> DataFrame:
     rows = good(spark, d).select(F.col("source").alias("pool"), F.col("sequence").alias("member"), F.col("lang").alias("label")).distinct()
     return pools.balanced(rows, seed=3)
 
 
-@query()
+@query(WITH.replace("WITH c AS", "WITH RECURSIVE c AS", 1) + """, own AS (SELECT DISTINCT source AS label, sequence FROM rec), z AS (SELECT label, count(*) AS n FROM own GROUP BY label),
+sh AS (SELECT a.label AS u, b.label AS v, count(*) AS shared FROM own a JOIN own b ON a.sequence = b.sequence AND a.label != b.label GROUP BY ALL),
+cl AS (SELECT u, v FROM sh JOIN z x ON x.label = u JOIN z y ON y.label = v WHERE shared > 0.1::DOUBLE * least(x.n, y.n)),
+o AS (SELECT z.label, row_number() OVER (ORDER BY count(v), z.label) AS i, list(v) FILTER (v IS NOT NULL) AS near FROM z LEFT JOIN cl ON cl.u = z.label GROUP BY z.label),
+g AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS chosen UNION ALL SELECT o.i, CASE WHEN list_has_any(chosen, coalesce(near, [])) THEN chosen ELSE list_append(chosen, label) END FROM g JOIN o ON o.i = g.i + 1)
+SELECT unnest(chosen) AS label FROM g WHERE i = (SELECT count(*) FROM o)""")
 def independent_labels(spark: SparkSession, d: str) -> DataFrame:
     """Sources of which no two share over a tenth of the smaller one's sequences."""
     held = stored(good(spark, d).select("source", "sequence").distinct(), "held")
