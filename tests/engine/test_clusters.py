@@ -304,3 +304,44 @@ def test_prefilter_pairs_share_values(spark):
     config = Config(mode="separate_kmer_anchor")
     pairs = candidates.candidates(known)
     assert edges.prefilter_edges(known, config, pairs).count() <= edges.edges(pairs, known, config).count()
+
+
+def test_unions_counters_and_retention(spark):
+    link = lambda *rows: spark.createDataFrame(list(rows), "u long, v long, weight int")
+    assert sorted(tuple(r) for r in edges.united(link((1, 2, 5), (3, 4, 1)), link((1, 2, 7), (5, 6, 0))).collect()) == [(1, 2, 7), (3, 4, 1), (5, 6, 0)]
+    known = nodes.features(nodes.load(spark.createDataFrame([(s,) for s in SEQUENCES], "sequence string"))).persist()
+    config = Config(mode="separate_kmer_anchor", kmer_threshold=0.3, anchor_threshold=0.5)
+    found = candidates.hits(known, "contiguous", 0.4)
+    got = edges.cost_counters(found, found.distinct(), known, config).first()
+    bound = runs.bounds(found.distinct(), known).collect()
+    assert (got.index_hits, got.distinct_pairs, got.pairs_scored) == (found.count(), len(bound), sum(r.bound >= 500 for r in bound)) and got.bound_rejected == sum(r.bound < 500 for r in bound) > 0
+    kept = edges.edges(found.distinct(), known, config)
+    pairs, held, step = {(r.u, r.v) for r in bound}, {(r.u, r.v) for r in kept.collect()}, known.count() // 7
+    got = candidates.retention(known, found.distinct(), kept, samples=7).first()
+    count = lambda of: sum(x % step == 0 for p in of for x in p)
+    assert (got.retrieved, got.kept) == (count(pairs), count(held)) and got.kept > 0
+    # the order by candidates' counts
+    survivors = runs.survivors(found.distinct(), known, config)
+    n = {x: 0 for x in range(known.count())}
+    for r in survivors.collect():
+        n[r["query"]] += 1
+    sequence, near, want = {r.node_id: r.sequence for r in known.collect()}, {x: set() for x in n}, {}
+    for u, v in held:
+        near[u].add(v)
+        near[v].add(u)
+    for x in sorted(n, key=lambda i: (-n[i], sequence[i])):
+        if x not in want:
+            want |= {y: x for y in near[x] if y not in want} | {x: x}
+    assert {r.node_id: r.rep for r in cover.kmer_degree(known, kept, survivors).collect()} == want
+    known.unpersist()
+
+
+def test_labelled_exports(spark, tmp_path):
+    from motifloom.operators.selection import locus
+
+    (tmp_path / "x.tsv").write_text("pep\tallele\tclass\n galtalklv \tHLA-A*02:01 \tI\nGALTALKLV\tHLA-A*02:01\tI\nCCCPPPDDD\tHLA-B*07\tI\nCCCPPPDDE\tHLA-B*07\tI\nBAD\tHLA-B*07\tI\nACDEFGHIK\tHLA-C*01\tII\n\tx\tI\n")
+    got = lambda **more: sorted(tuple(r) for r in sources.labelled(spark, str(tmp_path / "x.tsv"), "allele", "pep", sep="\t", **more).collect())
+    assert got(least_members=2) == [("CCCPPPDDD", "HLA-B*07"), ("CCCPPPDDE", "HLA-B*07")]
+    assert got(where="class = 'I'") == [("CCCPPPDDD", "HLA-B*07"), ("CCCPPPDDE", "HLA-B*07"), ("GALTALKLV", "HLA-A*02:01")]
+    names = spark.createDataFrame([("HLA-A*02:01",), ("HLA-C07",), ("DRB1",), (None,)], "n string")
+    assert [r[0] for r in names.select(locus(F.col("n"))).collect()][:3] == ["A", "C", "?"]

@@ -105,6 +105,40 @@ def test_motifs_do_not_depend_on_partitions(spark):
     assert five.select("motif").distinct().count() == 5
 
 
+def test_mixture_over_many_chunks_is_the_plain_one(spark):
+    own = np.random.default_rng(3)
+    letters = list(ALPHABET)
+    frames = sorted({"".join(own.choice(letters[:5] if i % 2 else letters[10:16], 9)) for i in range(700)})
+    rows = [(int(own.integers(0, 300)), f, int(own.integers(1, 4))) for f in frames]
+    start, mixing, alpha = own.integers(1, 9, (3, 9, 20)).astype(float), np.array([2.0, 1.0, 1.0]), np.full(20, 0.5)
+    table = lambda parts: spark.createDataFrame(rows, "chunk long, frame string, weight long").repartition(parts)
+    got, again = motifs.em(table(5), start, mixing, alpha, 6, 0.0), motifs.em(table(2), start, mixing, alpha, 6, 0.0)
+    assert np.array_equal(got.profiles, again.profiles) and np.array_equal(got.mixing, again.mixing)
+    codes, w = np.array([[letters.index(c) for c in f] for _, f, _ in rows]), np.array([x for *_, x in rows], float)
+    counts, share = start, mixing / mixing.sum()
+    for _ in range(6):
+        profiles = (counts + alpha) / (counts + alpha).sum(-1, keepdims=True)
+        p = share * np.prod(profiles[:, np.arange(9), codes], axis=2).T
+        p = p / p.sum(1, keepdims=True) * w[:, None]
+        counts = np.zeros((3, 9, 20))
+        for i, code in enumerate(codes):
+            counts[:, np.arange(9), code] += p[i][:, None]
+        share = p.sum(0) / p.sum()
+    assert np.allclose(got.mixing, share) and np.allclose(got.profiles, (counts + alpha) / (counts + alpha).sum(-1, keepdims=True))
+    assert motifs.em(table(2).where("false"), start, mixing, alpha, 1).labels.count() == 0
+
+
+def test_empty_motifs_reclaim_nodes(spark):
+    labels = spark.createDataFrame([(1, "A" * 9, 0), (2, "A" * 8 + "R", 0), (3, "R" * 9, 0), (4, "N" * 9, 2)], "node_id long, frame string, motif int")
+    profiles = np.full((4, 9, 20), 0.01)
+    profiles[0, :, 0] = profiles[1, :, 1] = profiles[2, :, 2] = profiles[3, :, 0] = 0.81
+    mixture = motifs.Mixture(profiles, np.full(4, 0.25), 1, True, labels)
+    # motif 1 takes the node that it fits best, then motif 3 the best of what motif 0 can spare; motif 2's only node stays
+    assert {r.node_id: r.motif for r in motifs.reclaim(labels, mixture).collect()} == {1: 3, 2: 0, 3: 1, 4: 2}
+    two = labels.where("node_id in (1, 4)")
+    assert {r.node_id: r.motif for r in motifs.reclaim(two, mixture).collect()} == {1: 0, 4: 2}  # nothing to spare
+
+
 def test_streamed_frequencies_are_those_of_the_table(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     docs.repartition(3).write.parquet(str(tmp_path / "in"))
