@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -102,7 +104,15 @@ class Matcher:
                     free.append((at, end))
             elif weight > found.get(at, (0, 0.0))[1]:
                 found[at] = (end, weight)
-        total = sum(w for at, (end, w) in found.items() if not any(a <= at and end <= b for a, b in free))
+        free.sort()
+        starts, reach = [a for a, _ in free], list(accumulate((b for _, b in free), max))
+
+        def excused(at: int, end: int) -> bool:
+            """Whether a phrase that begins no later ends no earlier; of those before a place the farthest end is known."""
+            k = bisect_right(starts, at)
+            return k > 0 and reach[k - 1] >= end
+
+        total = sum(w for at, (end, w) in found.items() if not excused(at, end))
         return total / max(1, folded.count(" ") + folded.count("\n") + 1) ** self._lexicon.power if total else 0.0
 
     def score(self, text: str | None) -> float:

@@ -112,6 +112,20 @@ def test_matcher_matches_a_plain_search():
         assert abs(m.raw(text) - total / max(1, folded.count(" ") + 1) ** 0.25) < 1e-9
 
 
+def test_excused_terms_are_found_in_one_sweep():
+    import time
+
+    lexicon = toxicity.Lexicon({"trash": 1.0, "bin": 0.5}, ("trash can", "the trash can lid"))
+    matcher = toxicity.Matcher(lexicon)
+    for text in ("trash can trash", "the trash can lid bin trash", "trash cans trash can", "trash", "can trash"):
+        free = [(m.start(), m.end()) for e in lexicon.exceptions for m in re.finditer(rf"\b{e}s?\b", text)]
+        want = sum(w for t, w in lexicon.terms.items() for m in re.finditer(rf"\b{t}", text) if not any(a <= m.start() and m.end() <= b for a, b in free))
+        assert matcher.raw(text) == pytest.approx(want / len(text.split()) ** 0.25), text
+    began = time.perf_counter()
+    matcher.raw("trash can " * 60_000 + "trash " * 60_000)
+    assert time.perf_counter() - began < 5
+
+
 def test_toxicity_held_out(spark, given):
     labels = spark.read.parquet(f"{DATA.replace('0.001', '0.1')}/labels.parquet")
     big = spark.read.parquet(f"{DATA.replace('0.001', '0.1')}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
