@@ -181,8 +181,7 @@ def majority_relabelled(cells: DataFrame) -> DataFrame:
 
 def match_error(cells: DataFrame, most: int = 2000) -> float:
     """1 less the share of members that the best one-to-one match of labels to clusters holds; at most `most` of either are matched."""
-    rows = cells.limit(most * most).toPandas()
-    table = rows.pivot_table(index="a", columns="b", values="n", fill_value=0).to_numpy()
-    if max(table.shape) > most:
+    if max(cells.agg(F.count_distinct("a"), F.count_distinct("b")).first()) > most:
         raise ValueError(f"a match of more than {most} clusters is not computed")
+    table = cells.toPandas().pivot_table(index="a", columns="b", values="n", fill_value=0).to_numpy()
     return 1 - best_match(table) / table.sum()

@@ -207,15 +207,22 @@ def candidate_degrees(spark: SparkSession, d: str) -> DataFrame:
     return met.select(F.explode(F.array("u", "v")).alias("node_id"), "hits").groupBy("node_id").agg(F.count("*").alias("candidates"), F.sum("hits").alias("hits"))
 
 
-@query(_pairs_sql("all_column_pairs", 0.40) + "SELECT node_id, count(*) AS candidates, sum(kmer)::BIGINT AS kmer FROM (SELECT u AS node_id, kmer FROM pairs UNION ALL SELECT v, kmer FROM pairs) GROUP BY node_id")
-def candidates_default_seeds(spark: SparkSession, d: str) -> DataFrame:
-    """How many candidates each node has by the default seeds, and how similar they are in all."""
-    known = node_table(spark, d)
+def _terminal_scores(known: DataFrame, seed: str, at: float) -> DataFrame:
+    """(u, v, kmer) of the candidates by some seeds, from the codes of their ends."""
     end = lambda name, to, back: known.select(F.col("node_id").alias(name), ends.end_code(F.col("t"), back).alias(to))
     side = lambda name, f, b: end(name, f, False).join(end(name, b, True), name)
-    met = candidates.candidates(known).join(side("u", "uf", "ub"), "u").join(side("v", "vf", "vb"), "v")
+    met = candidates.candidates(known, seed, at).join(side("u", "uf", "ub"), "u").join(side("v", "vf", "vb"), "v")
     met = met.withColumn("front", ends.scored(ends.similar, F.col("uf"), F.col("vf"))).withColumn("back", ends.scored(ends.similar, F.col("ub"), F.col("vb")))
-    kmer = met.select("u", "v", F.floor((F.col("front") + F.col("back") + 1) / 2).cast("int").alias("kmer"))
+    return met.select("u", "v", F.floor((F.col("front") + F.col("back") + 1) / 2).cast("int").alias("kmer"))
+
+
+_DEFAULT_PAIRS = _pairs_sql(DEFAULT.seed, DEFAULT.seed_threshold)
+
+
+@query(_DEFAULT_PAIRS + "SELECT node_id, count(*) AS candidates, sum(kmer)::BIGINT AS kmer FROM (SELECT u AS node_id, kmer FROM pairs UNION ALL SELECT v, kmer FROM pairs) GROUP BY node_id")
+def candidates_default_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """How many candidates each node has by the default seeds, and how similar they are in all."""
+    kmer = _terminal_scores(node_table(spark, d), DEFAULT.seed, DEFAULT.seed_threshold)
     return kmer.select(F.explode(F.array("u", "v")).alias("node_id"), "kmer").groupBy("node_id").agg(F.count("*").alias("candidates"), F.sum("kmer").alias("kmer"))
 
 
@@ -308,12 +315,26 @@ def prefilter_union(spark: SparkSession, d: str) -> DataFrame:
     return edges.united(first, edges.edges(candidates.within(pairs, scope), known, KMER))
 
 
-@query(PAIRS + "SELECT u * 4294967296 + v AS pair FROM pairs WHERE kmer >= 900")
+@query(_DEFAULT_PAIRS + "SELECT u * 4294967296 + v AS pair FROM pairs WHERE kmer >= 900")
 def packed_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """The trace of scored pairs, packed: those of two searches, each once."""
+    """The trace of pairs that two searches, by contiguous and by the default seeds, scored 900 or more, packed, each once."""
     known = node_table(spark, d)
-    found = stored(edges.with_sides(pair_table(known), known).select("u", "v", terminal_similarity(F.col("a.t"), F.col("b.t")).alias("kmer")), "scored")
-    return exports.traced(found.where("kmer >= 900"), found.where("kmer >= 950"))
+    found = [_terminal_scores(known, seed, at).where("kmer >= 900") for seed, at in ((SEED, SEED_AT), (DEFAULT.seed, DEFAULT.seed_threshold))]
+    return exports.traced(*found)
+
+
+@query(PAIRS + f""", h AS (SELECT node_id, {_HYP} AS h FROM nodes), step AS (SELECT greatest(1, count(*) // 2048) AS step FROM nodes),
+asked AS (SELECT u, v FROM pairs, step WHERE u % step = 0 OR v % step = 0),
+p AS (SELECT u, v, CASE WHEN len(a.h) > len(b.h) THEN b.h ELSE a.h END AS few, CASE WHEN len(a.h) > len(b.h) THEN a.h ELSE b.h END AS many FROM asked JOIN h a ON a.node_id = u JOIN h b ON b.node_id = v),
+g AS (SELECT u, v, least(1000, greatest(0, list_sum(list_transform(few, lambda i: list_max(list_transform(many, lambda j: {_sim('i // 20', 'j // 20')} + {_sim('i % 20', 'j % 20')}))))) // (2 * len(few))) AS bound FROM p, c),
+e AS (SELECT u AS node_id, bound FROM g UNION ALL SELECT v, bound FROM g)
+SELECT count(*) AS retrieved, count(*) FILTER (bound >= {KMER.anchor_q}) AS kept FROM e, step WHERE node_id % step = 0""")
+def sampled_retention(spark: SparkSession, d: str) -> DataFrame:
+    """Of about 2,048 nodes in even steps (a feature of the report), how many candidates the seeds retrieve and how many of them the bound keeps."""
+    known = node_table(spark, d)
+    pairs = stored(pair_table(known), "pairs")
+    kept = edges.with_sides(pairs, known).where(edges.gate(KMER)).select("u", "v")
+    return candidates.retention(known, pairs, kept)
 
 
 # clusters
