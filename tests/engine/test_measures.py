@@ -105,6 +105,39 @@ def test_motifs_do_not_depend_on_partitions(spark):
     assert five.select("motif").distinct().count() == 5
 
 
+def plain_merges(counts: np.ndarray, alpha: np.ndarray, threshold: float, target: int | None) -> list[int]:
+    """All pairs anew before each merge."""
+    held = {i: c.copy() for i, c in enumerate(counts)}
+    group = list(range(len(counts)))
+    while len(held) > (target or 1):
+        own = {i: float(motifs.marginal(c, alpha)) for i, c in held.items()}
+        best = max(((float(motifs.marginal(held[i] + held[j], alpha)) - own[i] - own[j], -i, -j) for i in held for j in held if i < j))
+        if target is None and best[0] <= threshold:
+            break
+        i, j = -best[1], -best[2]
+        held[i] = held[i] + held.pop(j)
+        group = [i if g == j else g for g in group]
+    first: dict[int, int] = {}
+    return [first.setdefault(g, len(first)) for g in group]
+
+
+def test_agglomeration_is_that_of_all_pairs(spark):
+    own = np.random.default_rng(8)
+    alpha = motifs.alphas(np.full(20, 0.05), 2.0)
+    kinds = own.dirichlet(np.full(20, 0.3), (4, 9))
+    sizes = own.integers(1, 30, 26)
+    counts = np.array([[own.multinomial(n, kinds[i % 4, c]) for c in range(9)] for i, n in enumerate(sizes)], float)
+    counts[20:23] = counts[3]  # equal profiles
+    for threshold, target in ((0.0, None), (5.0, None), (0.0, 3), (0.0, 1)):
+        want = plain_merges(counts, alpha, threshold, target)
+        assert motifs.agglomerate(counts, alpha, threshold, target).tolist() == want
+        partners = motifs.dealt_partners(spark, counts, motifs.marginal(counts, alpha), alpha)
+        assert motifs.agglomerate(counts, alpha, threshold, target, partners).tolist() == want
+    big = counts * 1000  # counts that are not looked up
+    assert motifs.agglomerate(big, alpha, 0.0).tolist() == plain_merges(big, alpha, 0.0, None)
+    assert motifs.agglomerate(counts[:1], alpha, 0.0).tolist() == [0] and motifs.agglomerate(counts[:0], alpha, 0.0).tolist() == []
+
+
 def test_mixture_over_many_chunks_is_the_plain_one(spark):
     own = np.random.default_rng(3)
     letters = list(ALPHABET)
