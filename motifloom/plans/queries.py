@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import asdict
+from dataclasses import asdict, replace
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -583,6 +583,14 @@ def em_motifs(spark: SparkSession, d: str) -> DataFrame:
     return _motifs(spark, d)[1][0]
 
 
+@query()
+def merged_motifs(spark: SparkSession, d: str) -> DataFrame:
+    """Motifs of clusters merged by Bayes factor, without a given number: how many nodes and records each has."""
+    known, found = _graph(spark, d)
+    labels, _ = motifs.build(known, cover.coverage(known, found).select("node_id", "rep"), replace(KMER, merge_motifs=True, em=False))
+    return labels.join(known.select("node_id", "frequency"), "node_id").groupBy("motif").agg(F.count("*").alias("nodes"), F.sum("frequency").alias("records"))
+
+
 @query()
 def motif_profiles(spark: SparkSession, d: str) -> DataFrame:
     return runs.motif_profile_rows(*_motifs(spark, d)[1])
