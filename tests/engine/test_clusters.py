@@ -345,3 +345,14 @@ def test_labelled_exports(spark, tmp_path):
     assert got(where="class = 'I'") == [("CCCPPPDDD", "HLA-B*07"), ("CCCPPPDDE", "HLA-B*07"), ("GALTALKLV", "HLA-A*02:01")]
     names = spark.createDataFrame([("HLA-A*02:01",), ("HLA-C07",), ("DRB1",), (None,)], "n string")
     assert [r[0] for r in names.select(locus(F.col("n"))).collect()][:3] == ["A", "C", "?"]
+
+
+def test_greedy_reassignment_moves_on_the_margin_only(spark):
+    part = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (3, 1)], "node_id long, rep long")
+    links = [(0, 2, 50, 900), (1, 2, 50, 800), (0, 3, 51, 700), (1, 3, 50, 900)]
+    rows = [(u, v, w, s, s, s, s) for u, v, w, s in links]
+    found = spark.createDataFrame(rows, "u long, v long, weight int, kmer int, anchor int, alignment int, combined int")
+    graph = refine.both_ways(found, Config(mode="separate_kmer_anchor", margin=0.0))
+    to = lambda margin, greedy_: {r.node_id: r.rep for r in refine.reassigned(part, graph, margin, greedy_).collect()}
+    # equal weights are decided by the scores in the graph method alone; a larger weight moves in both, unless it is within the margin
+    assert to(0, False) == {0: 0, 1: 1, 2: 0, 3: 0} and to(0, True) == {0: 0, 1: 1, 2: 1, 3: 0} and to(1, False) == to(1, True) == {0: 0, 1: 1, 2: 1, 3: 1}

@@ -190,8 +190,6 @@ def test_queries_match_sql(spark):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
     plain = lambda v: round(float(v), 6) if isinstance(v, float) or hasattr(v, "as_tuple") else v
     for name, sql in queries.oracle_sql().items():
-        if name in ("exclusive_members", "test_train_similarity"):
-            continue
         df = queries.queries()[name](spark, DATA)
         cursor = con.execute(sql)
         names = [c[0] for c in cursor.description]
