@@ -266,15 +266,17 @@ def _maps(few: int, many: int) -> str:
     return "[" + ", ".join(str([r * many + c + 1 for r, c in enumerate(m)]) for m in permutations(range(many), few)) + "]"
 
 
-def _edges_sql(pairs: str) -> str:
-    """The edges of KMER among pairs: the anchor similarity is the largest sum of any assignment of the fewer hypotheses."""
+def _edges_sql(pairs: str, config: Config = KMER) -> str:
+    """The edges among pairs in a mode that reads the terminal similarity: the anchor similarity is the largest sum of any assignment of the fewer hypotheses."""
     best = lambda few, many: f"list_max(list_transform({_maps(few, many)}, lambda m: list_sum(list_transform(m, lambda k: s[k]))))"
+    at, both = config.primary_q, "(kmer + anchor + 1) // 2"
+    least, weight, holds = (at, f"greatest(0, least(kmer - {at}, anchor - {config.anchor_q}))", f"anchor >= {config.anchor_q}") if config.separate else (2 * at - 1001, both, f"{both} >= {at}")
     return pairs + f""", hyp AS (SELECT node_id, {_HYP} AS h FROM nodes),
 ab AS (SELECT u, v, kmer, CASE WHEN len(a.h) > len(b.h) THEN b.h ELSE a.h END AS x, CASE WHEN len(a.h) > len(b.h) THEN a.h ELSE b.h END AS y
-  FROM pairs JOIN hyp a ON a.node_id = u JOIN hyp b ON b.node_id = v WHERE kmer >= {KMER.primary_q}),
+  FROM pairs JOIN hyp a ON a.node_id = u JOIN hyp b ON b.node_id = v WHERE kmer >= {least}),
 sums AS (SELECT u, v, kmer, len(x) AS few, flatten(list_transform(x, lambda i: list_transform(y, lambda j: {_sim('i // 20', 'j // 20')} + {_sim('i % 20', 'j % 20')}))) AS s FROM ab, c),
 anc AS (SELECT u, v, kmer, least(1000, greatest(0, CASE WHEN few = 6 THEN {best(6, 6)} WHEN len(s) = 18 THEN {best(3, 6)} ELSE {best(3, 3)} END) // (2 * few))::INT AS anchor FROM sums),
-edges AS (SELECT u, v, greatest(0, least(kmer - {KMER.primary_q}, anchor - {KMER.anchor_q}))::INT AS weight, kmer::INT AS kmer, anchor, 0 AS alignment, ((kmer + anchor + 1) // 2)::INT AS combined FROM anc WHERE anchor >= {KMER.anchor_q})
+edges AS (SELECT u, v, ({weight})::INT AS weight, kmer::INT AS kmer, anchor, 0 AS alignment, ({both})::INT AS combined FROM anc WHERE {holds})
 """
 
 
@@ -290,6 +292,7 @@ def _edges(config: Config) -> Query:
 for _name, _config in (("edges_separate_kmer", KMER), ("edges_default_seeds", DEFAULT), ("edges_combined_kmer", COMBINED), ("edges_separate_aln", ALIGNED), ("edges_combined_full", FULL)):
     _queries[_name] = _edges(_config)
 _sql["edges_separate_kmer"] = _edges_sql(PAIRS) + "SELECT * FROM edges"
+_sql["edges_combined_kmer"] = _edges_sql(PAIRS, COMBINED) + "SELECT * FROM edges"
 _sql["edges_default_seeds"] = _edges_sql(_pairs_sql("all_column_pairs", 0.40)) + "SELECT * FROM edges"
 
 
