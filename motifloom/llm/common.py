@@ -98,27 +98,41 @@ def columns_of(docs: DataFrame, pairs: Iterable[tuple[str, str]]) -> DataFrame:
     return docs.select(*[docs[c].alias(to) for c, to in pairs])
 
 
-def id_blocks(df: DataFrame, key: str, per_block: int = 1000, most: int = 20_000) -> Column:
-    """The number of the contiguous range of df[key] that a row is in, ascending with the key (nulls: -1).
+#: Quantiles of ids that one pass takes beside the number of rows; more ranges than these take a pass of their own.
+GRID = 1000
+
+
+def id_ranges(df: DataFrame, key: str, per_block: int = 1000, most: int = 20_000) -> tuple[Column, int]:
+    """The number of the contiguous range of df[key] that a row is in, ascending with the key (nulls: -1), and the rows of df.
 
     Ranges are cut at approximate quantiles of the keys, wherever these crowd or lie apart, into
     about per_block rows each, or into `most` ranges if that is fewer; the driver sees their bounds.
-    Rows with equal keys are in one range.
+    Rows with equal keys are in one range. Up to GRID ranges one pass over the keys gives rows and bounds.
     """
-    rows = df.where(F.col(key).isNotNull()).count()
-    parts = min(most, -(-rows // per_block))
-    bounds = df.stat.approxQuantile(key, [i / parts for i in range(1, parts)], 1 / (8 * parts)) if parts > 1 else []
+    x = F.col(key).cast("double")
+    grid = F.percentile_approx(x, [i / GRID for i in range(1, GRID)], 10 * GRID)
+    seen = df.agg(F.count("*").alias("rows"), F.count(key).alias("keys"), grid.alias("grid")).first()
+    parts = min(most, -(-seen["keys"] // per_block))
+    if parts > GRID:
+        bounds = df.stat.approxQuantile(key, [i / parts for i in range(1, parts)], 1 / (8 * parts))
+    else:
+        bounds = [seen.grid[round(i * GRID / parts) - 1] for i in range(1, parts)]
     bounds = sorted(set(bounds))
     if not bounds:
-        return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long")
+        return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long"), seen["rows"]
     table = F.split(F.lit(",".join(map(repr, bounds))), ",").cast("array<double>")
-    x, steps = F.col(key).cast("double"), [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
     # a binary search: how many bounds are at or below the key
     below = lambda at, step: F.when(F.coalesce(F.get(table, at + step - 1) <= x, F.lit(False)), at + step).otherwise(at)
     block = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), below)
-    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(block).cast("long")
+    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(block).cast("long"), seen["rows"]
+
+
+def id_blocks(df: DataFrame, key: str, per_block: int = 1000, most: int = 20_000) -> Column:
+    """The ranges of id_ranges() alone."""
+    return id_ranges(df, key, per_block, most)[0]
 
 
-def shuffles(df: DataFrame, per_block: int, blocks: int = 4) -> int:
-    """Partitions for a shuffle of df by its blocks, a few blocks each: as many as the rows ask for, not less than the session's."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // (per_block * blocks)))
+def shuffles(spark: SparkSession, rows: int, per_block: int, blocks: int = 4) -> int:
+    """Partitions for a shuffle of so many rows by their blocks, a few blocks each: as many as the rows ask for, not less than the session's."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // (per_block * blocks)))

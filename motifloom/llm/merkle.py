@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from motifloom.llm.common import columns_of, id_blocks, shuffles
+from motifloom.llm.common import columns_of, id_ranges, shuffles
 
 #: Characters that a piece of a paragraph has at most, unless signs of a sentence end follow.
 PIECE = 80
@@ -96,9 +96,11 @@ def beside_next(docs: DataFrame, first: str, per_range: int = 1000) -> DataFrame
     Ids are cut into ranges of about per_range rows (at most RANGES ranges, so that the table of
     their first ids is bounded and may be broadcast), and a window runs over each. The first row of
     each range goes along to the end of the range before it. So the rows are shuffled once, and no
-    task needs the order of all ids. Null ids come last; equal ids are in the order of the column `first`.
+    task needs the order of all ids. Beyond RANGES x per_range rows ranges hold more rows; the window looks one row
+    ahead and its sort spills, so a task streams its range (of 100 TB, 5 GB) and holds no more. Null ids come last; equal ids are in the order of the column `first`.
     """
-    block = -id_blocks(docs, "doc_id", per_range, RANGES)
+    block, rows = id_ranges(docs, "doc_id", per_range, RANGES)
+    block = -block
     heads = docs.select("doc_id", block.alias("block")).groupBy("block").agg(F.max("doc_id").alias("head"))
     whole = W.orderBy("block").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)  # over RANGES rows at most
     before = F.coalesce(F.lag("block").over(W.orderBy("block")), F.last("block").over(whole))
@@ -107,7 +109,7 @@ def beside_next(docs: DataFrame, first: str, per_range: int = 1000) -> DataFrame
     place = lambda at, guest: F.struct(at.cast("long").alias("at"), F.lit(guest).alias("guest"))
     own, away = place(F.col("_block"), False), place(F.col("before"), True)
     placed = found.withColumn("_place", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, away))))
-    placed = placed.repartition(shuffles(docs, per_range), "_place.at")
+    placed = placed.repartition(shuffles(docs.sparkSession, rows, per_range), "_place.at")
     order = W.partitionBy("_place.at").orderBy(F.col("_place.guest"), F.col("doc_id").desc_nulls_last(), F.col(first))
     led = placed.withColumn("next", F.lead(F.struct(*docs.columns)).over(order))
     return led.where("not _place.guest").select(*docs.columns, "next")

@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from motifloom.llm.common import columns_of, id_blocks, shuffles
+from motifloom.llm.common import columns_of, id_ranges, shuffles
 from motifloom.llm.tokens import batched, rows, tokenizer
 
 # Fixed value: what is added to a rotated checksum, so that records may hold records.
 MASK = 0xA282EAD8
+#: Files that one range of ids may have; shards are numbered by range and file.
+FILES = 1 << 20
 INDEX = "shard long, row long, doc_id long, at long, size long, n_tokens long, before long"
 _INDEX = pa.schema([(c, pa.int64()) for c in ("shard", "row", "doc_id", "at", "size", "n_tokens", "before")])
 
@@ -64,7 +66,7 @@ def _shard(folder: str, shard: int):
     from pyarrow import fs
 
     system, root = fs.FileSystem.from_uri(folder) if "://" in folder else fs.FileSystem.from_uri("file://" + os.path.abspath(folder))
-    return system, f"{root}/shard-{shard:08d}.bin"
+    return system, f"{root}/shard-{shard:012d}.bin"
 
 
 class _Writer:
@@ -87,12 +89,13 @@ class _Writer:
         self._fs.move(self._own, self._path)
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, end: tuple[int, ...] = (), id_col: str = "doc_id", text_col: str = "text", per_shard: int = 5000) -> None:
+def write(docs: DataFrame, folder: str, tokenizer_path: str, end: tuple[int, ...] = (), id_col: str = "doc_id", text_col: str = "text", per_shard: int = 5000, ranges: int = 20_000) -> None:
     """Encodes every text (null: empty) and writes its ids, in ascending order of doc_id over shards and within each.
 
     folder/data has a file a shard, folder/index a Parquet table: shard, row, doc_id, at (byte of the
     record), size, n_tokens, before (ids before it in the shard). Ids are cut into ranges of about
-    per_shard rows, a shard each; texts are shuffled once. Null ids come first; of rows with equal ids, each is written.
+    per_shard rows, or into so many `ranges` if that is fewer; texts are shuffled once. A range is written as a stream and
+    cut again: a file ends after 2 * per_shard rows, whatever the table's size. Null ids come first; of rows with equal ids, each is written.
     """
     own = columns_of(docs, [(id_col, "doc_id"), (text_col, "text")])
     data = f"{folder}/data"
@@ -101,24 +104,26 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end: tuple[int, ...
         t = tokenizer(tokenizer_path)
 
         def one():
-            out, shard = None, None
+            out, held, shard = None, None, 0
             for block, doc, text in rows(batches, "block", "doc_id", "text"):
-                if block != shard:
+                if block != held or out.row == 2 * per_shard:
                     if out:
                         out.close()
-                    out, shard = _Writer(data, block + 1), block
+                    held, shard = block, shard + 1 if block == held else (block + 1) * FILES
+                    out = _Writer(data, shard)
                 ids = t.encode(text)
                 at, size = out.add(pack_ids(ids, t.width, end))
                 n = len(ids) // 4 + len(end)
-                yield block + 1, out.row, doc, at, size, n, out.before
+                yield shard, out.row, doc, at, size, n, out.before
                 out.row, out.before = out.row + 1, out.before + n
             if out:
                 out.close()
 
         yield from batched(one(), _INDEX)
 
-    placed = own.withColumn("block", id_blocks(own, "doc_id", per_shard))
-    placed = placed.repartition(shuffles(own, per_shard), "block").sortWithinPartitions("block", F.col("doc_id").asc_nulls_first(), "text")
+    block, n_rows = id_ranges(own, "doc_id", per_shard, ranges)
+    placed = own.withColumn("block", block)
+    placed = placed.repartition(shuffles(own.sparkSession, n_rows, per_shard), "block").sortWithinPartitions("block", F.col("doc_id").asc_nulls_first(), "text")
     placed.select("block", "doc_id", "text").mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
 
 

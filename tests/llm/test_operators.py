@@ -81,6 +81,9 @@ def test_blocks_ascend_with_ids(spark):
     far = spark.createDataFrame([(i,) for i in [*range(5000), 10**15]], "doc_id long")
     blocks = far.groupBy(id_blocks(far, "doc_id", 100).alias("b")).count().collect()
     assert max(r["count"] for r in blocks) <= 200 and sum(r["count"] for r in blocks) == 5001
+    many = spark.range(30_000).withColumnRenamed("id", "doc_id")  # more ranges than the first pass has quantiles
+    sizes = [r["count"] for r in many.groupBy(id_blocks(many, "doc_id", 20)).count().collect()]
+    assert len(sizes) > 1200 and max(sizes) <= 40
     assert {r.b for r in far.limit(0).select(id_blocks(far.limit(0), "doc_id").alias("b")).collect()} == set()
 
 
@@ -312,6 +315,13 @@ def test_records_round_trip(spark, docs, given):
             assert (r.start, r.n_tokens, r.ids) == (start, len(ids), ids)
             assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
             start += len(ids)
+    # two ranges, and nulls, are cut into files of 14 rows at most, in the same order
+    folder, some = scratch_path(spark, "records-test"), docs_of(spark, [str(i) for i in range(100)], [None, None, *range(98)]).repartition(3)
+    records.write(some, folder, path, per_shard=7, ranges=2)
+    found = records.index(spark, folder)
+    assert max(r["count"] for r in found.groupBy("shard").count().collect()) == 14 and found.select("shard").distinct().count() >= 8
+    got = records.read(found, folder).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, *range(98)] and [r.ids for r in got[2:]] == [t.encode(str(i), add_special_tokens=False).ids for i in range(2, 100)]
     folder = scratch_path(spark, "records-test")
     records.write(docs.limit(0), folder, path)
     assert records.read(records.index(spark, folder), folder).count() == 0
