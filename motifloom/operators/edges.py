@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motifloom.functions.scores import alignment_similarity, anchor_bound, anchor_similarity, terminal_similarity
-from motifloom.operators.candidates import anchor_pairs
+from motifloom.operators.candidates import anchor_pairs, hit_count
 from motifloom.operators.tables import stored
 from motifloom.plans.config import Config
 
@@ -91,3 +91,10 @@ def cost_counters(found: DataFrame, pairs: DataFrame, nodes: DataFrame, config:
     """One row: index_hits, distinct_pairs, bound_rejected, pairs_scored; `found` are hits(), pairs the distinct ones."""
     passed = stored(with_sides(pairs, nodes).select(gate(config).alias("ok")), "gate").agg(F.count("*").alias("distinct_pairs"), F.count_if(~F.col("ok")).alias("bound_rejected"), F.count_if("ok").alias("pairs_scored"))
     return found.agg(F.count("*").alias("index_hits")).crossJoin(passed)  # one row each
+
+
+def counted_costs(pairs: DataFrame, nodes: DataFrame, config: Config) -> DataFrame:
+    """The row of cost_counters() for the distinct pairs of the settings' seeds, without a list of hits: they are counted by buckets."""
+    ok = with_sides(pairs, nodes).select(gate(config).alias("ok"))
+    passed = ok.agg(F.count("*").alias("distinct_pairs"), F.count_if(~F.col("ok")).alias("bound_rejected"), F.count_if("ok").alias("pairs_scored"))
+    return hit_count(nodes, config.seed, config.seed_threshold).crossJoin(passed)  # one row each

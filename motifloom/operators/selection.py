@@ -168,3 +168,12 @@ def nearest(df: DataFrame, key: str, value: str, targets: list[float]) -> DataFr
     picks = [F.min(F.struct(F.abs(F.col(value) - t).alias("d"), F.col(key).alias("k"))).alias(f"t{i}") for i, t in enumerate(targets)]
     found = df.agg(*picks).select(F.explode(F.array(*[F.col(f"t{i}.k") for i in range(len(targets))])).alias(key))
     return df.join(found.distinct(), key, "left_semi")
+
+
+def compared_runs(runs: DataFrame, *by: str) -> DataFrame:
+    """(by, datasets, mean_edges, mean_clusters, mean_singleton_share) of runs(by, edges, clusters, singletons, records).
+
+    A run's share is that of its records that are alone in their clusters; runs without records have none and do not count in its mean.
+    """
+    share = F.try_divide(F.col("singletons").cast("double"), F.col("records").cast("double"))
+    return runs.groupBy(*by).agg(F.count("*").alias("datasets"), F.avg("edges").alias("mean_edges"), F.avg("clusters").alias("mean_clusters"), F.avg(share).alias("mean_singleton_share"))

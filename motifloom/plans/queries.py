@@ -296,18 +296,28 @@ _sql["edges_combined_kmer"] = _edges_sql(PAIRS, COMBINED) + "SELECT * FROM edges
 _sql["edges_default_seeds"] = _edges_sql(_pairs_sql("all_column_pairs", 0.40)) + "SELECT * FROM edges"
 
 
-@query(PAIRS + f""", h AS (SELECT node_id, {_HYP} AS h FROM nodes), k AS (SELECT t0, t1, t2, t3, t4, t5, any_value(h) AS h, length = 8 AS short, list(node_id) AS ids FROM nodes JOIN h USING (node_id) GROUP BY ALL),
+_COSTS = f""", h AS (SELECT node_id, {_HYP} AS h FROM nodes), k AS (SELECT t0, t1, t2, t3, t4, t5, any_value(h) AS h, length = 8 AS short, list(node_id) AS ids FROM nodes JOIN h USING (node_id) GROUP BY ALL),
 sh AS (SELECT row_number() OVER () AS s, h, ids FROM k), of AS (SELECT s, unnest(ids) AS node_id FROM sh),
 met AS (SELECT a.s AS x, b.s AS y, count(*) AS n FROM pairs JOIN of a ON a.node_id = u JOIN of b ON b.node_id = v GROUP BY ALL),
 p AS (SELECT x, y, n, CASE WHEN len(a.h) > len(b.h) THEN b.h ELSE a.h END AS few, CASE WHEN len(a.h) > len(b.h) THEN a.h ELSE b.h END AS many FROM met JOIN sh a ON a.s = x JOIN sh b ON b.s = y),
 g AS (SELECT n, least(1000, greatest(0, list_sum(list_transform(few, lambda i: list_max(list_transform(many, lambda j: {_sim('i // 20', 'j // 20')} + {_sim('i % 20', 'j % 20')}))))) // (2 * len(few))) AS bound FROM p, c)
-SELECT (SELECT sum(hits) FROM pairs)::BIGINT AS index_hits, sum(n)::BIGINT AS distinct_pairs, coalesce(sum(n) FILTER (bound < {KMER.anchor_q}), 0)::BIGINT AS bound_rejected, coalesce(sum(n) FILTER (bound >= {KMER.anchor_q}), 0)::BIGINT AS pairs_scored FROM g""")
+SELECT (SELECT sum(hits) FROM pairs)::BIGINT AS index_hits, sum(n)::BIGINT AS distinct_pairs, coalesce(sum(n) FILTER (bound < {KMER.anchor_q}), 0)::BIGINT AS bound_rejected, coalesce(sum(n) FILTER (bound >= {KMER.anchor_q}), 0)::BIGINT AS pairs_scored FROM g"""
+
+
+@query(PAIRS + _COSTS)
 def edge_costs(spark: SparkSession, d: str) -> DataFrame:
     known = node_table(spark, d)
     found = stored(candidates.hits(known, SEED, SEED_AT), "hits")
     return edges.cost_counters(found, found.distinct(), known, KMER)
 
 
+@query(_DEFAULT_PAIRS + _COSTS)
+def edge_costs_default_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """The costs of the default seeds, their hits counted by buckets."""
+    known = node_table(spark, d)
+    return edges.counted_costs(candidates.candidates(known, DEFAULT.seed, DEFAULT.seed_threshold), known, DEFAULT)
+
+
 @query()
 def prefilter_union(spark: SparkSession, d: str) -> DataFrame:
     """The union of high-confidence edges by common anchors and of those in the scope they leave."""

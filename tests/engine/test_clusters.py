@@ -356,3 +356,31 @@ def test_greedy_reassignment_moves_on_the_margin_only(spark):
     to = lambda margin, greedy_: {r.node_id: r.rep for r in refine.reassigned(part, graph, margin, greedy_).collect()}
     # equal weights are decided by the scores in the graph method alone; a larger weight moves in both, unless it is within the margin
     assert to(0, False) == {0: 0, 1: 1, 2: 0, 3: 0} and to(0, True) == {0: 0, 1: 1, 2: 1, 3: 0} and to(1, False) == to(1, True) == {0: 0, 1: 1, 2: 1, 3: 1}
+
+
+@pytest.mark.parametrize("seed, at", [("contiguous", 0.4), ("all_column_pairs", 0.4), ("all_column_pairs", 0.8)])
+def test_hits_counted_by_buckets_are_those_listed(spark, seed, at):
+    known = nodes.features(nodes.load(spark.createDataFrame([(s,) for s in SEQUENCES], "sequence string"))).persist()
+    config = Config(mode="separate_kmer_anchor", kmer_threshold=0.3, anchor_threshold=0.5, seed=seed, seed_threshold=at)
+    found = candidates.hits(known, seed, at)
+    want = edges.cost_counters(found, found.distinct(), known, config).first()
+    assert edges.counted_costs(candidates.candidates(known, seed, at), known, config).first() == want and want.index_hits > 0
+    empty = known.limit(0)
+    assert tuple(edges.counted_costs(candidates.candidates(empty, seed, at), empty, config).first()) == (0, 0, 0, 0)
+
+
+def test_summary_of_a_run(spark, tmp_path):
+    data = spark.createDataFrame([(f"h{i}", s) for i, s in enumerate([*SEQUENCES, SEQUENCES[0], "SHORT", None])], "header string, sequence string")
+    for method in ("graph", "greedy"):
+        config = Config(mode="separate_kmer_anchor", threshold=0.4, method=method)
+        result = runs.cluster(data, config)
+        shown = {r.name: r.value for r in runs.run_summary(data, result, config).collect()}
+        n = result.nodes.count()
+        assert (shown["input_records"], shown["excluded_records"], shown["nodes"]) == (str(data.count()), "2", str(n)) and shown["method"] == method
+        costs = runs.run_costs(result, config).first()
+        assert costs.possible_pairs == n * (n - 1) // 2 and abs(costs.share_scored - costs.pairs_scored / (n * (n - 1) / 2)) < 1e-12
+        assert method == "graph" or costs.pairs_scored == result.pairs_scored
+        assert shown["clusters"] == str(result.partition.select("rep").distinct().count()) and shown["converged"] == "True"
+        runs.write_summary(data, result, config, str(tmp_path / method))
+        lines = [r.value for r in spark.read.text(str(tmp_path / method / "run_summary.txt")).collect()]
+        assert lines == [f"{k}: {v}" for k, v in shown.items()]

@@ -304,3 +304,10 @@ def test_seeds_are_farthest_first(spark, k):
     want = plain_seeds(counts, sizes, k)
     got, got_sizes = motifs.farthest_first(known, part, k)
     assert np.array_equal(got, counts[want]) and np.array_equal(got_sizes, sizes[want])
+
+
+def test_runs_are_compared_by_set(spark):
+    rows = [("a", 10, 4, 2, 8), ("a", 20, 6, 6, 6), ("b", 0, 0, 0, 0), ("b", None, 3, 1, 4), (None, 1, 1, 1, 1)]
+    got = selection.compared_runs(spark.createDataFrame(rows, "formula string, edges long, clusters long, singletons long, records long"), "formula")
+    assert {r.formula: tuple(r)[1:] for r in got.collect()} == {"a": (2, 15.0, 5.0, 0.625), "b": (2, 0.0, 1.5, 0.25), None: (1, 1.0, 1.0, 1.0)}
+    assert selection.compared_runs(spark.createDataFrame([], "formula string, edges long, clusters long, singletons long, records long"), "formula").count() == 0
