@@ -20,6 +20,8 @@ from motifloom.functions.alphabet import ALPHABET, SIZE, dimer_similarity, resid
 #: Sequences weigh 4 times within this many residues of either end.
 END, END_WEIGHT = 3, 4
 SCALE = 1000
+#: Terminal codes that hypotheses join: of sequences of eight residues, and of longer ones.
+SHORT, LONG = ((0, 4), (0, 5), (1, 5)), ((0, 3), (0, 4), (0, 5), (1, 4), (1, 5), (2, 5))
 
 
 def terminal_similarity(a: Column, b: Column) -> Column:
@@ -41,6 +43,31 @@ def anchor_bound(a: Column, b: Column) -> Column:
     return F.when(n == 0, 0).otherwise(F.least(F.lit(1000), F.floor(F.greatest(F.lit(0), total) / (2 * n)).cast("int")))
 
 
+def packed(terminal: Column, short: Column) -> Column:
+    """Six terminal codes, and whether the sequence has eight residues, as one long."""
+    number = F.lit(0).cast("long")
+    for k in range(6):
+        number = number * SIZE + F.get(terminal, k)
+    return number * 2 + short.cast("long")
+
+
+def packed_bounds(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """anchor_bound() of pairs of packed() numbers: hypotheses join a front and a back residue, so nine similarities of fronts and nine of backs make them all."""
+    table = np.array(residue_similarities(), np.int64).reshape(SIZE, SIZE)
+    a, b = ([x // 2 // SIZE ** (5 - k) % SIZE for k in range(6)] for x in (left, right))
+    out = np.zeros(len(left), np.int64)
+    for shapes in ((x, y) for x in (0, 1) for y in (0, 1)):
+        at = np.flatnonzero((left % 2 == shapes[0]) & (right % 2 == shapes[1]))
+        near = {(x, y): table[a[x][at], b[y][at]] for s in (0, 3) for x in range(s, s + 3) for y in range(s, s + 3)}
+        mine, other = (SHORT if x else LONG for x in shapes)
+        swap = len(mine) > len(other)
+        of = lambda x, y: near[(y, x) if swap else (x, y)]  # noqa: B023, E731
+        few, many = (other, mine) if swap else (mine, other)
+        total = sum(np.max([of(f, g) + of(e, h) for g, h in many], axis=0) for f, e in few)
+        out[at] = np.minimum(1000, np.maximum(0, total) // (2 * len(few)))
+    return out
+
+
 def assignment(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The anchor similarity of pairs of hypotheses, (pairs, few) and (pairs, many): the best one-to-one assignment of the fewer.
 

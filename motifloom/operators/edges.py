@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motifloom.functions.scores import alignment_similarity, anchor_bound, anchor_similarity, terminal_similarity
+from motifloom.functions.scores import SHORT, alignment_similarity, anchor_bound, anchor_similarity, packed, packed_bounds, terminal_similarity
+from motifloom.operators import ends
 from motifloom.operators.candidates import anchor_pairs, hit_count
 from motifloom.operators.tables import stored
 from motifloom.plans.config import Config
@@ -21,7 +22,11 @@ def with_sides(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def gate(config: Config) -> Column:
     """The sound rejection test: pairs that fail it can't be edges."""
-    bound = anchor_bound(F.col("a.h"), F.col("b.h"))
+    return passes(anchor_bound(F.col("a.h"), F.col("b.h")), config)
+
+
+def passes(bound: Column, config: Config) -> Column:
+    """Whether a bound leaves a pair the chance to be an edge."""
     if config.separate:
         return bound >= config.anchor_q
     return F.floor((bound + 1001) / 2) >= config.primary_q
@@ -95,6 +100,10 @@ def cost_counters(found: DataFrame, pairs: DataFrame, nodes: DataFrame, config:
 
 def counted_costs(pairs: DataFrame, nodes: DataFrame, config: Config) -> DataFrame:
     """The row of cost_counters() for the distinct pairs of the settings' seeds, without a list of hits: they are counted by buckets."""
-    ok = with_sides(pairs, nodes).select(gate(config).alias("ok"))
+    known = nodes.select("node_id", packed(F.col("t"), F.size("h") == len(SHORT)).alias("_packed"))
+    side = lambda name: known.select(F.col("node_id").alias(name), F.col("_packed").alias(f"_{name}"))
+    bound = ends.scored(packed_bounds, F.col("_u"), F.col("_v"))
+    ok = pairs.join(side("u"), "u").join(side("v"), "v").select(passes(bound, config).alias("ok"))
+    ok = stored(ok, "gate")
     passed = ok.agg(F.count("*").alias("distinct_pairs"), F.count_if(~F.col("ok")).alias("bound_rejected"), F.count_if("ok").alias("pairs_scored"))
     return hit_count(nodes, config.seed, config.seed_threshold).crossJoin(passed)  # one row each

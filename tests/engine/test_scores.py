@@ -120,3 +120,17 @@ def test_config_rules():
     for wrong in ({"mode": "x"}, {"threshold": 2}, {"gaps": (1, 0, 0, 0)}, {"terminal_matches": 4}, {"motif_count": 3}, {"method": "greedy", "prefilter": "force"}, {"method": "greedy", "selection": "lazy_exact", "order": "intrinsic"}):
         with pytest.raises(ValueError):
             Config(**wrong)
+
+
+def test_bounds_of_packed_codes_are_those_of_hypotheses(spark):
+    from motifloom.functions.scores import packed, packed_bounds
+    from motifloom.operators.ends import scored
+
+    letters = random.Random(8)
+    rows = [tuple("".join(letters.choice(ALPHABET) for _ in range(letters.choice((8, 8, 9, 12)))) for _ in range(2)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    t = {c: nodes.terminal_codes(F.col(c)) for c in "ab"}
+    code = [packed(t[c], F.length(c) == 8) for c in "ab"]
+    h = [nodes.hypotheses(t[c], F.length(c)) for c in "ab"]
+    got = df.select(scored(packed_bounds, *code).alias("x"), anchor_bound(*h).alias("y")).collect()
+    assert all(r.x == r.y for r in got) and len({r.x for r in got}) > 20 and len(packed_bounds(np.zeros(0, np.int64), np.zeros(0, np.int64))) == 0
