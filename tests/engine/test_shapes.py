@@ -36,3 +36,11 @@ def test_degrees_are_those_of_all_hits(known, seed, at):
             pairs[x] += 1
     got = shapes.degrees(known, seed, at).collect()
     assert {r.node_id: (r.candidates, r.hits, r.kmer) for r in got} == {x: (pairs[x], hits[x], kmer[x]) for x in pairs} and len(got) == len(pairs) > 20
+
+
+@pytest.mark.parametrize(("seed", "at"), SEEDS)
+def test_retained_counts_all_pairs(known, seed, at):
+    kmer = kmers(known, seed, at)
+    for least in (600, 800, 1000):
+        assert tuple(shapes.retained(known, seed, at, least).first()) == (len(kmer), sum(k >= least for k in kmer.values()))
+    assert tuple(shapes.retained(known.where("false"), seed, at, 800).first()) == (0, 0)
