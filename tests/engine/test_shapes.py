@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from motifloom.functions.scores import terminal_similarity
-from motifloom.operators import candidates, edges, nodes, shapes
+from motifloom.operators import candidates, edges, exhaustive, nodes, shapes
+from motifloom.plans import cluster as runs
+from motifloom.plans.config import Config
 
 rng = random.Random(4)
 #: Several sequences of one shape, and of one shape but for the mask.
@@ -44,3 +46,27 @@ def test_retained_counts_all_pairs(known, seed, at):
     for least in (600, 800, 1000):
         assert tuple(shapes.retained(known, seed, at, least).first()) == (len(kmer), sum(k >= least for k in kmer.values()))
     assert tuple(shapes.retained(known.where("false"), seed, at, 800).first()) == (0, 0)
+
+
+@pytest.mark.parametrize("config", [
+    Config(mode="separate_kmer_anchor", kmer_threshold=0.5, anchor_threshold=0.35), Config(mode="combined_kmer_anchor", threshold=0.6, seed="contiguous", seed_threshold=0.7),
+    Config(mode="separate_aln_anchor", alignment_threshold=0.4, anchor_threshold=0.3), Config(mode="combined_full_anchor", threshold=0.55),
+])
+def test_edges_by_shapes_are_those_of_pairs(known, config):
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    want = rows(edges.edges(candidates.candidates(known, config.seed, config.seed_threshold), known, config))
+    assert want and rows(shapes.edges(known, config)) == want
+
+
+def test_recall_is_that_of_listed_pairs(known):
+    config = Config(mode="separate_kmer_anchor", kmer_threshold=0.5, anchor_threshold=0.35)
+    true = {(r.u, r.v) for r in exhaustive.all_edges(known, config).collect()}
+    want = [(seed, at, len(true & {(r.u, r.v) for r in candidates.hits(known, seed, at).collect()}), len(true)) for seed, at in SEEDS]
+    assert sorted(map(tuple, shapes.recall(known, config, *SEEDS).collect())) == sorted(want) and 0 < want[0][2] < len(true)
+
+
+def test_terminal_edges_and_bounds_are_those_of_pairs(known):
+    want = sorted((*p, k) for p, k in kmers(known, "contiguous", 0.7).items() if k >= 700)
+    assert want and sorted(map(tuple, shapes.terminal_edges(known, "contiguous", 0.7, 700).collect())) == want
+    pairs = runs.bounds(known.sparkSession.createDataFrame([p[:2] for p in want], "u long, v long"), known)
+    assert sorted(map(tuple, shapes.terminal_edges(known, "contiguous", 0.7, 700, bounds=True).collect())) == sorted((r.u, r.v, r.bound) for r in pairs.collect())
