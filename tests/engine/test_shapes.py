@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motifloom.functions.scores import terminal_similarity
-from motifloom.operators import candidates, edges, exhaustive, nodes, shapes
+from motifloom.operators import candidates, cover, edges, exhaustive, nodes, shapes
 from motifloom.plans import cluster as runs
 from motifloom.plans.config import Config
 
@@ -70,3 +70,10 @@ def test_terminal_edges_and_bounds_are_those_of_pairs(known):
     assert want and sorted(map(tuple, shapes.terminal_edges(known, "contiguous", 0.7, 700).collect())) == want
     pairs = runs.bounds(known.sparkSession.createDataFrame([p[:2] for p in want], "u long, v long"), known)
     assert sorted(map(tuple, shapes.terminal_edges(known, "contiguous", 0.7, 700, bounds=True).collect())) == sorted((r.u, r.v, r.bound) for r in pairs.collect())
+
+
+@pytest.mark.parametrize("at", [0.5, 0.9])
+def test_cover_by_shapes_is_that_of_nodes(known, at):
+    config = Config(mode="separate_kmer_anchor", kmer_threshold=at, anchor_threshold=0.35)
+    want = sorted(map(tuple, cover.intrinsic(known, shapes.edges(known, config)).collect()))
+    assert sorted(map(tuple, shapes.intrinsic(known, config).collect())) == want and len({r for _, r in want}) < len(want)
