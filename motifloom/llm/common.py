@@ -49,15 +49,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def forget(*tables: DataFrame) -> None:
-    """Deletes tables of written() that no later step reads, so that they do not add up on disk.
-
-    The driver's garbage is collected as well: Spark deletes the shuffle files of finished jobs when it is.
-    """
+    """Deletes tables of written() that no later step reads, so that they do not add up on disk, and does sweep()."""
     for df in tables:
         _delete(df.sparkSession, df.scratch_path)
         _scratch.remove(df.scratch_path)
     if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        sweep(tables[0].sparkSession)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Has the shuffle files of finished jobs deleted, which Spark does when the driver's garbage is collected."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def marked() -> int:

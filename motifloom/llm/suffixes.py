@@ -16,7 +16,7 @@ have two pointers:
 2. that of all text that the pointer's windows cover: pointers that share it are repeated whole, and
    one of them goes on for all;
 3. for the rest, parts of PART windows: the bucket of the text that all of a part's windows have (64 bits, likewise);
-4. each window of the parts that are left.
+4. each window of the parts that are left, some of the buckets of parts at a time.
 
 Rounds 2 and 4, which remove text, tell buckets apart by 128 bits of BLAKE2b. Rounds count bucket
 members, with sums within tasks first, so a bucket of any size costs what its members do.
@@ -34,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StringType
 
-from motifloom.llm.common import columns_of, forget, fresh, written
+from motifloom.llm.common import columns_of, forget, fresh, sweep, written
 from motifloom.llm.tokens import batched, rows
 
 #: Windows in one part of round 3.
 PART = 16
+#: Round 4 lists its windows in so many turns, by the bucket of their part, so that fewer are on disk at once; equal windows have equal buckets.
+TURNS = 3
 #: Symbols of a text that are compared at once; longer texts go in parts that overlap.
 PIECE = 1 << 19
 #: Words inside a string of 400 bytes by which it is found; strings with fewer are found by bytes.
@@ -346,8 +348,13 @@ def _of(df: DataFrame, run: Callable[[Iterator, Rule], Iterator], rule: Rule, dd
 
 
 def _several(df: DataFrame, name: str, *keys: str) -> DataFrame:
-    """The keys that several rows have, under other names; a written table, so that a join with it has exchanges of its own, whose hot keys can be split."""
-    return written(df.groupBy(*keys).count().where("count > 1").select(*[F.col(k).alias(k + "_") for k in keys]), name)
+    """The keys that several rows have, under other names; a written table, so that a join with it has exchanges of its own, whose hot keys can be split.
+
+    The shuffle of the count is deleted before df goes through another one.
+    """
+    out = written(df.groupBy(*keys).count().where("count > 1").select(*[F.col(k).alias(k + "_") for k in keys]), name)
+    sweep(df.sparkSession)
+    return out
 
 
 def _semi(df: DataFrame, keys: DataFrame) -> DataFrame:
@@ -365,6 +372,7 @@ def repeated_runs(texts: DataFrame, rule: Rule) -> DataFrame:
     texts = held.select("k", "t", "text")
     heads = covers.groupBy("kind", "gram", "d0", "d1").agg(F.count("*").alias("n"), F.min(F.struct("k", "t", "at", "first", "last")).alias("head"))
     heads = written(heads.select("kind", "gram", "d0", "d1", "n", "head.*"), "heads")
+    sweep(texts.sparkSession)
     repeated = written(heads.where("n > 1").select(F.col("d0").alias("d0_"), F.col("d1").alias("d1_")), "covers-repeated")
     ranges = lambda df: df.groupBy("k", "t", "kind", "lo").agg(F.max("hi").alias("hi"))  # noqa: E731  # equal rows have the same
     whole = written(ranges(_semi(covers, repeated)), "whole")
@@ -372,17 +380,25 @@ def repeated_runs(texts: DataFrame, rule: Rule) -> DataFrame:
     split = _several(heads, "grams-split", "kind", "gram")
     parts = _of(_with_refs(texts, _semi(heads, split), "kind", "at", "first", "last"), _core_rows, rule, PARTS, "parts")
     cores = _several(parts, "cores", "kind", "core")
-    windows = _of(_with_refs(texts, _semi(parts, cores), "kind", "first", "last"), _window_rows, rule, WINDOWS, "windows")
-    forget(held, heads, split, parts, cores)
-    again = _several(windows, "windows-again", "d0", "d1")
-    single = written(_semi(windows, again).select("k", "t", "kind", "lo", "hi"), "windows-repeated")
-    forget(windows, again)
+    left = written(_semi(parts, cores), "parts-left")
+    forget(heads, split, parts, cores)
+    several = []
+    for turn in range(TURNS):
+        own = left.where(F.pmod("core", F.lit(TURNS)) == turn)
+        windows = _of(_with_refs(texts, own, "kind", "first", "last"), _window_rows, rule, WINDOWS, "windows")
+        again = _several(windows, "windows-again", "d0", "d1")
+        several.append(written(_semi(windows, again).select("k", "t", "kind", "lo", "hi"), "windows-repeated"))
+        forget(windows, again)
+    forget(held, left)
+    single = several[0]
+    for more in several[1:]:
+        single = single.unionByName(more)
     listed = whole.unionByName(ranges(single)).groupBy("k", "t").agg(F.collect_list(F.struct("kind", "lo", "hi")).alias("found"))
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     kinds = pa.schema([("k", pa.int64()), ("t", pa.int32()), ("of_bytes", spans), ("of_words", spans)])
     ddl = "k long, t int, of_bytes array<struct<start: int, end: int>>, of_words array<struct<start: int, end: int>>"
     out = written(listed.mapInArrow(lambda b: batched(_merged(b), kinds, 512), ddl), "spans")
-    forget(whole, single)
+    forget(whole, *several)
     return out
 
 

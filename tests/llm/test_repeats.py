@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+from motifloom.llm import suffixes
 
 
 def test_passages_of_51_words_are_cut(spark):
@@ -37,3 +38,19 @@ def test_passages_of_51_words_are_cut(spark):
         else:
             assert left == want[r.doc_id]
     assert want[2] == texts[2].split()
+
+
+def test_windows_in_turns_are_those_of_one_turn(spark, monkeypatch):
+    """Fewer windows are on disk at once, and the same runs are found."""
+    rng, of = random.Random(5), suffixes._of
+    words = ["".join(rng.choice("abcdef") for _ in range(5)) for _ in range(400)]
+    texts = [" ".join(words[i : i + rng.randint(80, 160)] + rng.sample(words, 20)) for i in range(0, 240, 9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+    found, sizes = [], []
+    for turns in (1, 3):
+        largest = []
+        monkeypatch.setattr(suffixes, "TURNS", turns)
+        monkeypatch.setattr(suffixes, "_of", lambda df, run, rule, ddl, name: (out := of(df, run, rule, ddl, name), largest.append(out.count() if name == "windows" else 0))[0])  # noqa: B023
+        found.append(sorted((r.doc_id, str(r.spans)) for r in suffixes.removals(docs).select("doc_id", "spans").collect()))
+        sizes.append(max(largest))
+    assert found[0] == found[1] and any(s != "None" for _, s in found[0]) and 0 < sizes[1] < sizes[0]
