@@ -25,6 +25,7 @@ members, with sums within tasks first, so a bucket of any size costs what its me
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -39,7 +40,7 @@ from motifloom.llm.tokens import batched, rows
 
 #: Windows in one part of round 3.
 PART = 16
-#: Round 4 lists its windows in so many turns, by the bucket of their part, so that fewer are on disk at once; equal windows have equal buckets.
+#: Rounds 2 and 4 list their rows in so many turns, by the bucket of the q-gram or of the part, so that fewer are on disk at once; equal texts have equal buckets.
 TURNS = 3
 #: Symbols of a text that are compared at once; longer texts go in parts that overlap.
 PIECE = 1 << 19
@@ -362,26 +363,35 @@ def _semi(df: DataFrame, keys: DataFrame) -> DataFrame:
     return df.join(keys, on, "left_semi")
 
 
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def repeated_runs(texts: DataFrame, rule: Rule) -> DataFrame:
     """(k, t, of_bytes, of_words): of texts(k, t, text) that have any, the runs of bytes that repeated windows cover."""
     found = _of(texts, _pointer_rows, rule, POINTERS, "pointers")
     grams = _several(found, "grams", "gram")
     held = written(_with_refs(texts, _semi(found, grams), "words", "at", "first", "last", "gram"), "held-texts")
     forget(found, grams)
-    covers = _of(held, _cover_rows, rule, COVERS, "covers")
-    texts = held.select("k", "t", "text")
-    heads = covers.groupBy("kind", "gram", "d0", "d1").agg(F.count("*").alias("n"), F.min(F.struct("k", "t", "at", "first", "last")).alias("head"))
-    heads = written(heads.select("kind", "gram", "d0", "d1", "n", "head.*"), "heads")
-    sweep(texts.sparkSession)
-    repeated = written(heads.where("n > 1").select(F.col("d0").alias("d0_"), F.col("d1").alias("d1_")), "covers-repeated")
+    texts, wholes, splits = held.select("k", "t", "text"), [], []
     ranges = lambda df: df.groupBy("k", "t", "kind", "lo").agg(F.max("hi").alias("hi"))  # noqa: E731  # equal rows have the same
-    whole = written(ranges(_semi(covers, repeated)), "whole")
-    forget(covers, repeated)
-    split = _several(heads, "grams-split", "kind", "gram")
-    parts = _of(_with_refs(texts, _semi(heads, split), "kind", "at", "first", "last"), _core_rows, rule, PARTS, "parts")
+    for turn in range(TURNS):
+        own = F.filter("refs", lambda r: F.pmod(r["gram"], F.lit(TURNS)) == turn)  # noqa: B023  # used in this turn only
+        covers = _of(held.withColumn("refs", own).where(F.size("refs") > 0), _cover_rows, rule, COVERS, "covers")
+        heads = covers.groupBy("kind", "gram", "d0", "d1").agg(F.count("*").alias("n"), F.min(F.struct("k", "t", "at", "first", "last")).alias("head"))
+        heads = written(heads.select("kind", "gram", "d0", "d1", "n", "head.*"), "heads")
+        sweep(texts.sparkSession)
+        repeated = written(heads.where("n > 1").select(F.col("d0").alias("d0_"), F.col("d1").alias("d1_")), "covers-repeated")
+        wholes.append(written(ranges(_semi(covers, repeated)), "whole"))
+        forget(covers, repeated)
+        split = _several(heads, "grams-split", "kind", "gram")
+        splits.append(written(_semi(heads, split).select("k", "t", "kind", "at", "first", "last"), "heads-split"))
+        forget(heads, split)
+    parts = _of(_with_refs(texts, _all(splits), "kind", "at", "first", "last"), _core_rows, rule, PARTS, "parts")
+    forget(*splits)
     cores = _several(parts, "cores", "kind", "core")
     left = written(_semi(parts, cores), "parts-left")
-    forget(heads, split, parts, cores)
+    forget(parts, cores)
     several = []
     for turn in range(TURNS):
         own = left.where(F.pmod("core", F.lit(TURNS)) == turn)
@@ -390,15 +400,12 @@ def repeated_runs(texts: DataFrame, rule: Rule) -> DataFrame:
         several.append(written(_semi(windows, again).select("k", "t", "kind", "lo", "hi"), "windows-repeated"))
         forget(windows, again)
     forget(held, left)
-    single = several[0]
-    for more in several[1:]:
-        single = single.unionByName(more)
-    listed = whole.unionByName(ranges(single)).groupBy("k", "t").agg(F.collect_list(F.struct("kind", "lo", "hi")).alias("found"))
+    listed = _all([*wholes, ranges(_all(several))]).groupBy("k", "t").agg(F.collect_list(F.struct("kind", "lo", "hi")).alias("found"))
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     kinds = pa.schema([("k", pa.int64()), ("t", pa.int32()), ("of_bytes", spans), ("of_words", spans)])
     ddl = "k long, t int, of_bytes array<struct<start: int, end: int>>, of_words array<struct<start: int, end: int>>"
     out = written(listed.mapInArrow(lambda b: batched(_merged(b), kinds, 512), ddl), "spans")
-    forget(whole, *several)
+    forget(*wholes, *several)
     return out
 
 

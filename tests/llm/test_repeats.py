@@ -54,3 +54,20 @@ def test_windows_in_turns_are_those_of_one_turn(spark, monkeypatch):
         found.append(sorted((r.doc_id, str(r.spans)) for r in suffixes.removals(docs).select("doc_id", "spans").collect()))
         sizes.append(max(largest))
     assert found[0] == found[1] and any(s != "None" for _, s in found[0]) and 0 < sizes[1] < sizes[0]
+
+
+def test_covers_in_turns_are_those_of_one_turn(spark, monkeypatch):
+    """What pointers cover is listed in turns too, by the bucket of the q-gram, and the same runs are found."""
+    rng, of = random.Random(6), suffixes._of
+    words = ["".join(rng.choice("abcdef") for _ in range(5)) for _ in range(400)]
+    texts = [" ".join(words[i : i + rng.randint(80, 160)] + rng.sample(words, 20)) for i in range(0, 240, 9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+    found, sizes = [], []
+    for turns in (1, 3):
+        covers = []
+        monkeypatch.setattr(suffixes, "TURNS", turns)
+        monkeypatch.setattr(suffixes, "_of", lambda df, run, rule, ddl, name: (out := of(df, run, rule, ddl, name), covers.append(out.count()) if name == "covers" else None)[0])  # noqa: B023
+        found.append(sorted((r.doc_id, str(r.spans)) for r in suffixes.removals(docs).select("doc_id", "spans").collect()))
+        sizes.append(covers)
+    assert found[0] == found[1] and any(s != "None" for _, s in found[0])
+    assert len(sizes[1]) == 3 and sum(sizes[1]) == sum(sizes[0]) > max(sizes[1]) > 0
