@@ -48,3 +48,36 @@ def test_refinement_by_shapes_is_that_of_edges(known, config, method):
     want, progress = refine.converge(start, pairs if scores else found, known, config, scores)
     got, own = graph.converge(start)
     assert rows(got) == rows(want.select("node_id", "rep")) != rows(start) and own == progress
+
+
+def test_only_clusters_with_other_members_choose_again(known, monkeypatch):
+    """After the first round representatives are chosen anew for clusters that gained or lost members alone, and the end is the same."""
+    config, asked, of = CONFIGS[0], [], shape_graph.ShapeGraph.represented
+    graph, found = shape_graph.ShapeGraph(known, config), shapes.edges(known, config).cache()
+    start = cover.intrinsic(known, found).cache()
+    monkeypatch.setattr(shape_graph.ShapeGraph, "represented", lambda self, state: (asked.append(state.select("rep").distinct().count()), of(self, state))[1])
+    got, own = graph.converge(start)
+    want, progress = refine.converge(start, found, known, config)
+    assert rows(got) == rows(want.select("node_id", "rep")) and own == progress and own.iterations > 1
+    assert max(asked[1:], default=0) < asked[0] and len(asked) < 2 * own.iterations
+
+
+def test_shape_pairs_in_blocks_are_all_pairs(known, monkeypatch):
+    """Pairs of shapes in blocks of any size are those of all shapes, and pairs under the anchor bound are no rows."""
+    made, of = [], shapes.distinct(shapes.shaped(known)).cache()
+    real = shapes.stored
+    monkeypatch.setattr(shapes, "stored", lambda df, name: (out := real(df, name), made.append(out) if name == "terminal-pairs" else None)[0])
+    config = CONFIGS[1]
+    for block in (2000, 7):
+        monkeypatch.setattr(shapes, "BLOCK", block)
+        plain = shapes.shape_pairs(of, 600, ("contiguous", 0.7))
+        shapes.shape_edges(of, config, (config.seed, config.seed_threshold)).count()
+    side = lambda s: of.select(*[shapes.F.col(c).alias(s + c) for c in ("shape", "front", "back")])
+    met = side("a").crossJoin(side("b")).where("ashape <= bshape").collect()
+    near = shapes.seeded("contiguous")
+    score = lambda r: (int(shapes.similar(r.afront, r.bfront)) + int(shapes.similar(r.aback, r.bback)) + 1) // 2
+    want = sorted((r.ashape, r.bshape, score(r)) for r in met if score(r) >= 600 and min(int(near(r.afront, r.bfront)), int(near(r.aback, r.bback))) >= 700)
+    assert rows(plain.select("sa", "sb", "kmer")) == want and len(want) > len(of.collect())
+    gate = 2 * config.primary_q - 1001
+    low = [df.where(shapes.anchor_bound(shapes.F.col("ah"), shapes.F.col("bh")) < gate).count() for df in made[1::2]]
+    assert low == [0, 0] and rows(made[1].select("sa", "sb", "kmer")) == rows(made[3].select("sa", "sb", "kmer"))
