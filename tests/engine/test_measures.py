@@ -311,3 +311,26 @@ def test_runs_are_compared_by_set(spark):
     got = selection.compared_runs(spark.createDataFrame(rows, "formula string, edges long, clusters long, singletons long, records long"), "formula")
     assert {r.formula: tuple(r)[1:] for r in got.collect()} == {"a": (2, 15.0, 5.0, 0.625), "b": (2, 0.0, 1.5, 0.25), None: (1, 1.0, 1.0, 1.0)}
     assert selection.compared_runs(spark.createDataFrame([], "formula string, edges long, clusters long, singletons long, records long"), "formula").count() == 0
+
+
+def test_em_packs_chunks_once_and_adds_as_plain_loops(spark, monkeypatch):
+    """Frames are packed once, no round shuffles them, and the rounds give what plain loops over all frames give."""
+    rng, k = np.random.default_rng(11), 2
+    letters = motifs.ALPHABET + "-"
+    rows = sorted({"".join(letters[i] for i in rng.integers(0, 21, 9)) for _ in range(200)})
+    frames = spark.createDataFrame([(f, i % 20, 1 + i % 3) for i, f in enumerate(rows)], "frame string, chunk long, weight long").cache()
+    counts, mixing, alpha = rng.random((k, 9, 20)) * 5, np.array([2.0, 1.0]), np.full(20, 0.05)
+    packed, real = [], motifs.stored
+    monkeypatch.setattr(motifs, "stored", lambda df, name: packed.append(name) or real(df, name))
+    got = motifs.em(frames, counts, mixing, alpha, 4, 0.0)
+    w, mix, c = np.array([1 + i % 3 for i in range(len(rows))], float), mixing / mixing.sum(), counts
+    for _ in range(4):
+        p = (c + alpha) / (c + alpha).sum(-1, keepdims=True)
+        logs = np.array([[np.log(mix[m]) + sum(np.log(p[m, j, letters.index(x)]) for j, x in enumerate(f) if x != "-") for m in range(k)] for f in rows])
+        share = np.exp(logs - logs.max(1, keepdims=True))
+        share = share / share.sum(1, keepdims=True) * w[:, None]
+        c = np.array([[[sum(s[m] for s, f in zip(share, rows, strict=True) if f[j] == a) for a in motifs.ALPHABET] for j in range(9)] for m in range(k)])
+        mix = share.sum(0) / share.sum()
+    assert packed == ["packed-chunks"] and got.iterations == 4
+    assert np.allclose(got.profiles, (c + alpha) / (c + alpha).sum(-1, keepdims=True)) and np.allclose(got.mixing, mix)
+    assert {r.frame: r.motif for r in got.labels.collect()} == dict(zip(rows, logs.argmax(1).tolist(), strict=True))
