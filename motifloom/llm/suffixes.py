@@ -38,10 +38,10 @@ from pyspark.sql.types import IntegralType, StringType
 from motifloom.llm.common import columns_of, forget, fresh, sweep, written
 from motifloom.llm.tokens import batched, rows
 
-#: Windows in one part of round 3.
-PART = 16
+#: Windows in one part of round 3. Where a passage begins and ends a part's text is mostly repeated but few of its windows are, so larger parts list more windows in vain.
+PART = 4
 #: Rounds 2 and 4 list their rows in so many turns, by the bucket of the q-gram or of the part, so that fewer are on disk at once; equal texts have equal buckets.
-TURNS = 3
+TURNS = 2
 #: Symbols of a text that are compared at once; longer texts go in parts that overlap.
 PIECE = 1 << 19
 #: Words inside a string of 400 bytes by which it is found; strings with fewer are found by bytes.
@@ -163,8 +163,13 @@ class Source:
     def __init__(self, text: str, rule: Rule):
         self.data, self.rule = text.encode("utf-8", "surrogatepass"), rule
         self.starts, self.ends = word_bounds(self.data)
-        self.bytes = Hashes(self.data)
-        self._symbols = self._joined = self._of_words = self._of_symbols = None
+        self._bytes = self._symbols = self._joined = self._of_words = self._of_symbols = None
+
+    @property
+    def bytes(self) -> Hashes:
+        if self._bytes is None:
+            self._bytes = Hashes(self.data)
+        return self._bytes
 
     @property
     def symbols(self) -> np.ndarray:
@@ -317,30 +322,44 @@ def _window_rows(batches: Iterator, rule: Rule) -> Iterator:
     yield from out.rest()
 
 
-def _runs(lo: np.ndarray, hi: np.ndarray) -> list[dict]:
-    """The maximal runs that ranges cover."""
-    order = np.argsort(lo)
-    lo, hi = lo[order], np.maximum.accumulate(hi[order])
-    new = np.flatnonzero(lo[1:] > hi[:-1]) + 1
-    starts, ends = lo[np.concatenate(([0], new))], hi[np.concatenate((new, [len(lo)])) - 1]
-    return [{"start": a, "end": b} for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+def _runs(ranges: np.ndarray) -> np.ndarray:
+    """The maximal runs that ranges (k, t, words, lo, hi) cover, both in columns ordered by all but hi."""
+    k, t, words, lo, hi = ranges
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1]) | (words[1:] != words[:-1])
+    base = np.cumsum(new) << 32  # a text's ends are under 2 ** 31, so the maxima of each group stay its own
+    most = np.maximum.accumulate(base + hi) - base
+    new[1:] |= lo[1:] > most[:-1]
+    at = np.flatnonzero(new)
+    return np.stack([k[at], t[at], words[at], lo[at], most[np.append(at[1:], len(k))[: len(at)] - 1]])
+
+
+def _lists(runs: np.ndarray) -> Iterator[tuple]:
+    """(k, t, runs of bytes, runs of words) of each text."""
+    k, t, words, lo, hi = runs.tolist()
+    cuts = np.flatnonzero((runs[0, 1:] != runs[0, :-1]) | (runs[1, 1:] != runs[1, :-1])) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(k)], strict=True) if k else ():
+        found = [[{"start": lo[i], "end": hi[i]} for i in range(a, b) if words[i] == kind] for kind in (0, 1)]
+        yield k[a], t[a], *found
 
 
 def _merged(batches: Iterator) -> Iterator:
-    """Of each text the maximal runs of bytes that repeated windows cover, of bytes and of words."""
+    """Of each text the maximal runs of bytes that repeated windows cover, of bytes and of words; rows come in the order of _runs()."""
+    held = np.zeros((5, 0), np.int64)
     for batch in batches:
-        found = batch.column("found")
-        offsets = found.offsets.to_numpy()
-        kind, lo, hi = (found.values.field(c).to_numpy() for c in ("kind", "lo", "hi"))
-        for i, (k, t) in enumerate(rows(iter([batch]), "k", "t")):
-            at = np.arange(offsets[i], offsets[i + 1])
-            words = kind[at] == OF_WORDS
-            yield k, t, *[_runs(lo[own], hi[own]) if len(own) else [] for own in (at[~words], at[words])]
+        rows_ = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("k", "t", "words", "lo", "hi")])
+        held = _runs(np.concatenate((held, rows_), axis=1))
+        if held.size:  # the last text may go on
+            last = (held[0] == held[0, -1]) & (held[1] == held[1, -1])
+            yield from _lists(held[:, ~last])
+            held = held[:, last]
+    yield from _lists(held)
 
 
 def _with_refs(texts: DataFrame, refs: DataFrame, *columns: str) -> DataFrame:
     """The texts(k, t, text) that refs names, each with the list of its refs; equal rows have one list."""
-    listed = refs.groupBy(F.col("k").alias("rk"), F.col("t").alias("rt")).agg(F.collect_set(F.struct(*columns)).alias("refs"))
+    dealt = refs.select(F.col("k").alias("rk"), F.col("t").alias("rt"), *columns).repartition("rk", "rt")  # lists are made once, where they stay
+    listed = dealt.groupBy("rk", "rt").agg(F.collect_set(F.struct(*columns)).alias("refs"))
     return texts.join(listed, (F.col("k") == F.col("rk")) & (F.col("t") == F.col("rt"))).select("k", "t", "text", "refs")
 
 
@@ -359,8 +378,9 @@ def _several(df: DataFrame, name: str, *keys: str) -> DataFrame:
 
 
 def _semi(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of df with one of keys; these are fewer and are hashed, so that df's rows need no sort."""
     on = [F.col(c[:-1]) == F.col(c) for c in keys.columns]
-    return df.join(keys, on, "left_semi")
+    return df.join(keys.hint("shuffle_hash"), on, "left_semi")
 
 
 def _all(tables: list[DataFrame]) -> DataFrame:
@@ -374,12 +394,12 @@ def repeated_runs(texts: DataFrame, rule: Rule) -> DataFrame:
     held = written(_with_refs(texts, _semi(found, grams), "words", "at", "first", "last", "gram"), "held-texts")
     forget(found, grams)
     texts, wholes, splits = held.select("k", "t", "text"), [], []
-    ranges = lambda df: df.groupBy("k", "t", "kind", "lo").agg(F.max("hi").alias("hi"))  # noqa: E731  # equal rows have the same
+    ranges = lambda df: df.select("k", "t", "kind", "lo", "hi")
     for turn in range(TURNS):
         own = F.filter("refs", lambda r: F.pmod(r["gram"], F.lit(TURNS)) == turn)  # noqa: B023  # used in this turn only
         covers = _of(held.withColumn("refs", own).where(F.size("refs") > 0), _cover_rows, rule, COVERS, "covers")
-        heads = covers.groupBy("kind", "gram", "d0", "d1").agg(F.count("*").alias("n"), F.min(F.struct("k", "t", "at", "first", "last")).alias("head"))
-        heads = written(heads.select("kind", "gram", "d0", "d1", "n", "head.*"), "heads")
+        head = [F.first(c).alias(c) for c in ("k", "t", "at", "first", "last")]  # whichever row is met first, one for all columns
+        heads = written(covers.groupBy("kind", "gram", "d0", "d1").agg(F.count("*").alias("n"), *head), "heads")
         sweep(texts.sparkSession)
         repeated = written(heads.where("n > 1").select(F.col("d0").alias("d0_"), F.col("d1").alias("d1_")), "covers-repeated")
         wholes.append(written(ranges(_semi(covers, repeated)), "whole"))
@@ -392,20 +412,20 @@ def repeated_runs(texts: DataFrame, rule: Rule) -> DataFrame:
     cores = _several(parts, "cores", "kind", "core")
     left = written(_semi(parts, cores), "parts-left")
     forget(parts, cores)
-    several = []
     for turn in range(TURNS):
         own = left.where(F.pmod("core", F.lit(TURNS)) == turn)
         windows = _of(_with_refs(texts, own, "kind", "first", "last"), _window_rows, rule, WINDOWS, "windows")
         again = _several(windows, "windows-again", "d0", "d1")
-        several.append(written(_semi(windows, again).select("k", "t", "kind", "lo", "hi"), "windows-repeated"))
+        wholes.append(written(ranges(_semi(windows, again)), "windows-repeated"))
         forget(windows, again)
     forget(held, left)
-    listed = _all([*wholes, ranges(_all(several))]).groupBy("k", "t").agg(F.collect_list(F.struct("kind", "lo", "hi")).alias("found"))
+    order = ("k", "t", "words", "lo")
+    listed = _all(wholes).select("k", "t", (F.col("kind") == OF_WORDS).cast("int").alias("words"), "lo", "hi").repartition("k", "t").sortWithinPartitions(*order)
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     kinds = pa.schema([("k", pa.int64()), ("t", pa.int32()), ("of_bytes", spans), ("of_words", spans)])
     ddl = "k long, t int, of_bytes array<struct<start: int, end: int>>, of_words array<struct<start: int, end: int>>"
     out = written(listed.mapInArrow(lambda b: batched(_merged(b), kinds, 512), ddl), "spans")
-    forget(*wholes, *several)
+    forget(*wholes)
     return out
 
 

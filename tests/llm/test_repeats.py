@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
+
 import corpus_pipeline
 from motifloom.llm import suffixes
 
@@ -71,3 +73,12 @@ def test_covers_in_turns_are_those_of_one_turn(spark, monkeypatch):
         sizes.append(covers)
     assert found[0] == found[1] and any(s != "None" for _, s in found[0])
     assert len(sizes[1]) == 3 and sum(sizes[1]) == sum(sizes[0]) > max(sizes[1]) > 0
+
+
+def test_runs_go_on_over_batches():
+    rows = [(1, 0, 0, 0, 10), (1, 0, 0, 5, 12), (1, 0, 0, 12, 20), (1, 0, 0, 30, 40), (1, 0, 1, 2, 9), (2, 0, 0, 0, 5), (2, 1, 1, 1, 6), (2, 1, 1, 3, 4)]
+    want = [(1, 0, [{"start": 0, "end": 20}, {"start": 30, "end": 40}], [{"start": 2, "end": 9}]), (2, 0, [{"start": 0, "end": 5}], []), (2, 1, [], [{"start": 1, "end": 6}])]
+    for size in (1, 2, 3, 8):
+        table = pa.table({c: [r[i] for r in rows] for i, c in enumerate(("k", "t", "words", "lo", "hi"))})
+        assert list(suffixes._merged(iter(table.to_batches(size)))) == want
+    assert list(suffixes._merged(iter([]))) == []
