@@ -18,6 +18,10 @@ from motifloom.llm.tokens import batched, rows
 BUCKET = 64
 #: near_groups: one document of so many is counted for the order of shingles, which has so many common ones at most; the documents of an entry with which its others are compared in the first round, sixteen times as many in each later one.
 SAMPLE, COMMON, HEADS = 8, 100_000, 4
+#: near_groups: the words of a set's parities, 64 bits each.
+PARITIES = ("b0", "b1", "b2", "b3")
+#: near_groups: listed shingles of a document up to which a pair is met at one of those it shares only.
+KEYS = 64
 
 
 def _bits(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -152,19 +156,25 @@ def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], n[order]
 
 
+def _parities(hashes: np.ndarray) -> list[int]:
+    """Whether an odd number of the hashes ends in each 8-bit value. A hash that one of two sets has alone turns one bit, so sets differ in as many hashes at least as bits."""
+    odd = np.bincount((hashes & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def _prefixes(batches: Iterator, size: int, common: tuple[np.ndarray, np.ndarray]) -> Iterator:
-    """Of each text a 128-bit name of its set of shingles, their number, the set's fingerprint, and the first fifth (and one more), those that few documents have first."""
+    """Of each text a 128-bit name of its set of shingles, their number, the set's fingerprint and parities, and the first fifth (and one more), those that few documents have first."""
     from xxhash import xxh3_128_digest
 
     keys, counts = common
     for doc, text in rows(batches, "doc_id", "text"):
         hashes = _shingle_hashes(text, size)
         name = np.frombuffer(xxh3_128_digest(hashes.tobytes()), "<i8").tolist()
-        n, fp = len(hashes), int(_bits(hashes, 1)[0]) if len(hashes) else 0
+        n, fp, odd = len(hashes), int(_bits(hashes, 1)[0]) if len(hashes) else 0, _parities(hashes)
         if len(keys) and n:
             at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
             hashes = hashes[np.lexsort((hashes, np.where(keys[at] == hashes, counts[at], 0)))]
-        yield doc, *name, n, fp, hashes[: n - -(-4 * n // 5) + 1].view(np.int64) if n else []
+        yield doc, *name, n, fp, *odd, hashes[: n - -(-4 * n // 5) + 1].view(np.int64) if n else []
 
 
 def _sets(batches: Iterator, size: int, bits: int) -> Iterator:
@@ -231,18 +241,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one, in different components so far, are compared by their complete sets, unless their sizes,
     the places of the shingle in both or the number of listed shingles that both have leave too little to
     have in common: what two sets share is at most what their prefixes share and what one of them has
-    behind its prefix. (Entries settled before count for nothing there: a pair that shares one is
+    behind its prefix. Nor are they compared if the parities of their sets (256 bits) differ in more bits than the sets may differ in
+    shingles, so a crowded entry of texts that differ makes few pairs; those of over 575 shingles are seldom told apart so. (Entries settled before count for nothing there: a pair that shares one is
     decided, or in one component.) In rounds,
     the documents of a large entry are compared with `heads` of its own, then with sixteen times as many;
     entries with up to four times as many documents are settled by all their pairs that are not yet in
-    one component. So an entry of one group costs what it holds.
+    one component. So an entry of one group costs what it holds. From the second round on, where entries are crowded, documents go
+    along with the keys they have there (KEYS at most, or none), so that a pair makes a row at its smallest shared key alone.
     Equal sets count once. Texts without words are near nothing but each other; null ids are left
     out. Rows that repeat an id are one document, near whatever one of them is near.
     """
     docs = columns_of(docs, [(id_col, "doc_id"), (text_col, "text")]).where("doc_id is not null")
-    schema = pa.schema([("doc_id", pa.int64()), ("k0", pa.int64()), ("k1", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("k0", pa.int64()), ("k1", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), *[(c, pa.int64()) for c in PARITIES], ("keys", pa.list_(pa.int64()))])
     common = _common(docs, size)
-    own = docs.mapInArrow(lambda b: batched(_prefixes(b, size, common), schema, 512), "doc_id long, k0 long, k1 long, n int, fp long, keys array<long>")
+    own = docs.mapInArrow(lambda b: batched(_prefixes(b, size, common), schema, 512), "doc_id long, k0 long, k1 long, n int, fp long, " + "".join(f"{c} long, " for c in PARITIES) + "keys array<long>")
     own = written(own, "prefixes")
     kinds = written(own.groupBy("k0", "k1").agg(F.min("doc_id").alias("id"), F.max("fp").alias("fp"), F.max("n").alias("n")), "shingle-kinds")
     firsts = kinds.where("n > 0").select(F.col("id").alias("doc_id"), "k0", "k1")
@@ -252,16 +264,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = written(listed.groupBy("key").count().where("count > 1").select(F.col("key").alias("held")), "near-held")
     entries = written(listed.join(held, F.col("key") == F.col("held"), "left_semi").select("id", "key", "of.*"), "near-entries")
     forget(listed, held)
+    # ids whose rows have different texts have no parities
+    odd = own.where("n > 0").groupBy(F.col("doc_id").alias("odd_id")).agg(*[F.min(c).alias(c) for c in PARITIES], *[F.max(c).alias("m" + c) for c in PARITIES])
+    odd = written(odd.where(" AND ".join(f"{c} = m{c}" for c in PARITIES)).select("odd_id", *PARITIES), "near-parities")
+    with_odd = lambda df: df.join(odd, F.col("id") == F.col("odd_id"), "left").drop("odd_id")
     side = lambda df, of: df.select(*[F.col(c).alias(of + c) for c in df.columns])
     # sizes, and what is left behind the shingle's places, allow a similarity of 0.8; one component is not compared again
     both = 4 * (F.col("xn") + F.col("yn"))
-    near = (9 * F.least("xn", "yn") >= both) & (F.col("xroot") != F.col("yroot"))
+    turned = sum((F.bit_count(F.col("x" + c).bitwiseXOR(F.col("y" + c))) for c in PARITIES[1:]), F.bit_count(F.col("xb0").bitwiseXOR(F.col("yb0"))))
+    near = (9 * F.least("xn", "yn") >= both) & (F.col("xroot") != F.col("yroot")) & F.coalesce(9 * turned <= F.col("xn") + F.col("yn"), F.lit(True))
     left = 9 * F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos")) >= both
     # a pair that may share an earlier shingle in a large entry is not decided by the places of this one, as this entry does not come again
     left = left | (~F.col("ylarge") & (F.least("xwide", "ywide") > 0))
     # nine times the listed shingles that a pair must share in entries that this round settles: the rest may lie behind a prefix or in large entries
     behind = F.floor((4 * F.greatest("xn", "yn") + 4) / 5) - 1
     needed = both - 9 * (behind + F.least("xwide", "ywide"))
+    shared = F.array_intersect("xkeys", "ykeys")
+    once = F.coalesce(F.col("xkey") == F.array_min(shared), F.lit(True))
     found = _similar(_by_fingerprint(kinds.where("n > 0")), docs, size)
     again, roots, several = found.where("again"), written(components(found.where("not again")), "near-roots"), heads
     while True:
@@ -275,15 +294,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if apart.isEmpty():
             break
         wide = F.sum(F.col("large").cast("int")).over(Window.partitionBy("id")).alias("wide")
-        entries = written(at.join(apart, F.col("key") == F.col("of")).select(*at.columns, "large", wide), "near-left")
+        several_keys = lambda c: F.when(F.size(c) <= KEYS, c)
+        of_kind = [F.collect_list(F.when(F.col("large") == kind, F.col("key"))).over(Window.partitionBy("id")) for kind in (True, False)]
+        keys = (several_keys(F.when(F.col("large"), of_kind[0]).otherwise(of_kind[1])) if several > heads else F.lit(None).cast("array<long>")).alias("keys")
+        entries = written(with_odd(at.join(apart, F.col("key") == F.col("of")).select(*at.columns, "large", wide, keys)), "near-left")
         chosen = slots.join(apart, F.col("key") == F.col("of")).where("large").select(*at.columns, "large", F.lit(None).cast("long").alias("wide"))
-        y = side(chosen.unionByName(entries.where("not large")), "y")
-        met = side(entries, "x").join(y, (F.col("xkey") == F.col("ykey")) & (F.col("xid") != F.col("yid")) & (F.col("ylarge") | (F.col("xid") < F.col("yid"))) & near)
-        met = met.select(F.least("xid", "yid").alias("x"), F.greatest("xid", "yid").alias("y"), left.alias("left"), needed.alias("needed"))
-        met = met.groupBy("x", "y").agg(F.count("*").alias("c"), F.max("left").alias("left"), F.min("needed").alias("needed"))
+        chosen = chosen.withColumn("keys", several_keys(F.collect_list("key").over(Window.partitionBy("id"))))
+        y = side(with_odd(chosen).unionByName(entries.where("not large")), "y")
+        met = side(entries, "x").join(y, (F.col("xkey") == F.col("ykey")) & (F.col("xid") != F.col("yid")) & (F.col("ylarge") | (F.col("xid") < F.col("yid"))) & near & (once if several > heads else F.lit(True)))
+        # a row that stands for all keys of a pair says nothing about their places
+        ends = F.least("xid", "yid").alias("x"), F.greatest("xid", "yid").alias("y")
+        met = met.select(*ends, (left | shared.isNotNull()).alias("left"), needed.alias("needed"), F.coalesce(F.size(shared), F.lit(1)).alias("c"))
+        met = met.groupBy("x", "y").agg(F.sum("c").alias("c"), F.max("left").alias("left"), F.min("needed").alias("needed"))
         found = _similar(met.where("left AND 9 * c >= needed").select("x", "y"), docs, size)
         again, roots = again.unionByName(found.where("again")), _tied(roots, found.where("not again"))
-        entries, several = entries.where("large").drop("root", "large", "wide"), several * 16
+        entries, several = entries.where("large").drop("root", "large", "wide", "keys", *PARITIES), several * 16
     # pairs that one component holds by now need no second count
     again = written(_across(roots, again).distinct(), "near-again")
     if not again.isEmpty():

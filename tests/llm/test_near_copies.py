@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from motifloom.llm import simhash
@@ -84,3 +85,30 @@ def test_every_pair_of_a_crowded_entry_is_decided(spark, heads):
     want = by_all_pairs(texts)
     assert sum(i != r for i, r in want.items()) >= 20 and want[0] == 0 and len(set(want.values())) >= 40
     assert groups(spark, texts, heads=heads) == want
+
+
+def test_parities_never_differ_in_more_bits_than_sets_in_hashes():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 40, 300, 3000):
+        x = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        for apart in (0, 1, 7, n // 9, n):
+            y = np.unique(np.concatenate((x[apart:], rng.integers(0, 1 << 64, apart, np.uint64))))
+            turned = sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(simhash._parities(x), simhash._parities(y), strict=True))
+            assert turned <= len(np.setxor1d(x, y))
+
+
+@pytest.mark.parametrize("keys", [0, 64])
+def test_a_crowded_entry_of_texts_that_differ_makes_few_pairs(spark, monkeypatch, keys):
+    monkeypatch.setattr(simhash, "KEYS", keys)
+    rng, seen, old = random.Random(9), [], simhash._similar
+    common = words_of(rng, 30)
+    texts = [" ".join(common + words_of(rng, 14)) for _ in range(120)]  # all list shingles of the common passage; about half of each is shared
+    texts += [" ".join(scattered(rng, texts[3 * k].split(), 1)) for k in range(6)]
+
+    def similar(pairs, *rest):
+        seen.append(pairs.count())
+        return old(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_similar", similar)
+    assert groups(spark, texts, heads=2) == by_all_pairs(texts)
+    assert sum(seen) < 1000
