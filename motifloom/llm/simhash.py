@@ -96,13 +96,14 @@ def links(prints: DataFrame, most: int = 2, bucket: int = BUCKET) -> DataFrame:
     large = table.groupBy("seg", "val").count().where(F.col("count") > bucket).select("seg", "val", F.lit(True).alias("hot"))
     entries = table.join(large, ["seg", "val"], "left_anti").select("seg", "val", F.col("fp").alias("b"))
     entries = entries.unionByName(large.select("seg", "val", F.lit(None).cast("long").alias("b")))
-    # each probe becomes 33 rows, so they are dealt out first, whatever the size of the table they come from
-    probes = prints.repartition(prints.sparkSession.sparkContext.defaultParallelism * 4, "fp").select("fp", halves).select("fp", F.col("h.seg").alias("pseg"), F.explode(ball(F.col("h.val"), 32)).alias("pval"))
+    # each probe becomes 33 rows, so they are dealt out first, whatever the size of the table they come from; Spark sizes them as if explode() added none, so they and what
+    # midpoints list are told not to be broadcast
+    probes = prints.repartition(prints.sparkSession.sparkContext.defaultParallelism * 4, "fp").select("fp", halves).select("fp", F.col("h.seg").alias("pseg"), F.explode(ball(F.col("h.val"), 32)).alias("pval")).hint("merge")
     near = F.col("b").isNull() | ((F.col("fp") < F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= most))
     met = probes.join(entries, (F.col("pseg") == F.col("seg")) & (F.col("pval") == F.col("val")) & near)
     met = written(met.select(F.col("fp").alias("a"), "b").distinct(), "simhash-matches")
     crowd = met.where("b is null").select(F.col("a").alias("fp"))
-    around = crowd.select("fp", F.explode(ball(F.col("fp"), 64)).alias("mid"))
+    around = crowd.select("fp", F.explode(ball(F.col("fp"), 64)).alias("mid")).hint("merge")
     least = around.groupBy("mid").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select(F.col("mid").alias("m"), "b")
     tied = around.join(least, F.col("mid") == F.col("m")).where("fp != b").select(F.col("fp").alias("a"), "b").distinct()
     return met.where("b is not null").unionByName(tied)

@@ -112,3 +112,13 @@ def test_a_crowded_entry_of_texts_that_differ_makes_few_pairs(spark, monkeypatch
     monkeypatch.setattr(simhash, "_similar", similar)
     assert groups(spark, texts, heads=2) == by_all_pairs(texts)
     assert sum(seen) < 1000
+
+
+def test_what_an_explode_makes_many_times_larger_is_not_broadcast(spark, monkeypatch):
+    plans, store = [], simhash.written
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(simhash, "written", lambda df, name: plans.append(plan(df)) or store(df, name))
+    found = simhash.links(spark.createDataFrame([(v << 8,) for v in range(20)], "fp long"), bucket=4)
+    plans.append(plan(found))
+    hashed = [line for text in plans for line in text.splitlines() if "HashJoin" in line and ("pval" in line or "mid" in line)]
+    assert len(plans) == 2 and all("SortMergeJoin" in text for text in plans) and not hashed
