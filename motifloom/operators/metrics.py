@@ -130,8 +130,13 @@ def search_quality(true_pairs: DataFrame, scored_pairs: DataFrame) -> DataFrame:
     """One row: true, scored and shared pairs, recall and precision of a search; both tables are (u, v), u < v, without repeats."""
     t, s = true_pairs.select("u", "v", F.lit(1).alias("t")), scored_pairs.select(F.col("u").alias("u2"), F.col("v").alias("v2"), F.lit(1).alias("s"))
     both = t.join(s, (F.col("u") == F.col("u2")) & (F.col("v") == F.col("v2")), "full").agg(F.count("t").alias("true_pairs"), F.count("s").alias("scored_pairs"), F.count_if(F.col("t").isNotNull() & F.col("s").isNotNull()).alias("shared_pairs"))
+    return search_shares(both)
+
+
+def search_shares(counts: DataFrame) -> DataFrame:
+    """counts(true_pairs, scored_pairs, shared_pairs) with recall and precision; 1 of nothing."""
     share = lambda of: F.when(F.col(of) == 0, 1.0).otherwise(F.col("shared_pairs") / F.col(of))
-    return both.select("*", share("true_pairs").alias("recall"), share("scored_pairs").alias("precision"))
+    return counts.select("*", share("true_pairs").alias("recall"), share("scored_pairs").alias("precision"))
 
 
 def missed_pairs(true_pairs: DataFrame, scored_pairs: DataFrame) -> DataFrame:

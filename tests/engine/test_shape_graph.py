@@ -81,3 +81,21 @@ def test_shape_pairs_in_blocks_are_all_pairs(known, monkeypatch):
     gate = 2 * config.primary_q - 1001
     low = [df.where(shapes.anchor_bound(shapes.F.col("ah"), shapes.F.col("bh")) < gate).count() for df in made[1::2]]
     assert low == [0, 0] and rows(made[1].select("sa", "sb", "kmer")) == rows(made[3].select("sa", "sb", "kmer"))
+
+
+@pytest.mark.parametrize("config", [Config(mode="separate_kmer_anchor", kmer_threshold=0.5, anchor_threshold=0.35), Config(mode="combined_kmer_anchor", threshold=0.6, seed="contiguous", seed_threshold=0.7)])
+def test_the_prefilter_is_that_of_nodes(spark, config):
+    own = random.Random(9)
+    some = lambda n: "".join(own.choice("ALVI") for _ in range(n))
+    sequences = {own.choice(("ALV", "AVL", some(3))) + some(own.randint(2, 4)) + own.choice(("ALI", some(3))) for _ in range(90)} | {"AAA" + "GD"[k] * 3 + "AAA" for k in range(2)}
+    known = nodes.features(nodes.load(spark.createDataFrame([(s,) for s in sequences], "sequence string"))).cache()
+    pairs = candidates.candidates(known, config.seed, config.seed_threshold)
+    first = edges.prefilter_edges(known, config, pairs)
+    found = cover.coverage(known, first)
+    graph = shape_graph.ShapeGraph(known, config)
+    rows = lambda df, *names: sorted(tuple(r) for r in df.select(*names).collect())
+    want = rows(found, "node_id", "rep")
+    assert rows(graph.provisional(), "node_id", "rep") == want and 2 < len({r for _, r in want}) < len(want)
+    scope = cover.scopes(found).where("is_rep or not assigned")
+    want = rows(edges.united(first, edges.edges(candidates.within(pairs, scope), known, config)), "u", "v", "weight")
+    assert rows(graph.united(), "u", "v", "weight") == want and first.count() < len(want) < edges.edges(pairs, known, config).count()

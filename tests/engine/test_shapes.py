@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from motifloom.functions.scores import terminal_similarity
 from motifloom.operators import candidates, cover, edges, exhaustive, nodes, shapes
 from motifloom.plans import cluster as runs
+from motifloom.plans import queries
 from motifloom.plans.config import Config
 
 rng = random.Random(4)
@@ -77,3 +78,67 @@ def test_cover_by_shapes_is_that_of_nodes(known, at):
     config = Config(mode="separate_kmer_anchor", kmer_threshold=at, anchor_threshold=0.35)
     want = sorted(map(tuple, cover.intrinsic(known, shapes.edges(known, config)).collect()))
     assert sorted(map(tuple, shapes.intrinsic(known, config).collect())) == want and len({r for _, r in want}) < len(want)
+
+
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """Many nodes of a few fronts, so that bounds that differ by side meet within a front."""
+    own = random.Random(6)
+    some = lambda n: "".join(own.choice("ALVGDE") for _ in range(n))
+    sequences = {own.choice(("ALV", "AVL", "GDE", "AAA")) + some(own.randint(2, 5)) + own.choice(("AAA", some(3))) for _ in range(160)}
+    return nodes.features(nodes.load(spark.createDataFrame([(s,) for s in sequences], "sequence string"))).cache()
+
+
+def test_anchor_sums_are_those_of_listed_pairs(crowded, known, monkeypatch):
+    for of, block in ((crowded, 7), (crowded, 2000), (known, 20)):
+        monkeypatch.setattr(shapes, "BLOCK", block)
+        listed = candidates.anchor_pairs(of).groupBy("shared").agg(F.count("*").alias("pairs"), F.sum("u").alias("sum_u"), F.sum("v").alias("sum_v"))
+        got = shapes.anchor_sums(of)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, listed.collect())) and got.columns == listed.columns and got.count() > 2
+    assert shapes.anchor_sums(known.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("config", [Config(mode="separate_kmer_anchor", anchor_threshold=0.5), Config(mode="combined_kmer_anchor", threshold=0.7, seed="contiguous", seed_threshold=0.7)])
+def test_sampled_candidates_are_those_of_listed_pairs(crowded, known, config):
+    odd = 0
+    for of in (crowded, known):
+        pairs = candidates.candidates(of, config.seed, config.seed_threshold)
+        sides = edges.with_sides(pairs, of)
+        kept = sides.where(edges.gate(config)).select("u", "v")
+        odd += sides.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("b").alias("a"), F.col("a").alias("b")).where(edges.gate(config)).count() != kept.count()
+        for samples in (2, 9, 2048):
+            want = candidates.retention(of, pairs, kept, samples).first()
+            assert tuple(shapes.sampled(of, config, samples).first()) == tuple(want) and want.kept > 0
+    assert odd or not config.separate
+    assert tuple(shapes.sampled(known.where("false"), config).first()) == (0, 0)
+
+
+def test_searched_counts_all_pairs(crowded, known):
+    for of, least in ((crowded, 800), (known, 600), (known, 0)):
+        config = Config(mode="separate_kmer_anchor", kmer_threshold=least / 1000, anchor_threshold=0.0)
+        true, found = ({(r.u, r.v) for r in pairs.collect()} for pairs in (exhaustive.possible_pairs(of, config), candidates.candidates(of, "contiguous", 0.7)))
+        assert tuple(shapes.searched(of, "contiguous", 0.7, least).first()) == (len(true), len(found), len(true & found)) and true
+    assert tuple(shapes.searched(known.where("false"), "contiguous", 0.7, 800).first()) == (0, 0, 0)
+
+
+def test_pairs_found_by_several_seeds_are_made_once(known):
+    seeds = [("all_column_pairs", 0.95), ("contiguous", 0.2)]
+    want = {p for seed, at in seeds for p, k in kmers(known, seed, at).items() if k >= 500}
+    got = [(r.u, r.v) for r in shapes.found_by(known, 500, *seeds).collect()]
+    assert set(got) == want and len(got) == len(want) > len({p for p, k in kmers(known, *seeds[0]).items() if k >= 500})
+
+
+def test_queries_that_count_or_join_pairs_list_no_candidates(spark, tmp_path, monkeypatch):
+    own = random.Random(8)
+    word = lambda: "".join(own.choice("ALVIKFGD") for _ in range(own.randint(8, 10)))
+    spark.createDataFrame([(i, " ".join(["ALVGGKFW", "ALVDDKFW", *(word() for _ in range(20))]), "en", "x") for i in range(4)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def refused(*_):
+        raise AssertionError("a list of candidates")
+
+    for name in ("hits", "candidates", "anchor_pairs"):
+        monkeypatch.setattr(candidates, name, refused)
+    monkeypatch.setattr(edges, "anchor_pairs", refused)
+    every = queries.queries()
+    for name in ("prefilter_pairs",):
+        assert every[name](spark, str(tmp_path)).count() > 0, name
