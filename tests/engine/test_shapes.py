@@ -140,5 +140,5 @@ def test_queries_that_count_or_join_pairs_list_no_candidates(spark, tmp_path, mo
         monkeypatch.setattr(candidates, name, refused)
     monkeypatch.setattr(edges, "anchor_pairs", refused)
     every = queries.queries()
-    for name in ("edge_costs", "prefilter_pairs", "packed_pairs", "sampled_retention", "provisional_clusters", "prefilter_union"):
+    for name in ("edge_costs", "search_metrics", "packed_pairs", "prefilter_pairs", "prefilter_union", "provisional_clusters", "sampled_retention"):
         assert every[name](spark, str(tmp_path)).count() > 0, name
