@@ -4,9 +4,11 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from motifloom.functions import alphabet, scores
 from motifloom.functions.alphabet import ALPHABET, half_away, residue_similarities, substitution
 from motifloom.functions.scores import align, alignment_similarity, anchor_bound, anchor_similarity, assignment, terminal_similarity
 from motifloom.operators import nodes
@@ -134,3 +136,27 @@ def test_bounds_of_packed_codes_are_those_of_hypotheses(spark):
     h = [nodes.hypotheses(t[c], F.length(c)) for c in "ab"]
     got = df.select(scored(packed_bounds, *code).alias("x"), anchor_bound(*h).alias("y")).collect()
     assert all(r.x == r.y for r in got) and len({r.x for r in got}) > 20 and len(packed_bounds(np.zeros(0, np.int64), np.zeros(0, np.int64))) == 0
+
+
+@pytest.mark.parametrize("gaps", [(-4.0, -1.0, -2.0, -1.0), (-0.3, -0.1, -0.25, -0.05), (0.0, 0.0, 0.0, 0.0)])
+def test_quick_alignments_are_those_of_all_states(gaps):
+    own = np.random.default_rng(3)
+    for m, n in ((8, 8), (9, 12), (14, 8), (6, 7), (4, 9)):
+        left, right = own.integers(0, 20, (60, m)), own.integers(0, 20, (60, n))
+        k = min(m, n)
+        right[:40, :k] = np.where(own.random((40, k)) < 0.7, left[:40, :k], right[:40, :k])
+        for matches in range(4):
+            want = scores.align(left, right, gaps, matches)
+            assert (scores.quick_align(left, right, gaps, matches) == want).all() and (scores.quick_align(right, left, gaps, matches) == want).all()
+            assert want.any() or abs(m - n) > 2
+
+
+def test_alignments_of_mixed_lengths_keep_their_order():
+    own = random.Random(12)
+    word = lambda: "".join(own.choice(alphabet.ALPHABET) for _ in range(own.randint(8, 11)))
+    left = [word() for _ in range(200)]
+    right = [x if k % 3 else word() for k, x in enumerate(left)]
+    codes = lambda s: np.array([[alphabet.ALPHABET.index(c) for c in s]])
+    got = scores.alignments(pa.array(left), pa.array(right), (-4.0, -1.0, -2.0, -1.0), 2, most=7)
+    assert got.tolist() == [int(scores.align(codes(x), codes(y))[0]) for x, y in zip(left, right, strict=True)]
+    assert not len(scores.alignments(pa.array([], pa.string()), pa.array([], pa.string()), (-4.0, -1.0, -2.0, -1.0), 2))
