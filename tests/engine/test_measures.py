@@ -334,3 +334,28 @@ def test_em_packs_chunks_once_and_adds_as_plain_loops(spark, monkeypatch):
     assert packed == ["packed-chunks"] and got.iterations == 4
     assert np.allclose(got.profiles, (c + alpha) / (c + alpha).sum(-1, keepdims=True)) and np.allclose(got.mixing, mix)
     assert {r.frame: r.motif for r in got.labels.collect()} == dict(zip(rows, logs.argmax(1).tolist(), strict=True))
+
+
+def test_merging_works_out_few_factors_and_merges_as_all_pairs_do(monkeypatch):
+    own = np.random.default_rng(5)
+    families = own.dirichlet(np.full(20, 0.15), (8, 9))
+    counts = np.array([[own.multinomial(1 + i % 7, p) for p in families[i % 8]] for i in range(120)], float)
+    counts[60:64] = counts[:4]  # ties
+    alpha, worked = own.dirichlet(np.full(20, 5.0)) * 200, []
+    evidence, of = motifs.Evidence(alpha), motifs.Evidence.of
+    want, group = counts.copy(), np.arange(120)
+    merges = 0
+    while True:
+        live = np.unique(group)
+        each = motifs.marginal(want, alpha)
+        best = max(((f, -x, -int(y)) for x in live.tolist() for y, f in zip(live[live > x], evidence.factors(want[x], each[x], want[live[live > x]], each[live[live > x]]), strict=True)), default=(0.0, 0, 0))
+        if best[0] <= 3.0:
+            break
+        merges += 1
+        want[-best[1]] += want[-best[2]]
+        group[group == -best[2]] = -best[1]
+    monkeypatch.setattr(motifs.Evidence, "of", lambda self, c: worked.append(len(c)) or of(self, c))
+    got = motifs.agglomerate(counts, alpha, 3.0)
+    first = {}
+    assert got.tolist() == [first.setdefault(g, len(first)) for g in group.tolist()] and merges > 40
+    assert sum(worked) < 120 * 119 / 2 + 60 * merges
